@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelab.llm import mixing, packing, repetition, simhash
+from curvelab.llm import mixing, packing, pii, repetition, simhash
 from curvelab.llm.common import documents_of, stored
 from curvelab.llm.queries import MIX_WEIGHTS
 
@@ -23,6 +23,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target rate makes it, in a global random order."""
     return mixing.mix(docs, MIX_WEIGHTS).select(*docs.columns)
@@ -36,6 +41,7 @@ def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 STAGES = [
     ("quality rules", quality_rules),
     ("near-duplicates", near_dedup),
+    ("personal data", personal_data),
     ("mixing", mixing_sources),
     ("packing", packing_sequences),
 ]
