@@ -12,6 +12,7 @@ is streamed into pieces, and only their lengths and checksums go to the packing.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Remainders that a group is expected to hold.
 GROUP = 8192
 #: Entries of each of the tokenizer's four caches (two generations of two).
-CACHED = 300_000
+CACHED = 600_000
 
 
 class _Cache(dict):
@@ -50,18 +51,28 @@ class _Cache(dict):
         return value
 
 
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(other)}
+
+
 class WordTokenizer:
     """The ids of ``tokenizers`` for whole texts, by cached parts.
 
-    A byte-level BPE never merges over the cuts of its pre-tokenizer, and one of
-    those lies before every single space between two other characters, and on
-    both sides of every single line feed between two. Parts between such cuts
+    A byte-level BPE never merges over the cuts of its pre-tokenizer. Such cuts
+    lie before every space and on both sides of every line feed, as long as no
+    three blanks follow each other and no two end the text. Parts between them
     are looked up; unknown ones are split into pre-tokens, and only unknown
-    pre-tokens are encoded.
+    pre-tokens go through the library's model. Texts with longer runs or other
+    blanks are cut only before single spaces between two other characters.
+    Tokenizers of other kinds encode whole texts.
     """
 
-    #: What keeps a text from being cut at every space and line feed.
-    ODD = re.compile(r"[^\S\n ]|\x00|[ \n][ \n]")
+    RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
+    BLANKS = "\0\t\r\x0b\x0c"
+    FAR_BLANKS = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
     SAFE = re.compile(r"(?<=\S)(?= \S)")
 
     def __init__(self, path: str, most: int = CACHED):
@@ -70,24 +81,36 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        kind = json.loads(self.whole.to_str())
+        pre = kind["pre_tokenizer"] or {}
+        self.by_parts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and kind["normalizer"] is None and kind["model"]["type"] == "BPE"
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.tokens = _Cache(self._encode, most)
+        self.alphabet, self.model = _byte_letters(), self.whole.model
+        self.tokens = _Cache(self._token, most)
         self.parts = _Cache(self._part, most)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _token(self, token: str) -> bytes:
+        found = self.model.tokenize(token.encode().decode("latin-1").translate(self.alphabet))
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
+
     def _part(self, part: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(part)))
 
+    def _plain(self, text: str) -> bool:
+        blanks = self.BLANKS if text.isascii() else self.BLANKS + self.FAR_BLANKS
+        return not any(c in text for c in blanks) and not any(r in text for r in self.RUNS) and len(text[-2:].rstrip(" \n")) > 0
+
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
+        if not self.by_parts or any(s in text for s in self.special):
             return self._encode(text)
-        if self.ODD.search(text):
-            return b"".join(map(self.parts.__getitem__, self.SAFE.split(text)))
-        return b"".join(map(self.parts.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        if self._plain(text):
+            return b"".join(map(self.parts.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        return b"".join(map(self.parts.__getitem__, self.SAFE.split(text)))
 
 
 _loaded: dict[str, WordTokenizer] = {}

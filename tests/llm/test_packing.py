@@ -13,7 +13,7 @@ def tok():
     return packing.tokenizer(None)
 
 
-TEXTS = ["", " ", "a", " a", "a ", "it's  we'll 12a, b.\nC\n\nd \n e\t f", "naïve café x y\u0085z\x1cq", "a\x00b", "x <|endoftext|> y", "don't 'tis 's s", "日本語 テスト。\r\nok", "🎉🎉 a1b2 ___ !!\n", "word\n", "\nword", "a \nb", "a\n b"]
+TEXTS = ["", " ", "a", " a", "a ", "it's  we'll 12a, b.\nC\n\nd \n e\t f", "naïve café x y\u0085z\x1cq", "a\x00b", "x <|endoftext|> y", "don't 'tis 's s", "日本語 テスト。\r\nok", "🎉🎉 a1b2 ___ !!\n", "word\n", "\nword", "a \nb", "a\n b", "a  b", "a   b", "a \n\n b", "a\n\n\nb", "a  ", "a\n\n", "a\t b \tc\t\td", "  a", "\n\na", "x\u3000 y \u2003z"]
 
 
 def test_ids_are_those_of_the_library(tok):
