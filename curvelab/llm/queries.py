@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelab.llm import media, mixing, packing, pii, repetition, sharding, simhash
+from curvelab.llm import langid, linecrf, media, mixing, packing, passages, pii, repetition, sharding, simhash
 from curvelab.llm.common import documents_of
 
 #: Target shares of the mixture, in characters: one crawl is turned down, the others are kept at three levels.
@@ -21,6 +21,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents_of(spark, sf_dir))
 
 
+def op3_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.score(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents_of(spark, sf_dir))
+
+
 def op5_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_features(documents_of(spark, sf_dir))
 
@@ -29,6 +37,10 @@ def op6_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents_of(spark, sf_dir))
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(documents_of(spark, sf_dir))
+
+
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents_of(spark, sf_dir))
 
@@ -44,8 +56,11 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_line_crf_quality": op3_line_crf_quality,
+    "op4_hyperdimensional_language": op4_hyperdimensional_language,
     "op5_media_archive": op5_media_archive,
     "op6_label_propagation_shards": op6_label_propagation_shards,
+    "op7_paragraph_minhash": op7_paragraph_minhash,
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_ffd_packing": op9_ffd_packing,
     "op10_repetition_rules": op10_repetition_rules,
