@@ -78,7 +78,7 @@ def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual
     b = numbered.select(*[F.col(k).alias(f"b_{k}") for k in by], F.col("i").alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     same = lambda p, q: [F.col(f"{p}{k}").eqNullSafe(F.col(f"{q}{k}")) for k in by]
     cond = [*same("", "b_"), F.col("i") < F.col("j"), F.col("xa") != F.col("xb")]
-    lines = a.join(b, _all(cond)).select(*by, "i", "j", ((F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))).alias("m"), F.col("xa"), F.col("ya")).withColumn("c", F.col("ya") - F.col("m") * F.col("xa"))
+    lines = a.join(b, _all(cond)).select(*by, "i", "j", F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")).alias("m"), F.col("xa"), F.col("ya")).withColumn("c", F.col("ya") - F.col("m") * F.col("xa"))
     pts = t.select(*[F.col(k).alias(f"p_{k}") for k in by], F.col(x).alias("px"), F.col(y).alias("py"))
     near = lines.join(pts, _all(same("", "p_"))).where(F.abs(F.col("py") - (F.col("m") * F.col("px") + F.col("c"))) <= residual)
     each = near.groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("inliers"), F.regr_slope("py", "px").alias("slope"), F.regr_intercept("py", "px").alias("intercept"), F.regr_syy("py", "px").alias("syy"), F.regr_sxx("py", "px").alias("sxx"), F.regr_sxy("py", "px").alias("sxy"))

@@ -249,7 +249,7 @@ def _label_sql(unit: bool) -> str:
 
 @query(f"WITH l AS (SELECT page_id, trim(unnest(string_split(html, chr(10)))) AS t FROM pages), d AS (SELECT DISTINCT t FROM l WHERE t <> '') SELECT t AS line, {_label_sql(False)} AS label, {_label_sql(True)} AS unit FROM d")
 def axis_label_unit(spark, sf_dir):
-    lines = table(spark, sf_dir, "pages").select(F.trim(F.explode(F.split("html", "\n"))).alias("line")).where("line <> ''").distinct()
+    lines = table(spark, sf_dir, "pages").select(F.explode(F.split("html", "\n")).alias("line")).select(F.trim("line").alias("line")).where("line <> ''").distinct()
     return lines.withColumn("a", T.axis_label(F.col("line"))).select("line", F.col("a.label").alias("label"), F.col("a.unit").alias("unit"))
 
 
@@ -410,9 +410,10 @@ def image_quality(spark, sf_dir):
     return _laplacian(_pixels(spark, sf_dir)).groupBy("image_id").agg(F.round(1 - F.least(F.var_pop("q") / 500, F.lit(1.0)), 6).alias("blur"), F.round(F.least(F.stddev_pop("v") / 60, F.lit(1.0)), 6).alias("contrast"))
 
 
-@query(f"WITH {LAP} SELECT image_id, round(least(var_pop(q) / 1000000, 1), 6) AS noise FROM la GROUP BY image_id")
+@query(f"WITH {LAP} SELECT image_id, round(least(var_pop(q) / 1000000, 1) + 1e-9, 6) AS noise FROM la GROUP BY image_id")
 def noise_estimate(spark, sf_dir):
-    return _laplacian(_pixels(spark, sf_dir)).groupBy("image_id").agg(F.round(F.least(F.var_pop("q") / 1_000_000, F.lit(1.0)), 6).alias("noise"))
+    """Variances of whole numbers are often exact halves of the last place shown; a little is added on both sides."""
+    return _laplacian(_pixels(spark, sf_dir)).groupBy("image_id").agg(F.round(F.least(F.var_pop("q") / 1_000_000, F.lit(1.0)) + 1e-9, 6).alias("noise"))
 
 
 @query(f"WITH {PIX}, b AS (SELECT image_id, greatest(min(px) - 1, 0) AS x, greatest(min(py) - 1, 0) AS y, max(px) AS x1, max(py) AS y1 FROM px WHERE v > 170 GROUP BY image_id) SELECT image_id, x, y, least(x1 + 2, 8) - x AS w, least(y1 + 2, 8) - y AS h FROM b")
@@ -501,7 +502,7 @@ def jobs_recent(spark, sf_dir):
     return jobs.recent(order_jobs(spark, sf_dir), 20, "completed").select("job_id", "status", "total")
 
 
-@query(f"WITH j AS (SELECT {STATUS_SQL} AS status FROM orders) SELECT count(*) AS total, count_if(status = 'pending') AS pending, count_if(status = 'processing') AS processing, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed FROM j")
+@query(f"WITH j AS (SELECT {STATUS_SQL} AS status FROM orders) SELECT count(*) AS total, CAST(count_if(status = 'pending') AS BIGINT) AS pending, CAST(count_if(status = 'processing') AS BIGINT) AS processing, CAST(count_if(status = 'completed') AS BIGINT) AS completed, CAST(count_if(status = 'failed') AS BIGINT) AS failed FROM j")
 def jobs_status_counts(spark, sf_dir):
     return jobs.status_counts(order_jobs(spark, sf_dir))
 
@@ -545,3 +546,23 @@ def result_page(spark, sf_dir):
 def window_curves(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", F.window(F.col("ts"), "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"), F.min("value").alias("low")).select("user_id", F.col("w.start").alias("start"), "n", "peak", "low")
+
+
+# --- streaming ----------------------------------------------------------------
+
+
+@query(ORACLE_SQL["peak_features"])
+def stream_curves(spark, sf_dir):
+    """The features of events that arrive as files, taken in by one run over all that is available."""
+    import tempfile
+    import uuid
+
+    from curvelab.streaming import arrivals
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="curvelab-")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    arrivals.run_available(stream, lambda batch, _: batch.write.mode("append").parquet(f"{base}/events"), f"{base}/state")
+    curves = C.from_points(readers.event_points(spark.read.schema(schema).parquet(f"{base}/events")))
+    return features.analyze(curves).select("curve_id", *r6(*FEATURES), "post_peak", "peak_index")
