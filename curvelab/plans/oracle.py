@@ -97,7 +97,7 @@ sc AS (SELECT curve_id, curve_smoothness, CASE WHEN n < 3 THEN 0.0 WHEN m > 2 TH
 
 REPORT = SCORES + """,
 fa AS (SELECT curve_id, curve_smoothness, data_validity, (0.4 + (curve_id % 7) * 0.1 + 0.8) / 2 AS ocr_confidence, (least((curve_id % 8) / 5, 1.0) + least((curve_id % 5 + 1) / 5, 1.0)) / 2 * CASE WHEN curve_id % 8 < 2 OR curve_id % 5 + 1 < 2 THEN 0.5 ELSE 1.0 END AS axis_detection,
-  (curve_id % 10) / 10.0 AS image_quality, CASE curve_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 WHEN 2 THEN 0.75 ELSE 0.5 END AS method_confidence FROM sc),
+  (curve_id % 10) / 10.0 AS image_quality, CAST(CASE curve_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 WHEN 2 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS method_confidence FROM sc),
 ov AS (SELECT *, 0.0 + ocr_confidence * 0.2 + curve_smoothness * 0.25 + axis_detection * 0.15 + data_validity * 0.15 + image_quality * 0.15 + method_confidence * 0.1 AS overall FROM fa)"""
 
 _CLEAN = """kept AS (SELECT DISTINCT tok, regexp_replace(translate(trim(tok), 'OolI|SsBZzGg,', '001115582269.'), '[^0-9.\\-]', '', 'g') AS k FROM toks),

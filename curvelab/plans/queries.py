@@ -329,7 +329,7 @@ def _chart_scales(spark, sf_dir) -> DataFrame:
 EMB = "ep AS (SELECT vec_id AS chart_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS idx, unnest(embedding) AS v FROM embeddings), px AS (SELECT chart_id, idx, 100 + idx * 5 AS px, CAST(round(CAST(v AS DOUBLE) * 100 + 250) AS INTEGER) AS py FROM ep)"
 
 
-@query(f"WITH {EMB} SELECT chart_id, idx, round(CASE WHEN chart_id % 4 <> 0 THEN 0.0 + (px - 100) * (0.01 + (chart_id % 5) * 0.01) ELSE px END, 6) AS strain, round(CASE WHEN chart_id % 4 <> 0 THEN chart_id % 2 + (500 - py) * (1.0 + chart_id % 3) ELSE py END, 6) AS stress, px AS pixel_x, py AS pixel_y, CASE WHEN chart_id % 4 <> 0 THEN 'calibrated' ELSE 'pixel' END AS units FROM px")
+@query(f"WITH {EMB} SELECT chart_id, idx, round(CAST(CASE WHEN chart_id % 4 <> 0 THEN 0.0 + (px - 100) * (0.01 + (chart_id % 5) * 0.01) ELSE px END AS DOUBLE), 6) AS strain, round(CAST(CASE WHEN chart_id % 4 <> 0 THEN chart_id % 2 + (500 - py) * (1.0 + chart_id % 3) ELSE py END AS DOUBLE), 6) AS stress, px AS pixel_x, py AS pixel_y, CASE WHEN chart_id % 4 <> 0 THEN 'calibrated' ELSE 'pixel' END AS units FROM px")
 def map_units(spark, sf_dir):
     return scale.map_units(_embedding_points(spark, sf_dir), _chart_scales(spark, sf_dir)).select("chart_id", "idx", *r6("strain", "stress"), "pixel_x", "pixel_y", "units")
 
