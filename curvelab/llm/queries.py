@@ -66,7 +66,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repetition_rules": op10_repetition_rules,
 }
 
+def _repetition_sql() -> str:
+    """The measures by windows over words: an n-gram is its words joined by a space, which no word contains."""
+    word, parts = r"[^ \t-\r]+", []
+    for n in (3, *repetition.NGRAM_LIMITS):
+        gram = "concat_ws(' ', w, " + ", ".join(f"lead(w, {k}) OVER d" for k in range(1, n)) + ")"
+        parts.append(
+            f"g{n} AS (SELECT doc_id, i, {gram} AS g, lead(w, {n - 1}) OVER d AS z FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)), "
+            f"t{n} AS (SELECT doc_id, i FROM g{n} WHERE z IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), "
+            f"c{n} AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars FROM words WHERE (doc_id, i) IN (SELECT doc_id, i + k FROM t{n}, range({n}) r(k)) GROUP BY doc_id)"
+        )
+    dups = ", ".join(f"CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS dup_{n}gram_chars" for n in repetition.NGRAM_LIMITS)
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = d.doc_id" for n in (3, *repetition.NGRAM_LIMITS))
+    within = " AND ".join(f"dup_{n}gram_chars <= CAST({limit} AS DOUBLE) * word_chars" for n, limit in repetition.NGRAM_LIMITS.items())
+    failed = f"n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+listed AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS ws FROM docs),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM listed),
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs),
+lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM cut),
+again AS (SELECT doc_id, l FROM lines WHERE regexp_matches(l, '{word}') QUALIFY row_number() OVER (PARTITION BY doc_id, l ORDER BY i) > 1),
+cl AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(l, '[ \t-\r]', '', 'g'))) AS chars FROM again GROUP BY doc_id),
+cw AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars FROM words GROUP BY doc_id),
+{", ".join(parts)},
+m AS (SELECT d.doc_id, coalesce(cw.n, 0) AS n_words, CAST(coalesce(cw.chars, 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(cl.n, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, CAST(coalesce(cl.chars, 0) AS BIGINT) AS dup_line_chars, {dups}
+  FROM docs d LEFT JOIN cw ON cw.doc_id = d.doc_id LEFT JOIN cl ON cl.doc_id = d.doc_id {joins})
+SELECT *, {failed} AS base_failed, NOT ({failed}) AND dup_line_chars <= CAST({repetition.LINE_LIMIT} AS DOUBLE) * word_chars AND {within} AS kept FROM m
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_repetition_rules": _repetition_sql(),
     "op1_poisson_mixing": f"""
 WITH RECURSIVE weights(source, weight) AS (VALUES {", ".join(f"('{s}', {w})" for s, w in MIX_WEIGHTS.items())}),
 have AS (SELECT source, weight, sum(coalesce(length(text), 0)) AS n FROM documents JOIN weights USING (source) GROUP BY source, weight HAVING sum(coalesce(length(text), 0)) > 0),
