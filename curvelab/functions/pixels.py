@@ -2,8 +2,8 @@
 
 Images are uint8 arrays (h, w) or (h, w, 3) in blue-green-red order. Borders are
 mirrored without repeating the edge unless said otherwise. Where the usual
-imaging library has a more elaborate method (inpainting, bilateral filters,
-perspective estimates), a plain approximation stands in and says so.
+imaging library has a more elaborate method (inpainting, contour polygons), a
+plain approximation stands in and says so.
 """
 
 from __future__ import annotations
@@ -136,10 +136,10 @@ def without_grid(g: np.ndarray, length: int = 15, share: float = 0.01) -> np.nda
     return g
 
 
-def filtered(image: np.ndarray, min_area: int = 50) -> tuple[np.ndarray, float]:
-    """(mask of the curve, noise level): blur, grid removal, adaptive threshold, opening, closing, small parts out."""
-    g = gray(image)
-    mask = adaptive_mask(without_grid(gaussian_blur(g, 5)))
+def filtered(image: np.ndarray, min_area: int = 50, watermark: bool = False) -> tuple[np.ndarray, float]:
+    """(mask of the curve, noise level): blur, grid removal, watermark removal if asked for, adaptive threshold, opening, closing, small parts out."""
+    g = without_grid(gaussian_blur(gray(image), 5))
+    mask = adaptive_mask(without_watermark(g) if watermark else g)
     return without_small(closed(opened(mask, 2, 2), 3, 3), min_area), noise_level(g)
 
 
@@ -209,9 +209,13 @@ def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def rectified(image: np.ndarray, least: float = 0.5) -> tuple[np.ndarray, float]:
-    """(image, angle): set level if it is askew by more than ``least`` degrees, then cropped."""
+    """(image, angle): set level if it is askew by more than ``least`` degrees, a photographed sheet straightened, then cropped."""
     angle = skew_angle(image)
     out = rotated(image, angle) if abs(angle) > least else image
+    g = gray(out)
+    corners = quad(np.where(g > (int(g.min()) + int(g.max())) // 2, 255, 0).astype(np.uint8))
+    if corners is not None and np.abs(corners - [(0, 0), (g.shape[1] - 1, 0), (g.shape[1] - 1, g.shape[0] - 1), (0, g.shape[0] - 1)]).max() > 0.02 * min(g.shape):
+        out = straightened(out, corners)
     x, y, w, h = auto_crop(out)
     return out[y : y + h, x : x + w], angle
 
@@ -278,3 +282,79 @@ def for_reading(image: np.ndarray) -> np.ndarray:
     g = np.kron(g, np.ones((scale, scale), np.uint8))
     mask = 255 - adaptive_mask(g)
     return 255 - mask if mask.mean() < 127 else mask
+
+
+def equalized(g: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation: a clipped histogram per tile, blended between tile centres."""
+    h, w = g.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    p = np.pad(g, ((0, th * tiles - h), (0, tw * tiles - w)), mode="edge")
+    maps = np.empty((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            n = np.bincount(p[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256).astype(float)
+            limit = max(clip * th * tw / 256, 1)
+            over = np.maximum(n - limit, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(n, limit) + over / 256) * 255 / (th * tw)
+    y, x = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
+    y0, x0 = np.clip(np.floor(y).astype(int), 0, tiles - 1), np.clip(np.floor(x).astype(int), 0, tiles - 1)
+    y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
+    fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None, :]
+    at = lambda a, b: maps[a[:, None], b[None, :], g]
+    return np.clip(np.rint((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x1)) + fy * ((1 - fx) * at(y1, x0) + fx * at(y1, x1))), 0, 255).astype(np.uint8)
+
+
+def bilateral(g: np.ndarray, size: int = 9, color: float = 75, space: float = 75) -> np.ndarray:
+    """An average over near pixels of like brightness."""
+    r, f = size // 2, g.astype(np.float64)
+    p, top, bottom = _padded(f, r, r), np.zeros(g.shape), np.zeros(g.shape)
+    for i in range(size):
+        for j in range(size):
+            if (i - r) ** 2 + (j - r) ** 2 <= r * r:
+                v = p[i : i + g.shape[0], j : j + g.shape[1]]
+                k = np.exp(-((v - f) ** 2) / (2 * color**2) - ((i - r) ** 2 + (j - r) ** 2) / (2 * space**2))
+                top, bottom = top + k * v, bottom + k
+    return np.rint(top / bottom).astype(np.uint8)
+
+
+def without_watermark(g: np.ndarray, size: int = 50, flat: float = 15, share: float = 0.05) -> np.ndarray:
+    """Where much of the equalised image hardly differs from its surroundings, as under a watermark, the image is smoothed within brightness."""
+    e = equalized(g)
+    off = np.abs(e.astype(np.float64) - box_mean(e, min(size, *g.shape) // 2 * 2 + 1)) < flat
+    # the mask's values, not its pixels, are weighed against the share: a fiftieth of a percent is enough
+    return bilateral(e) if off.sum() * 255 > share * g.size else e
+
+
+def quad(mask: np.ndarray) -> np.ndarray | None:
+    """The corners (top left, top right, bottom right, bottom left) of a mask's largest part, if it fills them like a sheet."""
+    labels, areas = components(mask)
+    if not len(areas):
+        return None
+    ys, xs = np.nonzero(labels == 1 + int(areas.argmax()))
+    s, d = xs + ys, ys - xs
+    c = np.array([(xs[k], ys[k]) for k in (s.argmin(), d.argmin(), s.argmax(), d.argmax())], float)
+    x, y = c[:, 0], c[:, 1]
+    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
+    return c if area > 0.25 * mask.size and areas.max() > 0.8 * area else None
+
+
+def straightened(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """The quadrilateral of four corners as a rectangle, by the projective map between them; nearest pixels."""
+    tl, tr, br, bl = corners
+    w, h = int(max(np.hypot(*(br - bl)), np.hypot(*(tr - tl)))), int(max(np.hypot(*(tr - br)), np.hypot(*(tl - bl))))
+    target = np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], float)
+    rows, rhs = [], []
+    for (u, v), (x, y) in zip(target, corners, strict=True):
+        rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+        rhs += [x, y]
+    m = np.append(np.linalg.solve(np.array(rows), np.array(rhs)), 1).reshape(3, 3)
+    vv, uu = np.mgrid[0:h, 0:w]
+    z = m[2, 0] * uu + m[2, 1] * vv + 1
+    x = np.clip(np.rint((m[0, 0] * uu + m[0, 1] * vv + m[0, 2]) / z).astype(int), 0, image.shape[1] - 1)
+    y = np.clip(np.rint((m[1, 0] * uu + m[1, 1] * vv + m[1, 2]) / z).astype(int), 0, image.shape[0] - 1)
+    return image[y, x]
+
+
+def edge_mask(image: np.ndarray) -> np.ndarray:
+    """Edges made two pixels wide, for tracing without a threshold."""
+    return dilate(edges(gray(image)), 2, 2)

@@ -24,7 +24,9 @@ def register(spark: SparkSession) -> None:
     spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION grade(s DOUBLE) RETURNS STRING
       RETURN CASE WHEN s IS NULL OR isnan(s) THEN NULL WHEN s >= 0.9 THEN 'A' WHEN s >= 0.8 THEN 'B' WHEN s >= 0.7 THEN 'C' WHEN s >= 0.6 THEN 'D' ELSE 'F' END""")
     spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION clean_number(t STRING) RETURNS STRING
-      RETURN regexp_replace(translate(trim(t), 'OolI|SsBZzGg,', '001115582269.'), '[^0-9.\-]', '')""")
+      RETURN (SELECT CASE WHEN length(d) - length(replace(d, '-', '')) > 1 THEN concat(CASE WHEN startswith(d, '-') THEN '-' ELSE '' END, replace(d, '-', '')) ELSE d END
+              FROM (SELECT CASE WHEN instr(k, '.') > 0 THEN concat(substring_index(k, '.', 1), '.', replace(substring(k, instr(k, '.') + 1), '.', '')) ELSE k END AS d
+                    FROM (SELECT regexp_replace(translate(trim(t), 'OolI|SsBZzGg,', '001115582269.'), '[^0-9.\\-]', '') AS k)))""")
     spark.udtf.register("critical_points", CriticalPoints)
 
 

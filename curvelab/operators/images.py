@@ -50,14 +50,34 @@ def rectify(df: DataFrame) -> DataFrame:
     return _each(df, make, "height int, width int, channels int, data binary, angle double")
 
 
-def curve_mask(df: DataFrame) -> DataFrame:
+def curve_mask(df: DataFrame, watermark: bool = False) -> DataFrame:
     def make(a: Image) -> list[tuple]:
-        mask, noise = P.filtered(a)
+        mask, noise = P.filtered(a, watermark=watermark)
         return [(mask.shape[0], mask.shape[1], 1, mask.tobytes(), float(noise))]
 
     return _each(df, make, "height int, width int, channels int, data binary, noise double")
 
 
+def edge_mask(df: DataFrame) -> DataFrame:
+    """A mask of each image's edges, for tracing without a threshold."""
+
+    def make(a: Image) -> list[tuple]:
+        mask = P.edge_mask(a)
+        return [(mask.shape[0], mask.shape[1], 1, mask.tobytes())]
+
+    return _each(df, make, "height int, width int, channels int, data binary")
+
+
+_models: dict[str, object] = {}
+
+
+def cached_model(path: str, load: Callable[[str], object]) -> object:
+    """What ``load`` makes of a model file, once per worker process; for use in a segment_fn."""
+    if path not in _models:
+        _models[path] = load(path)
+    return _models[path]
+
+
 def trace(df: DataFrame) -> DataFrame:
     """(image_id, idx, px, py) of the curve in each mask."""
     return _each(df, lambda a: [(i, x, y) for i, (x, y) in enumerate(P.traced(a))], "idx int, px int, py int").where("error is null").drop("error")

@@ -32,8 +32,8 @@ def recent(jobs: DataFrame, limit: int = 10, status: str | None = None) -> DataF
     if status is not None and status not in STATUSES:
         raise ValueError(f"status is one of {', '.join(STATUSES)}")
     chosen = jobs if status is None else jobs.where(F.col("status") == status)
-    total = chosen.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return chosen.orderBy(F.desc("created_at"), "job_id").limit(limit).crossJoin(F.broadcast(total))
+    total = chosen.agg(F.count(F.lit(1))).scalar()
+    return chosen.orderBy(F.desc("created_at"), "job_id").limit(limit).withColumn("total", total)
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:

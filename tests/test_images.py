@@ -92,6 +92,23 @@ def test_kernels():
     assert P.for_reading(np.full((100, 150), 255, np.uint8)).shape == (300, 450)
 
 
+def test_watermarks_and_sheets(spark):
+    g = P.gray(chart())
+    assert P.equalized(g).shape == g.shape and P.without_watermark(g).shape == g.shape
+    assert np.array_equal(P.bilateral(np.full((20, 20), 7, np.uint8)), np.full((20, 20), 7))
+    step = np.where(np.arange(40) < 20, 0, 255).astype(np.uint8) * np.ones((40, 1), np.uint8)
+    assert np.array_equal(P.bilateral(step) > 127, step > 127)
+    sheet = np.zeros((200, 300), np.uint8)
+    for y in range(200):
+        sheet[y, 20 + y // 10 : 280 - y // 10] = 255 if 10 <= y < 190 else 0
+    corners = P.quad(sheet)
+    assert corners is not None and np.abs(corners - [(21, 10), (278, 10), (261, 189), (38, 189)]).max() <= 2
+    flat = P.straightened(sheet, corners)
+    assert (flat > 0).mean() > 0.98 and P.quad(np.zeros((9, 9), np.uint8)) is None
+    assert images.edge_mask(rows_of(spark, {"a": chart()})).first().height == 300
+    assert images.cached_model("m", lambda p: [p]) is images.cached_model("m", lambda p: [p])
+
+
 def test_plugs(spark):
     df = rows_of(spark, {"a": chart()})
     assert images.read_text(df).collect() == [] and images.segment(df).collect() == []

@@ -142,6 +142,6 @@ def test_settings_and_sql_functions(spark, tmp_path):
     s = config.load({"Smoothing_Window": "21", "ALLOWED_ORIGINS": "a, ,b"}, str(tmp_path / ".env"))
     assert (s.debug, s.model_path, s.smoothing_window, s.origins) == (True, "m.h5", 21, ["a", "b"])
     register(spark)
-    assert spark.sql("SELECT grade(0.85) AS g, clean_number('1,S') AS c").first() == ("B", "1.5")
+    assert spark.sql("SELECT grade(0.85) AS g, clean_number('1,S.2') AS c, clean_number('--5') AS d").first() == ("B", "1.52", "-5")
     rows = spark.sql("SELECT * FROM critical_points(array(0D, 1D, 2D), array(0D, 5D, 10D))").collect()
     assert [(r.point, r.strain) for r in rows] == [("Peak", 2.0), ("50% Peak", 1.0)]
