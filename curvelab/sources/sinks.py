@@ -11,18 +11,20 @@ from curvelab.functions.text import fixed
 STRAIN, STRESS, PIXEL_X, PIXEL_Y = "Strain (%)", "Stress (kN/m²)", "Pixel_X", "Pixel_Y"
 
 
-def csv_rows(points: DataFrame, pixels: bool = False, decimals: int = 4, key: list[str] | None = None) -> DataFrame:
-    """points (strain, stress[, pixel_x, pixel_y]) as the export's text columns; a pixel of 0 is blank."""
+def csv_rows(points: DataFrame, pixels: bool = False, decimals: int = 4, key: list[str] | None = None, smoothed: bool = False) -> DataFrame:
+    """points (strain, stress[, pixel_x, pixel_y, smoothed]) as the export's text columns; a pixel of 0 is blank."""
     if not 1 <= decimals <= 10:
         raise ValueError("decimals must be between 1 and 10")
     shown = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, "").otherwise(F.col(c).cast("string"))
     more = [shown("pixel_x").alias(PIXEL_X), shown("pixel_y").alias(PIXEL_Y)] if pixels else []
+    if smoothed:
+        more.append(fixed(F.col("smoothed"), decimals).alias("Smoothed"))
     return points.select(*(key or []), fixed(F.col("strain"), decimals).alias(STRAIN), fixed(F.col("stress"), decimals).alias(STRESS), *more)
 
 
-def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int = 4, separator: str = ",", mode: str = "error") -> None:
+def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int = 4, separator: str = ",", mode: str = "error", smoothed: bool = False) -> None:
     """Lines end with carriage return and line feed."""
-    out = csv_rows(points.orderBy("strain") if "idx" not in points.columns else points.orderBy("idx"), pixels, decimals)
+    out = csv_rows(points.orderBy("strain") if "idx" not in points.columns else points.orderBy("idx"), pixels, decimals, smoothed=smoothed)
     out.write.mode(mode).option("header", True).option("sep", separator).option("lineSep", "\r\n").csv(path)
 
 
