@@ -4,7 +4,6 @@ import struct
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from curvelab.functions import pixels as P
