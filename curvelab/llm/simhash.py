@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from curvelab.llm.common import stored
+from curvelab.llm.common import stored, unique_names
 from curvelab.llm.components import components, forest
 
 SEED, BITS, MAX_BITS, SHINGLE = 42, 64, 3, 3
@@ -165,6 +166,14 @@ def links(fps: DataFrame, block: int = BLOCK, most: int = MAX_BITS) -> DataFrame
     return found.where("b is not null").select("a", "b").union(verified)
 
 
+def _grouped(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row; (fp, first_id, n, root) of every fingerprint."""
+    each = stored(fingerprints(docs), "simhash-fp")
+    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    roots = components(links(distinct.select("fp"), block), "simhash-components")
+    return each, distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id, links) for every row of ``docs``.
 
@@ -172,19 +181,35 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     own included; links counts the rows of the other fingerprints and copies
     in the component.
     """
-    each = stored(fingerprints(docs), "simhash-fp")
-    distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), block), "simhash-components")
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    each, named = _grouped(docs, block)
     whole = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size")).withColumnRenamed("root", "r")
     classes = named.join(whole, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "size")
     return each.join(classes, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("size") - 1).alias("links"))
 
 
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = (t.as_py() for t in b.column(at))
+            fp = np.fromiter((fingerprint(t.encode() if isinstance(t, str) else t) for t in texts), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the document
-    that it is named after stays, once. Rows without a doc_id cannot be named
-    and always stay."""
-    kept = near_duplicates(docs, block).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    """The rows of ``docs`` without near copies: of each component one row of
+    the smallest doc_id stays, or one without a doc_id where none has any."""
+    each, named = _grouped(docs, block)
+    best = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("b")
+    kept = stored(named.groupBy("root").agg(best).select(F.col("b.first_id").alias("_kept_id"), F.col("b.fp").alias("_kept_fp")), "simhash-kept")
+    # an id of one row names it; rows that share an id, or have none, are told apart by their fingerprints
+    shared = stored(each.where("doc_id is not null").groupBy(F.col("doc_id").alias("_shared_id")).count().where("count > 1").select("_shared_id"), "simhash-shared")
+    same, alike = F.col("doc_id") == F.col("_kept_id"), F.col("doc_id") == F.col("_shared_id")
+    alone = kept.where("_kept_id is not null").join(shared, F.col("_kept_id") == F.col("_shared_id"), "left_anti")
+    (fp,) = unique_names("_fp", taken=docs.columns)
+    others = _with_fingerprint(docs.where("doc_id is null").union(docs.join(shared, alike, "left_semi")), fp)
+    others = others.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col(fp) == F.col("_kept_fp")), "left_semi").dropDuplicates(["doc_id", fp]).drop(fp)
+    return docs.join(alone, same, "left_semi").union(others)

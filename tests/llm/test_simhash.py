@@ -75,6 +75,15 @@ def test_documents_against_brute_force(spark, make, odd):
     assert sorted((r.doc_id for r in kept), key=str) == sorted([c for c in {w[2] for w in want if w[2] is not None}] + [None], key=str)
 
 
+def test_one_row_of_a_component_stays(spark, make):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (7, a), (9, b), (None, a), (None, c), (None, c), (11, d), (None, d), (12, d)]
+    kept = simhash.keep_one(make(rows, extra=True))
+    assert kept.columns == make(rows, extra=True).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, a), (5, b), (None, c), (11, d)], key=str)
+
+
 def test_empty_table(spark, make):
     assert simhash.near_duplicates(make([])).collect() == []
     assert simhash.keep_one(make([])).collect() == []
