@@ -38,7 +38,8 @@ def op6_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated(documents_of(spark, sf_dir))
+    """Repeats of one paragraph of words or more; shorter lines, which the operator finds too, are stock phrases that many clean documents have."""
+    return passages.repeated(documents_of(spark, sf_dir), least=passages.PARAGRAPH)
 
 
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
