@@ -78,6 +78,25 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows and bits of a bitmap of keys: 16 MB, whatever the keys' number.
+_ROWS, _BITS = 4096, 32768
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose ``key`` may be one of ``keys.other``, rows whose key is none for certain).
+
+    Keys (longs, none null) set a bit each by hash, and a broadcast bitmap of fixed size
+    tells before a shuffle what need not go through it. It decides nothing: an exact join follows.
+    """
+    place = lambda c: (F.pmod(F.xxhash64(c), F.lit(_ROWS)), F.pmod(F.shiftright(F.xxhash64(c), 20), F.lit(_BITS)))
+    row, bit = place(F.col(other))
+    table = keys.select(row.alias("_row"), bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    row, bit = place(F.col(key))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = df.join(F.broadcast(table), row == F.col("_row"), "left").withColumn("_set", F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))).drop("_row", "_bits")
+    return told.where("_set").drop("_set"), told.where("not _set").drop("_set")
+
+
 def unique_names(*names: str, taken: list[str]) -> list[str]:
     """Working column names that clash with none of those taken."""
     low, out = {c.lower() for c in taken}, []
