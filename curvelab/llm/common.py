@@ -20,11 +20,13 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) is a temporary
-    folder made and used instead.
+    Only where that setting is absent and the master is local (tests) is a temporary
+    folder made and used instead; executors elsewhere would not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark, "_curvelab_shared", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="curvelab-")

@@ -1,6 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector binds its
+Every letter has a random vector of +1 and -1 (Han characters, Hangul syllables and letters beyond the basic plane share
+some thousands, by a hash). A trigram's vector binds its
 letters' vectors, permuted by their places (a roll each), by multiplication; a
 text's vector bundles those of all its trigrams by addition. The prototype of a
 language bundles the normalised vectors of sample texts in it, and a document
@@ -10,7 +11,10 @@ Letters are lower-cased; a run of anything else is one boundary. Learning takes
 a hash sample of at most ``SAMPLE`` texts of each language in expectation, all
 of them where there are fewer; every text is scored whole.
 
-Defined results: a null text and one without a letter are ``und`` with score 0;
+A table of more than ``LANGS`` languages is refused: prototypes must fit the driver and every task.
+
+Defined results: an empty table gives no rows; of equal cosines the first language by name wins; texts of any length are
+counted whole; other columns are not read; a null text and one without a letter are ``und`` with score 0;
 so is everything if nothing could be learned; rows with a null lang are scored
 and not learned from; a null doc_id counts as held out; repeated rows are alike.
 """
@@ -24,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ALPHABET, SIZE, SEED = 64, 1024, 7
+ALPHABET, SIZE, SEED = 1 << 14, 1024, 7
+#: Languages that can be learned.
+LANGS = 500
 #: Texts of a language that its prototype is learned from, in expectation.
 SAMPLE = 1500
 #: Scales cosines to a softmax score; letters that are counted at once.
@@ -33,15 +39,24 @@ _V = ALPHABET**3
 
 
 def _letter_table() -> np.ndarray:
-    """Code points below 65536 to 0 (no letter), 1 to 26 (a to z), or a hashed place in the rest of the alphabet."""
-    table = np.zeros(1 << 16, np.uint8)
+    """Code points below 65536 to 0 (no letter), 1 to 26 (a to z), a number of their own, or, from 0x2E80 to 0xDFFF, a hashed number after those."""
+    table, own = np.zeros(1 << 16, np.uint16), 27
     for cp in range(1 << 16):
         c = chr(cp)
-        if c.isalpha():
-            table[cp] = cp - 96 if "a" <= c <= "z" else 27 + (cp * 40503 >> 4) % (ALPHABET - 27)
+        if "a" <= c <= "z":
+            table[cp] = cp - 96
+        elif c.isalpha() and not 0x2E80 <= cp < 0xE000:
+            table[cp], own = own, own + 1
+    for cp in range(0x2E80, 0xE000):
+        if chr(cp).isalpha():
+            table[cp] = _hashed(cp, own)
     return table
 
 
+def _hashed(cp: int, first: int) -> int:
+    return first + cp * 40503 % (ALPHABET - first)
+
+
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -54,8 +69,8 @@ def letters(text: str) -> np.ndarray:
     x = table[np.minimum(cps, 0xFFFF)]
     if len(cps) and cps.max() > 0xFFFF:
         for i in np.flatnonzero(cps > 0xFFFF).tolist():
-            x[i] = 27 + int(cps[i]) % (ALPHABET - 27) if chr(int(cps[i])).isalpha() else 0
-    x = np.concatenate((np.zeros(1, np.uint8), x, np.zeros(1, np.uint8)))
+            x[i] = _hashed(int(cps[i]), ALPHABET // 2) if chr(int(cps[i])).isalpha() else 0
+    x = np.concatenate((np.zeros(1, np.uint16), x, np.zeros(1, np.uint16)))
     return x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
 
 
@@ -71,7 +86,7 @@ def bound(grams: np.ndarray, size: int = SIZE) -> np.ndarray:
         _cache[key] = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (ALPHABET, size))
     base = _cache[key]
     a, b, c = grams // ALPHABET**2, grams // ALPHABET % ALPHABET, grams % ALPHABET
-    return np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
+    return np.roll(base[a], 2, axis=1) * np.roll(base[b], 1, axis=1) * base[c]
 
 
 def vectors(texts: list[str | None], size: int = SIZE) -> np.ndarray:
@@ -81,7 +96,7 @@ def vectors(texts: list[str | None], size: int = SIZE) -> np.ndarray:
     while k < len(texts):
         grams, total, first = [], 0, k
         while k < len(texts) and (not grams or total < CHUNK and k - first < 256):
-            x = letters(texts[k]) if texts[k] else np.zeros(1, np.uint8)
+            x = letters(texts[k]) if texts[k] else np.zeros(1, np.uint16)
             grams.append(trigrams(x) if x.any() else np.empty(0, np.int64))
             total += len(grams[-1])
             k += 1
@@ -102,7 +117,9 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE, size: int = SIZE) -> tuple[list[str], np.ndarray]:
     """(languages, their unit prototypes) from the rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGS + 1).collect()}  # a row per language
+    if len(counts) > LANGS:
+        raise ValueError(f"lang has more than {LANGS} values; clean the column or raise LANGS")
     if not counts:
         return [], np.zeros((0, size), np.float32)
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, sample / n))])

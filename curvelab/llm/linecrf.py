@@ -7,10 +7,13 @@ probability of being good; their mean by line length, calibrated on the
 training documents, is the document's score.
 
 The field is fitted on a bounded hash sample of labelled documents that are not
-held out (``SAMPLE`` of them, of at most ``SAMPLE_BYTES`` each), every line
-taking its document's label. Every text is scored whole.
+held out (``SAMPLE`` of them), every line taking its document's label. Of a
+document with more than ``SAMPLE_LINES`` lines, so many successive ones are learned
+from, at a place that a hash of doc_id names; with both bounds the driver gets
+600,000 lines at the most. Every text is scored whole.
 
-Defined results: null and empty texts are one empty line and get a score;
+Defined results: an empty table gives no rows; further columns are not read; texts are measured
+in chunks of ``CHUNK`` bytes, a longer one alone, so a text and its lines must fit a task; null and empty texts are one empty line and get a score;
 without labels to learn from, of both kinds, every score is 0.5; rows with a null
 doc_id count as held out; a document with several labels is learned from with
 each; repeated rows are scored alike; labels, lang, source and doc_id do not
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from curvelab.llm.langid import held_out
 
-#: Documents that the field is fitted on at most, and bytes of one of them.
-SAMPLE, SAMPLE_BYTES = 3000, 60_000
+#: Documents that the field is fitted on at most, and successive lines of one of them.
+SAMPLE, SAMPLE_LINES = 3000, 200
 #: A document is predicted good from this score.
 THRESHOLD = 0.3
 #: Bytes of text that are measured at once (a longer text is measured alone).
@@ -218,16 +221,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     chosen = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)  # so many rows at most: it may be broadcast
     rows = (
         docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-        .where(F.octet_length(F.coalesce(F.col("text"), F.lit(""))) <= SAMPLE_BYTES)
-        .select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text"), "quality").orderBy("h", "quality").limit(2 * sample)
+        .select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text"), "quality").orderBy("h", "quality").limit(sample)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, q in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            for h, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 x, sizes, _ = measure([t.as_py()])
-                out.append((x.tobytes(), sizes.astype(np.int64).tobytes(), q))
+                at = h % max(1, len(x) - SAMPLE_LINES + 1)
+                out.append((x[at : at + SAMPLE_LINES].tobytes(), sizes[at : at + SAMPLE_LINES].astype(np.int64).tobytes(), q))
             yield pa.record_batch([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int32())], names=["x", "sizes", "quality"])
 
     got = rows.mapInArrow(run, "x binary, sizes binary, quality int").collect()

@@ -2,12 +2,14 @@
 
 ``media_archive`` is a custom data source, for writing and reading. A write
 task streams its rows' media into ZIP archives in the shared folder; the commit
-lists the archives of the attempts that counted in a manifest, so that what a
-lost executor left behind is never read. Reading plans byte ranges of the
+lists the archives of the attempts that counted in a manifest of its own, so that what a
+lost executor left behind is never read; appending adds a manifest, overwriting removes
+the earlier ones and what they list. Reading plans byte ranges of the
 archives from their sizes alone; a task reads the archive's directory (at its
 end), takes the members that start in its range, reads each by its offset,
 retries each on its own, and streams batches through Arrow. A member that stays
-unreadable is a row with ``error``, not a failed task.
+unreadable is a row with ``error`` for whoever reads the source; the query fails on it,
+as it promises every payload.
 
 The query stores every text as samples of an 8-bit grey PNG image, 64 wide. It
 is padded with zero bytes to whole rows, one row at least.
@@ -42,7 +44,9 @@ FORMAT, WIDTH, LEVEL = "media_archive", 64, 1
 #: Bytes at which a new archive begins, that a read task takes, and of a batch.
 ARCHIVE, RANGE, BATCH = 64 << 20, 8 << 20, 4 << 20
 RETRIES, PAUSE_S = 3, 0.2
-MANIFEST = "_manifest.json"
+#: Read tasks that are planned at most; ranges grow beyond RANGE with the archives.
+TASKS = 100_000
+MANIFEST = "_manifest-"
 MEMBERS = "archive string, member_offset long, name string, media binary, error string"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -107,9 +111,19 @@ class _Written(WriterCommitMessage):
     archives: list = field(default_factory=list)
 
 
+def _manifests(store: pafs.FileSystem, root: str) -> list[str]:
+    found = store.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST))
+
+
+def _listed(store: pafs.FileSystem, manifest: str) -> list:
+    with store.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, limit: int):
-        self.path, self.limit = path, limit
+    def __init__(self, path: str, limit: int, overwrite: bool):
+        self.path, self.limit, self.overwrite = path, limit, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, root = _filesystem(self.path)
@@ -139,8 +153,14 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         store, root = _filesystem(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
+        for old in before:
+            archives = _listed(store, old)
+            store.delete_file(old)
+            for name, _ in archives:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         pass  # nothing counts without a manifest
@@ -173,9 +193,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, root = _filesystem(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
-        return [InputPartition((name, at, at + self.span)) for name, size in archives for at in range(0, size, self.span)] or [InputPartition(None)]
+        manifests = _manifests(store, root)
+        if not manifests:
+            raise FileNotFoundError(f"{self.path} has no manifest")
+        archives = [a for m in manifests for a in _listed(store, m)]
+        span = max(self.span, -(-sum(size for _, size in archives) // TASKS))
+        return [InputPartition((name, at, at + span)) for name, size in archives for at in range(0, size, span)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("member_offset", pa.int64()), ("name", pa.string()), ("media", pa.binary()), ("error", pa.string())])
@@ -217,7 +240,7 @@ class MediaArchive(DataSource):
         return int(self.options.get(key, default))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], self._number("archive_bytes", ARCHIVE))
+        return _Writer(self.options["path"], self._number("archive_bytes", ARCHIVE), overwrite)
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"], self._number("range_bytes", RANGE), self._number("batch_bytes", BATCH), self._number("retries", RETRIES))
@@ -244,8 +267,8 @@ def images(docs: DataFrame) -> DataFrame:
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
-def features(members: DataFrame) -> DataFrame:
-    """A row of measures per member that was read; only ``error`` and what the name says where it was not."""
+def features(members: DataFrame, strict: bool = False) -> DataFrame:
+    """A row of measures per member that was read; only ``error`` and what the name says where it was not, or with ``strict`` a failure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FEATURES.split(", ")]
@@ -256,6 +279,8 @@ def features(members: DataFrame) -> DataFrame:
                 doc_id, n_bytes = name.rpartition("-")[0].rsplit("_", 1)
                 row = [None if doc_id == "null" else int(doc_id), int(n_bytes)]
                 if error is not None:
+                    if strict:
+                        raise OSError(f"{name}: {error}")
                     rows.append([*row, *[None] * 6, error])
                     continue
                 data = media.as_py()
@@ -273,4 +298,4 @@ def stored_features(docs: DataFrame, **options: int) -> DataFrame:
     spark.dataSource.register(MediaArchive)
     path = new_path(spark, "media")
     images(docs).write.format(FORMAT).mode("append").options(path=path, **options).save()
-    return features(spark.read.format(FORMAT).options(path=path, **options).load())
+    return features(spark.read.format(FORMAT).options(path=path, **options).load(), strict=True)

@@ -7,7 +7,7 @@ distribution function at a number in [0, 1) that a seeded hash makes of the
 doc_id; documents are exploded by their counts, and all copies are put into a
 global order by a second hash.
 
-Defined results: null texts have size 0 and are replicated like others; rows
+Defined results: copies with equal keys (of repeated doc_ids) lie next to each other in any order; texts of any length are copied whole; null texts have size 0 and are replicated like others; rows
 with a null doc_id or repeated doc_ids share one variate each; sources without
 a weight, a null source among them, keep ``rest_rate`` (1: as often as they are,
 on average); an empty table gives an empty mixture; a listed source with no

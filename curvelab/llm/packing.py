@@ -5,7 +5,8 @@ its front; what is left is packed with other remainders by first-fit decreasing,
 independently in groups that a random hash makes of bounded expected size. The
 first bin with room is found in a tournament tree of the bins' free capacities.
 
-Defined results: a null or empty text is its closing id alone; repeated rows are
+Defined results: an empty table gives no pieces; remainders of equal length are placed in the order of their pieces; other columns
+are not read; a null or empty text is its closing id alone; repeated rows are
 packed each for itself; a null doc_id is kept as null; a document of any length
 is streamed into pieces, and only their lengths and checksums go to the packing.
 """
@@ -29,8 +30,8 @@ CAPACITY, END_ID = 1024, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Remainders that a group is expected to hold.
 GROUP = 8192
-#: Entries of each of the tokenizer's four caches (two generations of two).
-CACHED = 600_000
+#: Entries of each of the tokenizer's four caches (two generations of two), and letters of a part or token that is kept there.
+CACHED, CACHED_LETTERS = 600_000, 64
 
 
 class _Cache(dict):
@@ -47,7 +48,8 @@ class _Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= CACHED_LETTERS:  # bounds the bytes too
+            self[key] = value
         return value
 
 

@@ -17,7 +17,7 @@ set off by a control character, the text is split there, and lengths are summed.
 That character stands for itself nowhere: it is replaced in the text first, by
 another that no pattern accepts.
 
-Defined results: null is the empty text and has no spans; repeated rows are
+Defined results: an empty table gives no rows, and columns beside doc_id and text are kept by redaction and not read; null is the empty text and has no spans; repeated rows are
 treated alike; without any candidate nothing is added; a very long text is
 summed in blocks of parts.
 """
@@ -255,7 +255,7 @@ def redact(docs: DataFrame) -> DataFrame:
     t, base, cands, spans = unique_names("t", "base", "cands", "spans", taken=docs.columns)
     seen = docs.withColumn(t, _clean(F.col("text")))
     seen = seen.withColumn(base, base_spans(F.col(t)))
-    seen = seen.withColumn(cands, candidates(F.col(t), F.col(base)))
+    seen = stored(seen.withColumn(cands, candidates(F.col(t), F.col(base))).drop(t), "pii-redact")
     model = learn(F.col(cands), seen)
     seen = seen.withColumn(spans, F.array_sort(F.concat(base, accepted(F.col(cands), model))))
     text, names = F.col("text").cast("string"), F.array(*map(F.lit, KINDS))

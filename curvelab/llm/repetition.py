@@ -6,7 +6,7 @@ measured as a share of all characters of words; so are the characters of lines
 that repeat an earlier line. A document stays if it passes the base rules and no
 share is over its limit.
 
-Defined results: null, empty and blank texts have no words and fail the base
+Defined results: an empty table gives no rows; a text of any length is measured whole in one task; null, empty and blank texts have no words and fail the base
 rules; repeated rows are judged alike; no other column is read but doc_id.
 """
 

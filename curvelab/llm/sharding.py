@@ -30,6 +30,8 @@ SHARDS, ROUNDS = 24, 8
 FILL = 0.9
 #: Rows of a node, and of a sub-group that is ranked at once.
 NODE, RANKED = 50_000, 50_000
+#: Groups of more than an n-th part of all rows are broadcast with their sizes: fewer than so many.
+HOT = 100_000
 
 
 def quotas(n: int, shards: int) -> list[int]:
@@ -86,11 +88,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     base = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("class")), "sharding-base")
     counts = base.groupBy("class").agg(F.count(F.lit(1)).alias("class_n")).select(F.col("class").alias("c"), "class_n")
     n = base.count()
+    # what no task should get whole is joined by broadcast, the rest by class
+    hot = F.col("class_n") > F.lit(max(1, n // HOT))
+    counts = stored(counts, "sharding-counts")
+    told = base.join(F.broadcast(counts.where(hot)), F.col("class") == F.col("c"), "left")
+    sized = told.where("c is not null").unionByName(told.where("c is null").drop("c", "class_n").join(counts.where(~hot), F.col("class") == F.col("c")))
     quota = quotas(n, shards)
     per = max(1, min(max(1, min(quota)), shards * NODE))
     parts = F.lit(shards) * F.greatest(F.ceil(F.col("class_n") / per), F.lit(1))
     rows = stored(
-        base.join(counts, F.col("class") == F.col("c")).drop("c")
+        sized.drop("c")
         .withColumn("part", F.when(F.col("class_n") > 1, F.pmod(F.xxhash64("doc_id"), parts))), "sharding-rows",
     )
     linked = rows.where("part is not null")

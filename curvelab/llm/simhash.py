@@ -13,7 +13,8 @@ index is made, and a bucket gives a spanning forest of its verified links, not
 its pairs. Buckets over ``block`` fingerprints are cut into blocks, and pairs
 of blocks are verified by separate tasks.
 
-Defined results: null and empty texts have fingerprint zero and are linked like
+Defined results: an empty table gives no rows; the smallest doc_id of a component names it, so ties cannot arise; a text is hashed
+whole in one task, its shingles 65,536 at a time; null and empty texts have fingerprint zero and are linked like
 any other; repeated rows are copies; a null doc_id never is a component's name
 unless no member has another (then it is null); further columns are ignored.
 """

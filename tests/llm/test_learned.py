@@ -102,3 +102,67 @@ def test_quality_of_odd_rows(spark, make, odd):
     assert all(got[100 + i].predicted == 1 and got[200 + i].predicted == 0 for i in range(40))
     assert {r.score for r in linecrf.score(make(rows), labels.where("quality = 1")).collect()} == {0.5}
     assert linecrf.score(make([]), labels).collect() == []
+
+
+def test_letters_of_their_own():
+    for first, last in ((0x430, 0x450), (0x3B1, 0x3CA), (0x5D0, 0x5EB), (0xE0, 0x100)):
+        own = [langid.letters(chr(c))[1] for c in range(first, last) if chr(c).isalpha()]
+        assert len(set(own)) == len(own) and min(own) > 26
+    assert len({int(langid.letters(chr(c))[1]) for c in range(0x4E00, 0x9FFF)}) > 5000
+
+
+def test_too_many_languages_are_refused(spark, make, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.identify(make([(i, "abc def", f"l{i % 4}") for i in range(30)]))
+
+
+def plain_profile(text):
+    """A text's bundle, letter by letter."""
+    rng = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.ALPHABET, langid.SIZE))
+    x = langid.letters(text or "").tolist()
+    v = np.zeros(langid.SIZE)
+    if any(x):
+        for a, b, c in zip(x, x[1:], x[2:]):
+            v += np.roll(rng[a], 2).astype(float) * np.roll(rng[b], 1) * rng[c]
+    n = np.linalg.norm(v)
+    return v / n if n else v
+
+
+def test_languages_against_brute_force(spark, make):
+    """The whole query, with every learned text in the sample."""
+    words = {"xx": "alba cordu melon tari ves", "yy": "krot zemlja polje ruka voda", "zz": "жук лето вода рука поле"}
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), 6)), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 12)] + [(900, "12 !", None), (901, "alba voda", None), (902, None, "xx")]
+    learned = {lang: sum(plain_profile(t) for d, t, x in rows if x == lang and zlib.crc32(str(d).encode()) % 5) for lang in words}
+    names, table = sorted(learned), np.stack([learned[x] / np.linalg.norm(learned[x]) for x in sorted(learned)])
+    for r in langid.identify(make(rows)).collect():
+        text = next(t for d, t, _ in rows if d == r.doc_id)
+        cos = table @ plain_profile(text)
+        soft = np.exp(langid.SHARP * (cos - cos.max()))
+        want = (names[cos.argmax()], 1 / soft.sum()) if any(c.isalpha() for c in text or "") else ("und", 0.0)
+        assert r.lang_pred == want[0] and r.score == pytest.approx(want[1], abs=1e-4)
+
+
+QUALITY_ROWS = [*((i, f"A fine line number {i}.\nAnd one more of them here.\nIt ends.") for i in range(60)), *((100 + i, f"###$$$ %%% {i}\n#$#$ ***\n| | |") for i in range(60)), (300, ""), (301, "A fine line.\n#$%\n\nAnd more.")]
+
+
+def test_quality_against_brute_force(spark, make):
+    """The whole query: chains are enumerated instead of passed through."""
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)], "doc_id long, quality int")
+    docs = make(QUALITY_ROWS)
+    field = linecrf.learn(docs, labels)
+    for r in linecrf.score(docs, labels).collect():
+        x, sizes, lines = linecrf.measure([dict(QUALITY_ROWS)[r.doc_id].encode()])
+        marg = brute_marginals(x @ field.w.astype(np.float32), field.trans, field.first)
+        mean = np.clip((marg * (sizes + 1)).sum() / (sizes + 1).sum(), 1e-6, 1 - 1e-6)
+        assert lines.sum() == r.lines and r.score == pytest.approx(1 / (1 + np.exp(-(field.slope * np.log(mean / (1 - mean)) + field.shift))), abs=1e-5)
+
+
+def test_long_documents_are_learned_from(spark, make, monkeypatch):
+    """Bad documents are all longer than any limit on bytes that a sample might have had."""
+    monkeypatch.setattr(linecrf, "SAMPLE_LINES", 20)
+    rows = [*((i, "A fine line of text.\nAnd one more of them.") for i in range(30)), *((100 + i, "###$$$ %%% #$#$ ***\n" * 4000) for i in range(10))]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(10)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in linecrf.score(make(rows), labels).collect()}
+    assert all(got[d].predicted == (d < 100) for d, _ in rows)

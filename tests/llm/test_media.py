@@ -79,3 +79,47 @@ def test_a_bad_member_is_a_row_with_an_error(spark, make):
 
 def test_empty_table(spark, make):
     assert media.stored_features(make([])).collect() == []
+
+
+def test_appending_and_overwriting(spark, make):
+    from curvelab.llm.common import new_path
+
+    spark.dataSource.register(media.MediaArchive)
+    path = new_path(spark, "media-test")
+    put = lambda rows, mode: media.images(make(rows)).write.format(media.FORMAT).mode(mode).option("path", path).save()
+    ids = lambda: sorted(r.doc_id for r in media.features(spark.read.format(media.FORMAT).option("path", path).load(), strict=True).collect())
+    put([(1, "one")], "append")
+    put([(2, "two"), (3, "three")], "append")
+    assert ids() == [1, 2, 3]
+    put([(4, "four")], "overwrite")
+    assert ids() == [4]
+    put([], "append")
+    assert ids() == [4]
+
+
+def test_the_query_fails_on_a_member_it_cannot_read(spark, make, monkeypatch):
+    import pathlib
+
+    from curvelab.llm import common
+
+    made = []
+    monkeypatch.setattr(media, "new_path", lambda s, name: made.append(common.new_path(s, name)) or made[-1])
+    rows = media.stored_features(make([(1, "one"), (2, "two")]), retries=1)
+    archive = next(pathlib.Path(made[0].removeprefix("file://")).glob("*.zip"))
+    raw, first = bytearray(archive.read_bytes()), zipfile.ZipFile(archive).infolist()[0]
+    raw[first.header_offset + 60] ^= 1
+    archive.write_bytes(raw)
+    with pytest.raises(Exception, match="directory"):
+        rows.collect()
+
+
+def test_planned_ranges_are_bounded(tmp_path, monkeypatch):
+    import json
+
+    (tmp_path / f"{media.MANIFEST}x.json").write_text(json.dumps([["a.zip", 10_000_000], ["b.zip", 5_000_000]]))
+    monkeypatch.setattr(media, "TASKS", 10)
+    parts = media._Reader(f"file://{tmp_path}", 1000, 1, 1).partitions()
+    assert len(parts) <= 12
+    for name, size in (("a.zip", 10_000_000), ("b.zip", 5_000_000)):
+        spans = sorted(p.value[1:] for p in parts if p.value[0] == name)
+        assert spans[0][0] == 0 and spans[-1][1] >= size and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))

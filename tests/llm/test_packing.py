@@ -75,3 +75,11 @@ def test_round_trip(spark, make, odd, tok):
 
 def test_empty_table(spark, make):
     assert packing.pack(make([])).collect() == []
+
+
+def test_the_cache_is_bounded_in_bytes():
+    made = []
+    cache = packing._Cache(lambda k: made.append(k) or k.encode(), 3)
+    for key in ("a", "b" * 1000, "a", "b" * 1000, "c", "d", "e"):
+        assert cache[key] == key.encode()
+    assert made.count("a") == 1 and made.count("b" * 1000) == 2 and all(len(k) <= packing.CACHED_LETTERS for k in [*cache, *cache.old]) and len(cache) <= 3 and len(cache.old) <= 3

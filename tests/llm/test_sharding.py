@@ -54,3 +54,25 @@ def test_one_document_repeated(spark, make):
 
 def test_quotas():
     assert sharding.quotas(10, 4) == [3, 3, 2, 2] and sum(sharding.quotas(99, 24)) == 99
+
+
+def test_fewer_links_are_cut_than_by_hashing(spark, make):
+    """Copies of a text are together more often than a hash would have them, against a plain count of pairs."""
+    import collections
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, f"text {i}") for i in range(1500)]
+    for g in range(120):
+        rows += [(10_000 + 100 * g + k, f"copy {g}") for k in range(rng.choice([2, 3, 5, 9, 30]))]
+    rows += [(90_000 + k, "hot") for k in range(900)]
+    shard = {r.doc_id: r.shard for r in sharding.shard(make(rows)).collect()}
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[t].append(shard[d])
+    of = lambda s: sum(n * (n - 1) // 2 for n in collections.Counter(s).values())
+    small = [s for t, s in groups.items() if len(s) > 1 and t != "hot"]
+    kept, pairs = sum(map(of, small)), sum(len(s) * (len(s) - 1) // 2 for s in small)
+    assert kept > 0.7 * pairs  # hashing keeps one pair in 24
+    largest = sorted(collections.Counter(groups["hot"]).values(), reverse=True)[:7]  # at FILL of a shard each, the hot group needs seven
+    assert sum(largest) > 0.85 * 900 and max(collections.Counter(shard.values()).values()) - min(collections.Counter(shard.values()).values()) <= 1
