@@ -57,11 +57,11 @@ def gaussian_blur(a: np.ndarray, size: int = 5) -> np.ndarray:
 
 
 def quality(image: np.ndarray) -> dict[str, float]:
-    """blur, noise, contrast, overall: sharpness is the Laplacian's variance, noise the mean local variance, contrast the deviation."""
+    """blur, noise, contrast, overall: sharpness is the Laplacian's variance, noise the mean of the local mean squares about the local mean, contrast the deviation."""
     g = gray(image).astype(np.float64)
     blur = 1 - min(laplacian(g).var() / 500, 1)
     local = np.rint(box_mean(g, 5))
-    noise = min(float(((g - local) ** 2).mean()) / 1000, 1)
+    noise = min(float(box_mean((g - local) ** 2, 5).mean()) / 1000, 1)
     contrast = min(g.std() / 60, 1)
     return {"blur": blur, "noise": noise, "contrast": contrast, "overall": 0.35 * (1 - blur) + 0.35 * (1 - noise) + 0.30 * contrast}
 
@@ -249,30 +249,48 @@ def _part_score(part: np.ndarray) -> float:
     return 0.35 * bw / w + 0.25 * (1 - (ys.min() + bh / 2) / h) + 0.20 * min(bw / max(bh, 1), 5) / 5 + 0.20 * min(arc / max(np.hypot(bw, bh), 1), 2) / 2
 
 
-def spline(points: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """n points, cut to whole numbers, of the natural cubic spline through the points by chord length; fewer than four stay as they are."""
+def spline(points: list[tuple[float, float]], n: int) -> list[tuple[int, int]]:
+    """n points, cut to whole numbers, of the interpolating cubic spline (third derivative continuous at the second and the last
+    but one point) through the points by chord length; fewer than four stay as they are."""
     if len(points) < 4:
-        return points
+        return [(int(x), int(y)) for x, y in points]
     p = np.array(points, float)
     u = np.concatenate(([0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))))
     keep = np.concatenate(([True], np.diff(u) > 0))
     p, u = p[keep], u[keep]
     if len(p) < 4:
-        return points
-    h = np.diff(u)
-    k = len(p)
-    a = np.zeros((k, k))
-    a[0, 0] = a[-1, -1] = 1
-    rhs = np.zeros((k, 2))
-    for i in range(1, k - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((p[i + 1] - p[i]) / h[i] - (p[i] - p[i - 1]) / h[i - 1])
-    m = np.linalg.solve(a, rhs)
+        return [(int(x), int(y)) for x, y in points]
+    h, k = np.diff(u), len(p)
+    rhs = 6 * np.diff(np.diff(p, axis=0) / h[:, None], axis=0)
+    low, mid, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()  # the three diagonals, of the inner points
+    a, b = h[0] / h[1], h[-1] / h[-2]
+    mid[0], high[0] = mid[0] + h[0] * (1 + a), high[0] - h[0] * a
+    mid[-1], low[-1] = mid[-1] + h[-1] * (1 + b), low[-1] - h[-1] * b
+    for i in range(1, k - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        rhs[i] -= f * rhs[i - 1]
+    m = np.zeros((k, 2))
+    m[k - 2] = rhs[-1] / mid[-1]
+    for i in range(k - 4, -1, -1):
+        m[i + 1] = (rhs[i] - high[i] * m[i + 2]) / mid[i]
+    m[0], m[-1] = (1 + a) * m[1] - a * m[2], (1 + b) * m[-2] - b * m[-3]
     t = np.linspace(0, u[-1], n)
     i = np.clip(np.searchsorted(u, t, side="right") - 1, 0, k - 2)
     l, r, hi = (t - u[i])[:, None], (u[i + 1] - t)[:, None], h[i][:, None]
     out = (m[i] * r**3 + m[i + 1] * l**3) / (6 * hi) + (p[i] / hi - m[i] * hi / 6) * r + (p[i + 1] / hi - m[i + 1] * hi / 6) * l
-    return [(int(x), int(y)) for x, y in out]
+    return [(int(x), int(y)) for x, y in np.round(out, 9)]
+
+
+def smoothed_curve(points: list[tuple[int, int]], n: int | None = None, sigma: float = 2.0) -> list[tuple[int, int]]:
+    """A traced curve whose y are smoothed (mirrored ends, whole numbers), on a spline of n points, as many as there are by default."""
+    if len(points) < 4:
+        return points
+    y, r = np.array([p[1] for p in points], float), int(4 * sigma + 0.5)
+    taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    at = (np.arange(len(y))[:, None] + np.arange(-r, r + 1)) % (2 * len(y))
+    smooth = (y[np.where(at < len(y), at, 2 * len(y) - 1 - at)] * (taps / taps.sum())).sum(axis=1)
+    return spline([(x, int(v)) for (x, _), v in zip(points, np.round(smooth, 9), strict=True)], n or len(points))
 
 
 def for_reading(image: np.ndarray) -> np.ndarray:
@@ -280,7 +298,7 @@ def for_reading(image: np.ndarray) -> np.ndarray:
     g = gray(image)
     scale = max(1, 300 // max(1, min(g.shape)))
     g = np.kron(g, np.ones((scale, scale), np.uint8))
-    mask = 255 - adaptive_mask(g)
+    mask = 255 - adaptive_mask(bilateral(g))
     return 255 - mask if mask.mean() < 127 else mask
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curvelab.functions.arrays import let
+
 # fixed values: what recognition confuses with digits, and what it stands for
 CONFUSED, MEANT = "OolI|SsBZzGg,", "001115582269."
 
@@ -19,13 +21,15 @@ def repaired(text: Column) -> Column:
 
 def clean_number(text: Column) -> Column:
     """The repaired token without anything but digits, dots and minus signs; dots after the first go; of several minus signs only a leading one stays."""
-    kept = F.regexp_replace(repaired(text), "[^0-9.\\-]", "")
-    head = F.substring_index(kept, ".", 1)
-    tail = F.regexp_replace(F.substring(kept, F.char_length(head) + 2, F.char_length(kept)), "\\.", "")
-    one_dot = F.when(F.instr(kept, ".") > 0, F.concat(head, F.lit("."), tail)).otherwise(kept)
-    minus = F.char_length(one_dot) - F.char_length(F.regexp_replace(one_dot, "-", ""))
-    plain = F.regexp_replace(one_dot, "-", "")
-    return F.when(minus > 1, F.when(F.substring(one_dot, 1, 1) == "-", F.concat(F.lit("-"), plain)).otherwise(plain)).otherwise(one_dot)
+    def one_dot(kept: Column) -> Column:
+        at = F.instr(kept, ".")
+        return F.when(at > 0, F.concat(F.substring(kept, F.lit(1), at), F.replace(F.substring(kept, at + 1, F.char_length(kept)), F.lit("."), F.lit("")))).otherwise(kept)
+
+    def signed(d: Column) -> Column:
+        plain = lambda p: F.when(F.char_length(d) - F.char_length(p) < 2, d).when(F.startswith(d, F.lit("-")), F.concat(F.lit("-"), p)).otherwise(p)
+        return let(F.replace(d, F.lit("-"), F.lit("")), plain)
+
+    return let(F.regexp_replace(repaired(text), "[^0-9.\\-]", ""), lambda kept: let(one_dot(kept), signed))
 
 
 def parse_number(text: Column) -> Column:

@@ -54,7 +54,7 @@ def analyze(curves: DataFrame, window: int | None = None) -> DataFrame:
     x, y, d, p = F.col("xs"), F.col("ys"), F.col("ds"), F.col("p")
     n = F.size(y)
     grown = prepared(curves, window)
-    grown = A.settled(grown, initial_modulus=A.mean(A.prefix(d, F.greatest(F.lit(1), F.floor(p * 0.1).cast("int")))), h=secant_index(y, p))
+    grown = A.settled(grown, initial_modulus=A.mean(A.prefix(d, F.greatest(F.lit(1), F.floor(p * 0.1).cast("int")))), h=secant_index(y, p), q=_yield_index(d, p))
     up, down = A.prefix(d, p), F.slice(d, p + 1, n - p)
     share = lambda a, test: A.count_if(a, test) / F.size(a)
     prominence = F.when(F.get(y, p) > 0, F.least((F.get(y, p) - F.array_min(y)) / F.get(y, p), F.lit(1.0))).otherwise(0.0)
@@ -65,21 +65,29 @@ def analyze(curves: DataFrame, window: int | None = None) -> DataFrame:
         "curve_id", F.get(y, p).alias("peak_stress"), F.get(x, p).alias("failure_strain"), "initial_modulus",
         F.when(F.get(x, F.col("h")) > 0, F.get(y, F.col("h")) / F.get(x, F.col("h"))).otherwise(F.col("initial_modulus")).alias("secant_modulus_50"),
         A.trapezoid(y, x, p).alias("energy_to_peak"), (p < n - 5).alias("post_peak"),
-        ((density + prominence + behaviour + rising) / 4).alias("confidence"), p.alias("peak_index"),
+        ((density + prominence + behaviour + rising) / 4).alias("confidence"), p.alias("peak_index"), _critical(F.col("h"), F.col("q")).alias("critical_points"),
     )
     zero = F.lit(0.0)
     short = curves.where(F.size("xs") < C.MIN_POINTS).select(
         "curve_id", F.coalesce(F.array_max("ys"), zero).alias("peak_stress"), F.coalesce(F.get("xs", A.argmax(F.col("ys"))), zero).alias("failure_strain"),
         zero.alias("initial_modulus"), zero.alias("secant_modulus_50"), zero.alias("energy_to_peak"), F.lit(False).alias("post_peak"), zero.alias("confidence"), F.coalesce(A.argmax(F.col("ys")), F.lit(0)).alias("peak_index"),
+        F.array().cast("array<struct<point:string,strain:double,stress:double>>").alias("critical_points"),
     )
     return full.unionByName(short).withColumn("energy_to_peak_kj_m3", F.col("energy_to_peak") / 100)
 
 
+def _yield_index(d: Column, p: Column) -> Column:
+    """The first sample before half of the peak's index where the slope drops by a tenth of its maximum."""
+    early = A.prefix(d, F.greatest(F.lit(1), F.floor(p / 2).cast("int")))
+    return A.let(F.struct(early.alias("e"), F.array_max(d).alias("top")), lambda k: F.when(F.size(k["e"]) > 5, F.get(F.filter(F.sequence(F.lit(0), F.size(k["e"]) - 2), lambda i: F.get(k["e"], i + 1) - F.get(k["e"], i) < -0.1 * k["top"]), F.lit(0))))
+
+
+def _critical(h: Column, q: Column) -> Column:
+    point = lambda name, at: F.struct(F.lit(name).alias("point"), F.get("xs", at).alias("strain"), F.get("ys", at).alias("stress"))
+    return F.array_compact(F.array(point("Peak", F.col("p")), point("50% Peak", h), F.when(q.isNotNull(), point("Yield", q))))
+
+
 def critical_points(curves: DataFrame, window: int | None = None) -> DataFrame:
     """(curve_id, point, strain, stress): the peak, its half, and the yield point where the slope first drops by a tenth of its maximum."""
-    x, y, d, p = F.col("xs"), F.col("ys"), F.col("ds"), F.col("p")
-    early = A.prefix(d, F.greatest(F.lit(1), F.floor(p / 2).cast("int")))
-    drops = A.let(F.struct(early.alias("e"), F.array_max(d).alias("top")), lambda k: F.when(F.size(k["e"]) > 5, F.get(F.filter(F.sequence(F.lit(0), F.size(k["e"]) - 2), lambda i: F.get(k["e"], i + 1) - F.get(k["e"], i) < -0.1 * k["top"]), F.lit(0))))
-    ready = A.settled(prepared(curves, window), h=secant_index(y, p), q=drops)
-    point = lambda name, at: F.struct(F.lit(name).alias("point"), F.get(x, at).alias("strain"), F.get(y, at).alias("stress"))
-    return ready.select("curve_id", F.inline(F.array_compact(F.array(point("Peak", p), point("50% Peak", F.col("h")), F.when(F.col("q").isNotNull(), point("Yield", F.col("q")))))))
+    ready = A.settled(prepared(curves, window), h=secant_index(F.col("ys"), F.col("p")), q=_yield_index(F.col("ds"), F.col("p")))
+    return ready.select("curve_id", F.inline(_critical(F.col("h"), F.col("q"))))

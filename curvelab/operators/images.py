@@ -42,6 +42,25 @@ def quality(df: DataFrame) -> DataFrame:
     return _each(df, lambda a: [tuple(float(v) for v in P.quality(a).values())], "blur double, noise double, contrast double, overall double")
 
 
+def noise(df: DataFrame) -> DataFrame:
+    return _each(df, lambda a: [(float(P.noise_level(a)),)], "noise double")
+
+
+def gray_pixels(df: DataFrame, size: int | None = None) -> DataFrame:
+    """(image_id, px, py, v) of every pixel's brightness, or with ``size`` of its mean over size x size pixels."""
+
+    def make(a: Image) -> list[tuple]:
+        g = P.gray(a) if size is None else P.box_mean(P.gray(a), size)
+        return [(x, y, float(v)) for (y, x), v in np.ndenumerate(g)]
+
+    return _each(df, make, "px int, py int, v double").drop("error")
+
+
+def skeleton(df: DataFrame) -> DataFrame:
+    """(image_id, px, py) of each mask's thinned pixels."""
+    return _each(df, lambda a: [(int(x), int(y)) for y, x in np.argwhere(P.thinned(a) > 0)], "px int, py int").where("error is null").drop("error")
+
+
 def rectify(df: DataFrame) -> DataFrame:
     def make(a: Image) -> list[tuple]:
         out, angle = P.rectified(a)
@@ -84,11 +103,11 @@ def trace(df: DataFrame) -> DataFrame:
 
 
 def smooth_trace(points: DataFrame, n: int = 200) -> DataFrame:
-    """Each image's points on a spline of n points."""
+    """Each image's points, their y smoothed, on a spline of n points."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values("idx")
-        out = P.spline(list(zip(p["px"].tolist(), p["py"].tolist(), strict=True)), n)
+        out = P.smoothed_curve(list(zip(p["px"].tolist(), p["py"].tolist(), strict=True)), n)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "idx": range(len(out)), "px": [x for x, _ in out], "py": [y for _, y in out]})
 
     kind = points.schema["image_id"].dataType.simpleString()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from curvelab.functions import arrays as A
 from curvelab.functions.text import parse_number
 
 MIN_CONFIDENCE, RESIDUAL, MIN_TICKS, MIN_R2 = 0.5, 5.0, 2, 0.9
@@ -27,7 +27,8 @@ def ticks(tokens: DataFrame, min_confidence: float = MIN_CONFIDENCE, frame: str
     elif frame != "reference":
         raise ValueError("frame is reference or image")
     kept = tokens.where((F.trim("text") != "") & (F.col("conf") / 100 >= min_confidence))
-    return kept.select("chart_id", "axis", at.cast("int").alias("pixel_position"), parse_number(F.col("text")).alias("value"), (F.col("conf") / 100).alias("confidence"), F.trim("text").alias("raw_text")).where(F.col("value").isNotNull())
+    read = A.settled(kept, value=parse_number(F.col("text"))).where(F.col("value").isNotNull())
+    return read.select("chart_id", "axis", at.cast("int").alias("pixel_position"), "value", (F.col("conf") / 100).alias("confidence"), F.trim("text").alias("raw_text"))
 
 
 def in_range(t: DataFrame, low: float, high: float) -> DataFrame:
@@ -66,63 +67,106 @@ def fit_weighted(df: DataFrame, by: list[str], x: str = "x", y: str = "y", w: st
     return s.withColumn("slope", slope).select(*by, "n", "slope", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("sw")).alias("intercept"))
 
 
+def _sums(points: Column, x0: Column, y0: Column, weight, keep=None) -> Column:
+    """Weighted sums over points (x, y, w), about (x0, y0), as a struct."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "w", "x", "y", "xx", "xy", "yy")])
+
+    def add(a: Column, p: Column) -> Column:
+        w, x, y = weight(p), p["x"] - x0, p["y"] - y0
+        more = {"n": F.lit(1.0), "w": w, "x": w * x, "y": w * y, "xx": w * x * x, "xy": w * x * y, "yy": w * y * y}
+        new = F.struct(*[(a[c] + v).alias(c) for c, v in more.items()])
+        return new if keep is None else F.when(keep(p), new).otherwise(a)
+
+    return F.aggregate(points, zero, add)
+
+
+def _line(s: Column, x0: Column, y0: Column) -> Column:
+    """struct(slope, intercept, total, residual) of the least-squares line of such sums; null slope without two different x."""
+    sxx, sxy, syy = s["xx"] - s["x"] * s["x"] / s["w"], s["xy"] - s["x"] * s["y"] / s["w"], s["yy"] - s["y"] * s["y"] / s["w"]
+    slope = F.when(sxx > 1e-12, F.try_divide(sxy, sxx))
+    return F.struct(slope.alias("slope"), (y0 + s["y"] / s["w"] - slope * (x0 + s["x"] / s["w"])).alias("intercept"), syy.alias("total"), F.greatest(syy - slope * sxy, F.lit(0.0)).alias("residual"))
+
+
+LINE = "struct<inliers:int,r2:double,i:int,j:int,slope:double,intercept:double>"
+
+
+def robust_line(points: Column, residual: float = RESIDUAL) -> Column:
+    """Of an array of points (x, y, w) the line through a pair with most inliers (then the best fit on them, then the first
+    pair in the order of x, y), refitted to its inliers: struct(inliers, r2, i, j, slope, intercept); i and j are negative places.
+
+    Every pair is tried, instead of random ones; a row's pairs stay in the row. Null without two different x.
+    """
+
+    def body(p: Column) -> Column:
+        n = F.size(p)
+        x0, y0 = F.get(p, F.lit(0))["x"], F.get(p, F.lit(0))["y"]
+
+        def pair(i: Column, j: Column) -> Column:
+            a, b = F.get(p, i), F.get(p, j)
+            near = lambda m: lambda q: F.abs(q["y"] - (m * q["x"] + (a["y"] - m * a["x"]))) <= residual
+            sums = A.let(F.try_divide(b["y"] - a["y"], b["x"] - a["x"]), lambda m: _sums(p, x0, y0, lambda q: F.lit(1.0), near(m)))
+            named = lambda s: A.let(_line(s, x0, y0), lambda f: F.struct(s["n"].cast("int").alias("inliers"), F.round(r_squared(f["total"], f["residual"]), 9).alias("r2"), (-i).alias("i"), (-j).alias("j"), f["slope"].alias("slope"), f["intercept"].alias("intercept")))
+            return F.when(a["x"] != b["x"], A.let(sums, named))
+
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: pair(i, j))))
+        return F.when(n >= 2, F.array_max(F.filter(pairs, lambda f: f["slope"].isNotNull()))).otherwise(F.lit(None).cast(LINE))
+
+    return A.let(F.array_sort(points), body)
+
+
 def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual: float = RESIDUAL) -> DataFrame:
-    """The line through a pair of points with most inliers (then the best fit on
-    them, then the first pair), refitted to its inliers, per group.
+    """The robust line of each group's points; groups without two different x have none.
 
-    Every pair of a group's points is tried, instead of random ones: ticks are
-    few. It is deterministic; groups of fewer than two different x have nulls.
+    A group's points are one row, and its pairs are tried within it: ticks of an axis are few.
     """
-    numbered = t.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(x, y)))
-    a = numbered.select(*by, F.col("i"), F.col(x).alias("xa"), F.col(y).alias("ya"))
-    b = numbered.select(*[F.col(k).alias(f"b_{k}") for k in by], F.col("i").alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    same = lambda p, q: [F.col(f"{p}{k}").eqNullSafe(F.col(f"{q}{k}")) for k in by]
-    cond = [*same("", "b_"), F.col("i") < F.col("j"), F.col("xa") != F.col("xb")]
-    lines = a.join(b, _all(cond)).select(*by, "i", "j", F.try_divide(F.col("yb") - F.col("ya"), F.col("xb") - F.col("xa")).alias("m"), F.col("xa"), F.col("ya")).withColumn("c", F.col("ya") - F.col("m") * F.col("xa"))
-    pts = t.select(*[F.col(k).alias(f"p_{k}") for k in by], F.col(x).alias("px"), F.col(y).alias("py"))
-    near = lines.join(pts, _all(same("", "p_"))).where(F.abs(F.col("py") - (F.col("m") * F.col("px") + F.col("c"))) <= residual)
-    each = near.groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("inliers"), F.regr_slope("py", "px").alias("slope"), F.regr_intercept("py", "px").alias("intercept"), F.regr_syy("py", "px").alias("syy"), F.regr_sxx("py", "px").alias("sxx"), F.regr_sxy("py", "px").alias("sxy"))
-    fit = each.withColumn("r2", r_squared(F.col("syy"), F.greatest(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.lit(0.0))))
-    rank = Window.partitionBy(*by).orderBy(F.desc("inliers"), F.desc(F.round("r2", 9)), "i", "j")
-    return fit.withColumn("rn", F.row_number().over(rank)).where("rn = 1").select(*by, "inliers", "slope", "intercept", "r2")
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    grouped = t.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.collect_list(point).alias("points"))
+    return A.settled(grouped, f=robust_line(F.col("points"), residual)).where("f is not null").select(*by, "f.inliers", "f.slope", "f.intercept", "f.r2")
 
 
-def scale_factors(t: DataFrame, origins: DataFrame, robust: bool = True) -> DataFrame:
-    """One row per chart: x_scale, x_offset, y_scale (up is positive), y_offset, both r2 and is_valid.
+def axis_line(ticks: Column, robust: bool = True) -> Column:
+    """struct(slope, intercept, r2) of an axis' ticks (x place, y value, w confidence): robust from three on, weighted by confidence
+    for two (or always, without ``robust``); null for fewer than two."""
+
+    def weighted(p: Column) -> Column:
+        x0, y0 = F.get(p, F.lit(0))["x"], F.get(p, F.lit(0))["y"]
+        fit = lambda s: _line(s, x0, y0)
+        off = lambda f: F.aggregate(p, F.lit(0.0), lambda a, q: a + (q["y"] - f["slope"] * q["x"] - f["intercept"]) * (q["y"] - f["slope"] * q["x"] - f["intercept"]))
+        total = A.variance(F.transform(p, lambda q: q["y"])) * F.size(p)
+        shown = lambda f: F.when(f["slope"].isNotNull(), F.struct(f["slope"].alias("slope"), f["intercept"].alias("intercept"), r_squared(total, off(f)).alias("r2")))
+        return A.let(A.let(_sums(p, x0, y0, lambda q: F.greatest(q["w"], F.lit(1e-9))), fit), shown)
 
-    ``origins`` have (chart_id, origin_x, origin_y). An axis with three ticks or
-    more is fitted robustly, one with two by confidence-weighted least squares;
-    one with fewer, or without a fit, has nulls, and defaults stand in for them.
-    A zero counts as missing there.
+    few = F.when(F.size(ticks) >= MIN_TICKS, A.let(ticks, weighted))
+    if not robust:
+        return few
+    many = A.let(robust_line(ticks), lambda f: F.when(f.isNotNull(), F.struct(f["slope"].alias("slope"), f["intercept"].alias("intercept"), f["r2"].alias("r2"))))
+    return F.when(F.size(ticks) >= 3, many).otherwise(few)
+
+
+def factors(x: Column, y: Column, origin_x: Column, origin_y: Column) -> Column:
+    """struct(x_scale, x_offset, y_scale (up is positive), y_offset, x_r2, y_r2, is_valid) from both axes' lines.
+
+    An axis without a line has defaults; a zero counts as missing there.
     """
-    n = t.groupBy("chart_id", "axis").agg(F.count(F.lit(1)).alias("n_ticks"))
-    sized = t.join(n, ["chart_id", "axis"])
-    many = sized.where(F.col("n_ticks") >= 3) if robust else sized.where(F.lit(False))
-    few = sized.where((F.col("n_ticks") == 2)) if robust else sized.where(F.col("n_ticks") >= MIN_TICKS)
-    fits = fit_robust(many, ["chart_id", "axis"], "pixel_position", "value").select("chart_id", "axis", "slope", "intercept", "r2")
-    weighted = fit_weighted(few, ["chart_id", "axis"], "pixel_position", "value", "confidence")
-    plain = fit_ols(few, ["chart_id", "axis"], "pixel_position", "value").select("chart_id", "axis", "r2")
-    fits = fits.unionByName(weighted.join(plain, ["chart_id", "axis"]).select("chart_id", "axis", "slope", "intercept", "r2"))
-    x = fits.where("axis = 'x'").select("chart_id", F.col("slope").alias("xm"), F.col("intercept").alias("xc"), F.col("r2").alias("x_r2"))
-    y = fits.where("axis = 'y'").select("chart_id", F.col("slope").alias("ym"), F.col("intercept").alias("yc"), F.col("r2").alias("y_r2"))
-    full = origins.join(x, "chart_id", "left").join(y, "chart_id", "left")
-    xs, ys = F.col("xm"), -F.col("ym")
-    good = (F.col("x_r2") > MIN_R2) & (F.col("y_r2") > MIN_R2) & (xs > 0) & ys.isNotNull()
     either = lambda v, d: F.when(v.isNull() | (v == 0), F.lit(d)).otherwise(v)
-    return full.select(
-        "chart_id", "origin_x", "origin_y", either(xs, 1.0).alias("x_scale"), either(F.col("xm") * F.col("origin_x") + F.col("xc"), 0.0).alias("x_offset"),
-        either(ys, 1.0).alias("y_scale"), either(F.col("ym") * F.col("origin_y") + F.col("yc"), 0.0).alias("y_offset"),
-        F.coalesce("x_r2", F.lit(0.0)).alias("x_r2"), F.coalesce("y_r2", F.lit(0.0)).alias("y_r2"), F.coalesce(good, F.lit(False)).alias("is_valid"),
+    good = (x["r2"] > MIN_R2) & (y["r2"] > MIN_R2) & (x["slope"] > 0) & y["slope"].isNotNull()
+    return F.struct(
+        either(x["slope"], 1.0).alias("x_scale"), either(x["slope"] * origin_x + x["intercept"], 0.0).alias("x_offset"),
+        either(-y["slope"], 1.0).alias("y_scale"), either(y["slope"] * origin_y + y["intercept"], 0.0).alias("y_offset"),
+        F.coalesce(x["r2"], F.lit(0.0)).alias("x_r2"), F.coalesce(y["r2"], F.lit(0.0)).alias("y_r2"), F.coalesce(good, F.lit(False)).alias("is_valid"),
     )
 
 
+def scale_factors(t: DataFrame, origins: DataFrame, robust: bool = True) -> DataFrame:
+    """One row per chart of ``origins`` (chart_id, origin_x, origin_y): its scale by ``factors`` from its ticks."""
+    tick = F.struct(F.col("pixel_position").cast("double").alias("x"), F.col("value").alias("y"), F.col("confidence").alias("w"))
+    of = lambda axis: F.collect_list(F.when(F.col("axis") == axis, tick))
+    grouped = t.groupBy("chart_id").agg(of("x").alias("x_ticks"), of("y").alias("y_ticks"))
+    lines = A.settled(origins.join(grouped, "chart_id", "left"), x=axis_line(F.col("x_ticks"), robust), y=axis_line(F.col("y_ticks"), robust))
+    out = A.settled(lines, f=factors(F.col("x"), F.col("y"), F.col("origin_x"), F.col("origin_y")))
+    return out.select("chart_id", "origin_x", "origin_y", "f.*")
+
+
 def map_units(pixels: DataFrame, scales: DataFrame) -> DataFrame:
     """(chart_id, idx, strain, stress, pixel_x, pixel_y, units) by each chart's scale; with an invalid scale the pixels stand for themselves, y downwards."""
     s = scales.withColumnRenamed("chart_id", "sid")

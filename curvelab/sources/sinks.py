@@ -22,10 +22,10 @@ def csv_rows(points: DataFrame, pixels: bool = False, decimals: int = 4, key: li
     return points.select(*(key or []), fixed(F.col("strain"), decimals).alias(STRAIN), fixed(F.col("stress"), decimals).alias(STRESS), *more)
 
 
-def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int = 4, separator: str = ",", mode: str = "error", smoothed: bool = False) -> None:
-    """Lines end with carriage return and line feed."""
+def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int = 4, separator: str = ",", mode: str = "error", smoothed: bool = False, blank: str = '""') -> None:
+    """Lines end with carriage return and line feed; ``blank`` is how an empty cell is written, "" for a bare one."""
     out = csv_rows(points.orderBy("strain") if "idx" not in points.columns else points.orderBy("idx"), pixels, decimals, smoothed=smoothed)
-    out.write.mode(mode).option("header", True).option("sep", separator).option("lineSep", "\r\n").csv(path)
+    out.write.mode(mode).option("header", True).option("sep", separator).option("lineSep", "\r\n").option("emptyValue", blank).csv(path)
 
 
 def completed(jobs: DataFrame) -> DataFrame:
