@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, fields
 from functools import lru_cache
 
 
 @dataclass(frozen=True)
 class Settings:
+    # fixed values: the settings' names and defaults
     debug: bool = False
     max_image_size_mb: int = 50
     max_concurrent_jobs: int = 10
     job_timeout_seconds: int = 300
     model_path: str = ""
     use_gpu: bool = False
-    ocr_confidence_threshold: float = 0.5
+    ocr_confidence_threshold: float = 0.6
     target_accuracy: float = 0.95
     smoothing_window: int = 11
     allowed_origins: str = ""
 
     @property
     def origins(self) -> list[str]:
-        return [o.strip() for o in self.allowed_origins.split(",") if o.strip()]
+        return re.findall(r"[^\s,](?:[^,]*[^\s,])?", self.allowed_origins)
 
 
 def _env_file(path: str) -> dict[str, str]:

@@ -14,8 +14,8 @@ import numpy as np
 def gray(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
         return image
-    b, g, r = (image[..., k].astype(np.float64) for k in range(3))
-    return np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5).astype(np.uint8)
+    b, g, r = (image[..., k].astype(np.int32) for k in range(3))
+    return ((114 * b + 587 * g + 299 * r + 500) // 1000).astype(np.uint8)
 
 
 def _padded(a: np.ndarray, ry: int, rx: int, mode: str = "reflect") -> np.ndarray:
@@ -101,23 +101,36 @@ def closed(a: np.ndarray, ky: int = 3, kx: int = 3) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, areas) of 8-connected parts, 0 for the background; labels in reading order."""
+    """(labels, areas) of 8-connected parts, 0 for the background; labels in reading order. Runs of pixels are joined, not pixels."""
     h, w = mask.shape
-    on = mask > 0
-    label = np.where(on, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:  # minima spread over neighbours, then jump to their labels' labels
-        p = np.pad(np.where(on, label, h * w + 1), 1, constant_values=h * w + 1)
-        low = np.minimum.reduce([p[i : i + h, j : j + w] for i in range(3) for j in range(3)])
-        new = np.where(on, np.minimum(label, low), 0)
-        flat = np.concatenate(([0], new.ravel()))
-        new = np.where(on, np.minimum(new, flat[new]), 0)
+    on = np.zeros((h, w + 2), np.int8)
+    on[:, 1:-1] = mask > 0
+    step = np.diff(on, axis=1).ravel()
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # places in rows of w + 1; runs in reading order
+    n = len(starts)
+    if not n:
+        return np.zeros((h, w), np.int64), np.empty(0, np.int64)
+    # runs of the next row that touch a run, corners included, are successive
+    lo, hi = np.searchsorted(ends, starts + w + 1), np.searchsorted(starts, ends + w + 1, side="right")
+    count = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+    label = np.arange(n)
+    while True:  # minima over touching runs, then over labels' labels
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, new[a])
+        new = np.minimum(new, new[new])
         if (new == label).all():
             break
         label = new
-    roots, number = np.unique(label[on], return_inverse=True)
-    out = np.zeros((h, w), np.int64)
-    out[on] = number + 1
-    return out, np.bincount(out.ravel(), minlength=len(roots) + 1)[1:]
+    _, number = np.unique(label, return_inverse=True)
+    out = np.zeros(h * w, np.int64)
+    row = starts // (w + 1)
+    size = ends - starts
+    places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts - row, size)
+    out[places] = np.repeat(number + 1, size)
+    return out.reshape(h, w), np.bincount(number, weights=size).astype(np.int64)
 
 
 def without_small(mask: np.ndarray, least: int = 50) -> np.ndarray:
@@ -236,16 +249,27 @@ def traced(mask: np.ndarray) -> list[tuple[int, int]]:
     labels, areas = components(mask)
     if not len(areas):
         return []
-    best = 1 + int(np.argmax([_part_score(labels == k + 1) for k in range(len(areas))]))
-    ys, xs = np.nonzero(labels == best)
-    return [(int(x), int(np.median(ys[xs == x]))) for x in np.unique(xs)]
-
-
-def _part_score(part: np.ndarray) -> float:
-    ys, xs = np.nonzero(part)
-    h, w = part.shape
+    ys, xs = np.nonzero(labels)
+    part = labels[ys, xs]
+    order = np.lexsort((ys, xs, part))
+    ys, xs, part = ys[order], xs[order], part[order]
+    best, chosen = -1.0, None
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        x, y = xs[s:e], ys[s:e]
+        first = np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1))
+        n = np.diff(np.append(first, len(x)))
+        middle = (y[first + (n - 1) // 2] + y[first + n // 2]) / 2  # a column's rows are sorted
+        score = _part_score(x, y, middle, mask.shape)
+        if score > best:
+            best, chosen = score, list(zip(x[first].tolist(), middle.astype(int).tolist(), strict=True))
+    return chosen
+
+
+def _part_score(xs: np.ndarray, ys: np.ndarray, middle: np.ndarray, shape: tuple[int, int]) -> float:
+    h, w = shape
     bw, bh = int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
-    arc = len(np.unique(xs)) + np.abs(np.diff([np.median(ys[xs == x]) for x in np.unique(xs)])).sum()
+    arc = len(middle) + np.abs(np.diff(middle)).sum()
     return 0.35 * bw / w + 0.25 * (1 - (ys.min() + bh / 2) / h) + 0.20 * min(bw / max(bh, 1), 5) / 5 + 0.20 * min(arc / max(np.hypot(bw, bh), 1), 2) / 2
 
 
@@ -373,6 +397,15 @@ def straightened(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
     return image[y, x]
 
 
+def drawn(ys: np.ndarray, height: int, width: int, left: int, thick: int = 3) -> np.ndarray:
+    """A white image with a black stroke through (left + k, ys[k])."""
+    a = np.full((height, width), 255, np.uint8)
+    for k, (y, z) in enumerate(zip(ys.tolist(), [*ys[1:].tolist(), int(ys[-1])], strict=True)):
+        lo, hi = min(y, z), max(y, z)
+        a[max(0, lo - thick // 2) : hi + thick // 2 + 1, left + k] = 0
+    return a
+
+
 def edge_mask(image: np.ndarray) -> np.ndarray:
     """Edges made two pixels wide, for tracing without a threshold."""
     return dilate(edges(gray(image)), 2, 2)

@@ -2,21 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from curvelab.functions.arrays import savgol_matrix
+
+
+def _prominent(y: np.ndarray) -> list[tuple[float, float, int]]:
+    """(height, prominence, place) of local maxima; a plateau counts at its middle."""
+    out, cuts = [], np.flatnonzero(np.diff(y)) + 1
+    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(y)])) - 1
+    for l, r in zip(starts.tolist(), ends.tolist(), strict=True):
+        if l and r < len(y) - 1 and y[l - 1] < y[l] > y[r + 1]:
+            k, h = (l + r) // 2, y[l]
+            left, right = np.flatnonzero(y[:l] > h), np.flatnonzero(y[r:] > h)
+            a, b = (left[-1] + 1 if len(left) else 0), (r + right[0] if len(right) else len(y))
+            out.append((float(h), float(h - max(y[a : k + 1].min(), y[k:b].min())), k))
+    return out
+
+
+def critical(xs: list[float], ys: list[float], n: int = 200, window: int = 11) -> list[tuple[str, float, float]]:
+    """The rows of ``operators.features.critical_points`` for one curve: the same steps in numpy."""
+    x, y = np.array(xs, float), np.array(ys, float)
+    fine = np.isfinite(x) & np.isfinite(y)
+    x, first = np.unique(x[fine], return_index=True)
+    y = y[fine][first]
+    if len(x) < 5:  # as for a curve's features: the raw maximum, nothing is smoothed
+        if not len(x):
+            return []
+        p = int(y.argmax())
+        h = int(np.abs(y[: p + 1] - y[p] / 2).argmin())
+        return [("Peak", float(x[p]), float(y[p])), ("50% Peak", float(x[h]), float(y[h]))]
+    grid = x[0] + np.arange(n) * ((x[-1] - x[0]) / (n - 1))
+    grid[-1] = x[-1]
+    raw, m, half = np.interp(grid, x, y), savgol_matrix(window), window // 2
+    s = np.convolve(raw, m[half][::-1], mode="same")
+    s[:half], s[-half:] = m[:half] @ raw[:window], m[half + 1 :] @ raw[-window:]
+    d = np.gradient(s, grid)
+    falls = np.flatnonzero((d[:-1] > 0) & (d[1:] <= 0)) + 1
+    near = np.rint(falls - 1 + d[falls - 1] / (d[falls - 1] - d[falls])).astype(int)
+    high = near[s[near] > 0.5 * s.max()]
+    tall = [(h, -k) for h, prominence, k in _prominent(s) if prominence >= 0.1 * s.max()]
+    p = int(high[0]) if len(high) else -max(tall)[1] if tall else int(s.argmax())
+    h = int(np.abs(s[: p + 1] - s[p] / 2).argmin())
+    early = d[: max(1, p // 2)]
+    drops = np.flatnonzero(np.diff(early) < -0.1 * d.max()) if len(early) > 5 else []
+    places = [("Peak", p), ("50% Peak", h), *[("Yield", int(k)) for k in drops[:1]]]
+    return [(name, float(grid[k]), float(s[k])) for name, k in places]
+
 
 @udtf(returnType="point string, strain double, stress double")
 class CriticalPoints:
-    """The peak and its half of two arrays, as rows."""
+    """The critical points of two arrays, as rows."""
 
     def eval(self, xs, ys):
-        if not ys:
-            return
-        p = max(range(len(ys)), key=lambda i: (ys[i], -i))
-        h = min(range(p + 1), key=lambda i: (abs(ys[i] - ys[p] / 2), i))
-        yield "Peak", float(xs[p]), float(ys[p])
-        yield "50% Peak", float(xs[h]), float(ys[h])
+        yield from critical(xs or [], ys or [])
 
 
 def register(spark: SparkSession) -> None:

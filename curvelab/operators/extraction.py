@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curvelab import config
 from curvelab.functions import arrays as A
 from curvelab.functions import pixels as P
 from curvelab.functions import text as T
@@ -125,12 +126,12 @@ def _axis(ticks: Column, text: Column, unit: str) -> Column:
 
 def extract(
     df: DataFrame, reader: Reader | None = None, segment: Callable[[np.ndarray], np.ndarray] | None = None, method: str = "auto", apply_smoothing: bool = True,
-    smoothing_window: int = C.WINDOW, frame: str = "reference", min_confidence: float = scale.MIN_CONFIDENCE, rectify: bool = True, tokens: DataFrame | None = None, strict: bool = False,
+    smoothing_window: int | None = None, frame: str = "reference", min_confidence: float = scale.MIN_CONFIDENCE, rectify: bool = True, tokens: DataFrame | None = None, strict: bool = False,
 ) -> DataFrame:
     """A result record per image: (image_id, status, data_points, features, critical_points, confidence, x_axis, y_axis,
     extraction_method, units, angle, error).
 
-    ``reader`` recognises text, or ``tokens`` (image_id, tokens) has it recognised already; ``segment`` maps an image to
+    ``reader`` recognises text, or ``tokens`` (image_id, tokens[, labels (x_text, y_text)]) has it recognised already; ``segment`` maps an image to
     probabilities. Without either the axes stay uncalibrated (points are pixels), and no network is asked. frame ``image``
     sets tick places back into the image's frame; ``reference`` leaves them as they were recognised. An image that cannot be
     processed has status failed, null results and its reason. The smoothed curve's places are whole pixels; of equal ones the
@@ -138,10 +139,13 @@ def extract(
     """
     if frame not in ("reference", "image"):
         raise ValueError("frame is reference or image")
-    window = features.window_for(apply_smoothing, smoothing_window)
+    window = features.window_for(apply_smoothing, smoothing_window or config.settings().smoothing_window)
     seen = digitised(df, reader, segment, rectify)
     if tokens is not None:
-        seen = seen.drop("tokens").join(tokens.select(F.col("image_id").cast("string").alias("image_id"), F.col("tokens").cast(f"array<{TOKEN}>").alias("tokens")), "image_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")))
+        has = "labels" in tokens.columns
+        labels = [F.col(f"labels.{c}").alias(c) if has else F.lit("").alias(c) for c in ("x_text", "y_text")]
+        given = tokens.select(F.col("image_id").cast("string").alias("image_id"), F.col("tokens").cast(f"array<{TOKEN}>").alias("tokens"), *labels)
+        seen = seen.drop("tokens", "x_text", "y_text").join(given, "image_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")))
     routed = merge.route(F.col("quality"), F.col("contour"), F.size("points"), F.col("network_conf"), F.size("network"), method=method)
     mx, my = F.floor(F.col("width") * scale.MARGIN), F.floor(F.col("height") * scale.MARGIN)
     made = A.settled(seen.where("error is null"), m=routed, x_ticks=_ticks(F.col("tokens"), "x", frame, min_confidence), y_ticks=_ticks(F.col("tokens"), "y", frame, min_confidence), ox=mx.cast("int"), oy=(F.col("height") - my).cast("int"))
@@ -157,7 +161,7 @@ def extract(
     made = A.settled(made, d=F.when(F.size("mapped") > 0, C._keep_first(F.transform("mapped", lambda p: p["strain"]), F.transform("mapped", lambda p: p["stress"]))))
     none = F.array().cast("array<double>")
     # one exchange feeds the analysis, of long and of short curves, and what is joined to it: the images are read once
-    made = made.repartition("image_id")
+    made = made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")  # by number: rows are few and their analysis is long
     curves = made.select(F.col("image_id").alias("curve_id"), F.coalesce("d.xs", none).alias("xs"), F.coalesce("d.ys", none).alias("ys"))
     analysed = features.analyze(curves, window).select(F.col("curve_id").alias("key"), F.struct("peak_stress", "failure_strain", "initial_modulus", "secant_modulus_50", "energy_to_peak", "post_peak", "confidence").alias("features"), "critical_points")
     got = made.join(analysed, F.col("image_id") == F.col("key"))

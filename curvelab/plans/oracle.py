@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from curvelab.functions.arrays import gaussian_taps, savgol_matrix
+import math
+from fractions import Fraction
 
 PTS = """pts AS (SELECT user_id AS curve_id, event_id AS idx, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 3600000000.0 AS x, value AS y FROM events)"""
 CV = PTS + """,
@@ -20,12 +21,31 @@ rs AS (SELECT curve_id, k, CASE WHEN k = 199 THEN xs[len(xs)] ELSE xs[1] + k * (
 gr AS (SELECT curve_id, k, x, {interpolated('xs', 'ys', 'x')} AS y FROM rs)"""
 
 
+def _polynomial_weights(window: int, order: int = 3) -> list[list[float]]:
+    """For each place of a window, the weights whose sum with the samples is the fitted cubic there: discrete orthogonal polynomials, in fractions."""
+    ts = [Fraction(k) for k in range(window)]
+    base: list[list[Fraction]] = []
+    for d in range(order + 1):
+        v = [t**d for t in ts]
+        for b in base:
+            c = sum(x * y for x, y in zip(v, b)) / sum(y * y for y in b)
+            v = [x - c * y for x, y in zip(v, b)]
+        base.append(v)
+    norm = [sum(y * y for y in b) for b in base]
+    return [[float(sum(b[i] * b[j] / n for b, n in zip(base, norm))) for j in range(window)] for i in range(window)]
+
+
+# fixed values: the interior weights that published tables give for a cubic
+assert [round(w * 429) for w in _polynomial_weights(11)[5]] == [-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36]
+assert [round(w * 35) for w in _polynomial_weights(5)[2]] == [-3, 12, 17, 12, -3]
+
+
 def _weighted(list_: str, first: str, weights: list[float]) -> str:
     return " + ".join(f"{list_}[{first} + {j}] * CAST({w!r} AS DOUBLE)" for j, w in enumerate(weights))
 
 
 def smoothed(window: int = 11, n: int = 200) -> str:
-    m, h = savgol_matrix(window).tolist(), window // 2
+    m, h = _polynomial_weights(window), window // 2
     cases = [f"WHEN k >= {h} AND k < {n - h} THEN {_weighted('yl', f'k - {h} + 1', m[h])}"]
     for e in range(h):
         cases += [f"WHEN k = {e} THEN {_weighted('yl', '1', m[e])}", f"WHEN k = {n - h + e} THEN {_weighted('yl', str(n - window + 1), m[h + 1 + e])}"]
@@ -96,8 +116,9 @@ va AS (SELECT curve_id, n, curve_smoothness, n // 3 AS m,
 sc AS (SELECT curve_id, curve_smoothness, CASE WHEN n < 3 THEN 0.0 WHEN m > 2 THEN (v1 + v2 + rises / (m - 1) + v4 + v5) / 5 ELSE (v1 + v2 + v4 + v5) / 4 END AS data_validity FROM va)"""
 
 REPORT = SCORES + """,
-fa AS (SELECT curve_id, curve_smoothness, data_validity, (0.4 + (curve_id % 7) * 0.1 + 0.8) / 2 AS ocr_confidence, (least((curve_id % 8) / 5, 1.0) + least((curve_id % 5 + 1) / 5, 1.0)) / 2 * CASE WHEN curve_id % 8 < 2 OR curve_id % 5 + 1 < 2 THEN 0.5 ELSE 1.0 END AS axis_detection,
-  (curve_id % 10) / 10.0 AS image_quality, CAST(CASE curve_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 WHEN 2 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS method_confidence FROM sc),
+fn AS (SELECT *, CASE WHEN curve_id % 3 > 0 THEN (curve_id % 5) * 0.04 END AS nmae, data_validity AS raw_validity FROM sc),
+fa AS (SELECT curve_id, nmae, raw_validity, curve_smoothness, CASE WHEN nmae > 0.05 THEN raw_validity * (1 - least(nmae, 0.5)) ELSE raw_validity END AS data_validity, (0.4 + (curve_id % 7) * 0.1 + 0.8) / 2 AS ocr_confidence, (least((curve_id % 8) / 5, 1.0) + least((curve_id % 5 + 1) / 5, 1.0)) / 2 * CASE WHEN curve_id % 8 < 2 OR curve_id % 5 + 1 < 2 THEN 0.5 ELSE 1.0 END AS axis_detection,
+  (curve_id % 10) / 10.0 AS image_quality, CAST(CASE curve_id % 4 WHEN 0 THEN 0.9 WHEN 1 THEN 0.85 WHEN 2 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS method_confidence FROM fn),
 ov AS (SELECT *, 0.0 + ocr_confidence * 0.2 + curve_smoothness * 0.25 + axis_detection * 0.15 + data_validity * 0.15 + image_quality * 0.15 + method_confidence * 0.1 AS overall FROM fa)"""
 
 _CLEAN = """kept AS (SELECT DISTINCT tok, regexp_replace(translate(trim(tok), 'OolI|SsBZzGg,', '001115582269.'), '[^0-9.\\-]', '', 'g') AS k FROM toks),
@@ -108,7 +129,8 @@ CLEAN = TOKENS + ",\n" + _CLEAN
 
 
 def gaussian_sql(sigma: float = 2.0) -> str:
-    taps = gaussian_taps(sigma)
-    r = len(taps) // 2
+    r = math.floor(4 * sigma + 0.5)
+    taps = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-r, r + 1)]
+    taps = [t / math.fsum(taps) for t in taps]
     at = lambda o: f"(CASE WHEN (i + {o}) < 0 THEN ys[-(i + {o})] WHEN (i + {o}) >= len(ys) THEN ys[2 * len(ys) - (i + {o})] ELSE ys[i + {o} + 1] END)"
     return " + ".join(f"{at(j - r)} * CAST({w!r} AS DOUBLE)" for j, w in enumerate(taps))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from curvelab.functions import arrays as A
 from curvelab.functions import text as T
-from curvelab.operators import contours, features, images, jobs, merge, scale, scoring, validation
+from curvelab.operators import contours, extraction, features, images, jobs, merge, scale, scoring, validation
 from curvelab.operators import curves as C
 from curvelab.plans import oracle as O
 from curvelab.sources import readers, sinks
@@ -190,7 +191,7 @@ def event_report(spark, sf_dir, strict: bool = False) -> DataFrame:
     """Scores of the event curves, with recognition, ticks, quality and method derived from the curve's number."""
     i = F.col("curve_id")
     method = F.when(i % 4 == 0, "contour_tracing").when(i % 4 == 1, "unet_primary").when(i % 4 == 2, "unet_fallback").otherwise("unknown")
-    df = event_curves(spark, sf_dir).select("curve_id", "xs", "ys", F.array(0.4 + (i % 7) * 0.1, F.lit(0.8)).alias("ocr"), (i % 8).alias("x_ticks"), (i % 5 + 1).alias("y_ticks"), ((i % 10) / 10.0).alias("quality"), method.alias("method"), F.lit(None).cast("double").alias("nmae"))
+    df = event_curves(spark, sf_dir).select("curve_id", "xs", "ys", F.array(0.4 + (i % 7) * 0.1, F.lit(0.8)).alias("ocr"), (i % 8).alias("x_ticks"), (i % 5 + 1).alias("y_ticks"), ((i % 10) / 10.0).alias("quality"), method.alias("method"), F.when(i % 3 > 0, (i % 5) * 0.04).alias("nmae"))
     return scoring.scored(df, strict=strict)
 
 
@@ -205,7 +206,7 @@ def confidence_report(spark, sf_dir):
 GRADE_SQL = "CASE WHEN {0} >= 0.9 THEN 'A' WHEN {0} >= 0.8 THEN 'B' WHEN {0} >= 0.7 THEN 'C' WHEN {0} >= 0.6 THEN 'D' ELSE 'F' END"
 
 
-@query(f"WITH {O.REPORT} SELECT curve_id, {GRADE_SQL.format('overall')} AS grade, 'ok' AS status, (ocr_confidence < 0.7)::BIGINT + (curve_smoothness < 0.7)::BIGINT + (axis_detection < 0.7)::BIGINT + (image_quality < 0.6)::BIGINT + (data_validity < 0.7)::BIGINT + (overall < 0.95)::BIGINT AS n_warnings FROM ov")
+@query(f"WITH {O.REPORT} SELECT curve_id, {GRADE_SQL.format('overall')} AS grade, 'ok' AS status, (ocr_confidence < 0.7)::BIGINT + (curve_smoothness < 0.7)::BIGINT + (axis_detection < 0.7)::BIGINT + (image_quality < 0.6)::BIGINT + (raw_validity < 0.7)::BIGINT + coalesce(nmae > 0.05, false)::BIGINT + (overall < 0.95)::BIGINT AS n_warnings FROM ov")
 def confidence_grade(spark, sf_dir):
     return event_report(spark, sf_dir).select("curve_id", "grade", "status", F.size("warnings").cast("long").alias("n_warnings"))
 
@@ -215,7 +216,17 @@ def strict_score(spark, sf_dir):
     return event_report(spark, sf_dir, strict=True).select("curve_id", *r6("overall"))
 
 
-@query(f"WITH {O.REPORT} " + " UNION ALL ".join(f"SELECT curve_id, '{f}' AS factor, '{scoring.ADVICE[f][0]}' AS issue, '{scoring.ADVICE[f][1]}' AS solution FROM ov WHERE {f} < {least}" for f, least in scoring.ADVISE_BELOW.items()))
+# fixed values: what is advised where a factor is low
+ADVICE_SQL = """(VALUES ('ocr_confidence', 'axis numbers are hard to read', 'use a sharper image with larger axis numbers'),
+('curve_smoothness', 'the curve has jumps', 'clean the image or use a wider smoothing window'),
+('axis_detection', 'few axis ticks were found', 'keep both axes and their tick labels in the image'),
+('image_quality', 'the image is blurred, noisy or flat', 'scan again at a higher resolution'),
+('data_validity', 'the points do not look like a test curve', 'check the region and the scale of the axes')) a(factor, issue, solution)"""
+
+
+@query(f"""WITH {O.REPORT}, lg AS (SELECT curve_id, unnest(['ocr_confidence', 'curve_smoothness', 'axis_detection', 'image_quality', 'data_validity']) AS factor,
+  unnest([ocr_confidence < 0.7, curve_smoothness < 0.7, axis_detection < 0.7, image_quality < 0.6, data_validity < 0.7]) AS low FROM ov)
+SELECT curve_id, factor, issue, solution FROM lg JOIN {ADVICE_SQL} USING (factor) WHERE low""")
 def improvement_suggestions(spark, sf_dir):
     return scoring.suggestions(event_report(spark, sf_dir))
 
@@ -225,7 +236,9 @@ def improvement_suggestions(spark, sf_dir):
 
 def document_tokens(spark, sf_dir) -> DataFrame:
     """Every word of every document as a recognised token, with confidence and box derived from its place."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a small file is one split, and its words many rows
+        d = d.repartition(spark.sparkContext.defaultParallelism)
     return d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0))).alias("pos", "tok"))
 
 
@@ -334,9 +347,9 @@ def map_units(spark, sf_dir):
     return scale.map_units(_embedding_points(spark, sf_dir), _chart_scales(spark, sf_dir)).select("chart_id", "idx", *r6("strain", "stress"), "pixel_x", "pixel_y", "units")
 
 
-@query(f"WITH {EMB}, c AS (SELECT chart_id, list(CAST(idx AS DOUBLE) ORDER BY idx) AS xs, list(CAST(py AS DOUBLE) - 240 ORDER BY idx) AS ys FROM px GROUP BY chart_id) SELECT chart_id, (list_max(xs) > 60)::BIGINT + (list_min(ys) < 0 OR list_max(ys) > 50000)::BIGINT + (len(list_filter(range(1, len(ys) // 4), lambda i: ys[i + 1] < ys[i])) > 0)::BIGINT AS n_issues FROM c")
+@query(f"WITH {EMB}, c AS (SELECT chart_id, list(idx * (0.5 + chart_id % 3) ORDER BY idx) AS xs, list(CAST(py AS DOUBLE) - 240 + 500 * (chart_id % 2) + CASE WHEN chart_id % 5 = 0 THEN 10 * idx ELSE 0 END ORDER BY idx) AS ys FROM px GROUP BY chart_id) SELECT chart_id, (list_max(xs) > 60)::BIGINT + (list_min(ys) < 0 OR list_max(ys) > 50000)::BIGINT + (len(list_filter(range(1, len(ys) // 4), lambda i: ys[i + 1] < ys[i])) > 0)::BIGINT AS n_issues FROM c")
 def validate_mapping(spark, sf_dir):
-    c = _embedding_points(spark, sf_dir).select(F.col("chart_id").alias("curve_id"), "idx", F.col("idx").cast("double").alias("x"), (F.col("py") - 240).cast("double").alias("y"))
+    c = _embedding_points(spark, sf_dir).select(F.col("chart_id").alias("curve_id"), "idx", (F.col("idx") * (0.5 + F.col("chart_id") % 3)).alias("x"), (F.col("py") - 240 + 500 * (F.col("chart_id") % 2) + F.when(F.col("chart_id") % 5 == 0, 10 * F.col("idx")).otherwise(0)).cast("double").alias("y"))
     return C.ordered(c).select(F.col("curve_id").alias("chart_id"), F.size(scale.mapping_issues(F.col("xs"), F.col("ys"), (0, 60))).cast("long").alias("n_issues"))
 
 
@@ -345,10 +358,18 @@ def pixel_fallback(spark, sf_dir):
     return scale.map_units(_embedding_points(spark, sf_dir), _chart_scales(spark, sf_dir)).where("units = 'pixel'").select("chart_id", "idx", "strain", "stress")
 
 
-@query("SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE CAST(p_size % 5 AS DOUBLE) END AS x_scale FROM part")
+@query("""WITH c AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 > 0 THEN (p_size % 7 - 1) / 100.0 END AS xm, CASE WHEN p_size % 4 > 0 THEN -(p_partkey % 9) / 50.0 END AS ym, p_size * 1.0 AS x0, p_partkey % 11 * 1.0 AS y0 FROM part),
+d AS (SELECT *, x0 - 20 * xm AS xo, y0 + 20 * ym AS yo FROM c)
+SELECT k, round(CASE WHEN xm IS NULL OR xm = 0 THEN 1.0 ELSE xm END, 6) AS x_scale, round(coalesce(xo, 0.0), 6) AS x_offset, round(CASE WHEN ym IS NULL OR ym = 0 THEN 1.0 ELSE -ym END, 6) AS y_scale, round(coalesce(yo, 0.0), 6) AS y_offset,
+  CAST(xm IS NOT NULL AS DOUBLE) AS x_r2, CAST(ym IS NOT NULL AS DOUBLE) AS y_r2, coalesce(xm > 0 AND ym IS NOT NULL, false) AS is_valid FROM d""")
 def scale_defaults(spark, sf_dir):
-    v = (F.col("p_size") % 5).cast("double")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(v.isNull() | (v == 0), 1.0).otherwise(v).alias("x_scale"))
+    """Charts of two ticks an axis, where an axis may lack one; the origin lies 20 pixels left of the first x tick and 20 below the first y tick."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chart_id"), F.col("p_size").alias("size"))
+    i, xm, ym, x0, y0 = F.col("chart_id"), (F.col("size") % 7 - 1) / 100.0, -(F.col("chart_id") % 9) / 50.0, F.col("size") * 1.0, F.col("chart_id") % 11 * 1.0
+    tick = lambda axis, at, v, ok: F.when(ok, F.struct(F.lit(axis).alias("axis"), F.lit(at).alias("pixel_position"), v.alias("value"), (0.5 + i % 5 / 10).alias("confidence")))
+    ticks = F.array_compact(F.array(tick("x", 120, x0, F.lit(True)), tick("x", 220, x0 + 100 * xm, F.col("size") % 5 > 0), tick("y", 480, y0, F.lit(True)), tick("y", 380, y0 - 100 * ym, F.col("size") % 4 > 0)))
+    f = scale.scale_factors(p.select("chart_id", F.inline(ticks)), p.select("chart_id", F.lit(100).alias("origin_x"), F.lit(500).alias("origin_y")))
+    return f.select(F.col("chart_id").alias("k"), *r6("x_scale", "x_offset", "y_scale", "y_offset", "x_r2", "y_r2"), "is_valid")
 
 
 # --- merging, routing ---------------------------------------------------------
@@ -398,22 +419,99 @@ PIX = "pv AS (SELECT vec_id AS image_id, CAST(generate_subscripts(embedding, 1)
 LAP = PIX + ", lp AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rr, lag(v) OVER c AS u, lead(v) OVER c AS dn FROM px WINDOW r AS (PARTITION BY image_id, py ORDER BY px), c AS (PARTITION BY image_id, px ORDER BY py)), la AS (SELECT image_id, v, coalesce(l, rr) + coalesce(rr, l) + coalesce(u, dn) + coalesce(dn, u) - 4 * v AS q FROM lp)"
 
 
-def _laplacian(px: DataFrame) -> DataFrame:
-    row, col = Window.partitionBy("image_id", "py").orderBy("px"), Window.partitionBy("image_id", "px").orderBy("py")
-    n = px.withColumn("l", F.lag("v").over(row)).withColumn("r", F.lead("v").over(row)).withColumn("u", F.lag("v").over(col)).withColumn("d", F.lead("v").over(col))
-    either = lambda a, b: F.coalesce(a, b) + F.coalesce(b, a)  # noqa: E731  the border is mirrored
-    return n.withColumn("q", either(F.col("l"), F.col("r")) + either(F.col("u"), F.col("d")) - 4 * F.col("v"))
+def gray_images(spark, sf_dir) -> DataFrame:
+    """8 x 8 grey images as bytes, of contrast that differs between them."""
+    i = F.col("vec_id")
+    v = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x.cast("double") * 400 / (1 + 4 * (i % 9)) + 128))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return table(spark, sf_dir, "embeddings").select(i.alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+
+
+GRAY = "gv AS (SELECT vec_id AS image_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS k, CAST(greatest(0, least(255, round(CAST(unnest(embedding) AS DOUBLE) * 400 / (1 + 4 * (vec_id % 9)) + 128))) AS INTEGER) AS v FROM embeddings), px AS (SELECT image_id, k % 8 AS px, k // 8 AS py, v FROM gv)"
+GRAY_LAP = GRAY + ", lp AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS rr, lag(v) OVER c AS u, lead(v) OVER c AS dn FROM px WINDOW r AS (PARTITION BY image_id, py ORDER BY px), c AS (PARTITION BY image_id, px ORDER BY py)), la AS (SELECT image_id, v, coalesce(l, rr) + coalesce(rr, l) + coalesce(u, dn) + coalesce(dn, u) - 4 * v AS q FROM lp)"
+_AT = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+NEAR = f"nb AS (SELECT DISTINCT a.a AS px, b.a AS py, dx, dy, {_AT.format('a.a + dx')} AS qx, {_AT.format('b.a + dy')} AS qy FROM range(8) a(a), range(8) b(a), range(-2, 3) c(dx), range(-2, 3) d(dy))"
+MEANS = NEAR + ", lm AS (SELECT p.image_id, p.px, p.py, any_value(p.v) AS v, avg(q.v) AS m FROM px p JOIN nb ON nb.px = p.px AND nb.py = p.py JOIN px q ON q.image_id = p.image_id AND q.px = qx AND q.py = qy GROUP BY p.image_id, p.px, p.py)"
+
+
+@query(f"WITH {GRAY}, {MEANS} SELECT image_id, px, py, round(m, 6) AS v FROM lm")
+def local_means(spark, sf_dir):
+    return images.gray_pixels(gray_images(spark, sf_dir), 5).select("image_id", "px", "py", *r6("v"))
 
 
-@query(f"WITH {LAP} SELECT image_id, round(1 - least(var_pop(q) / 500, 1), 6) AS blur, round(least(stddev_pop(v) / 60, 1), 6) AS contrast FROM la GROUP BY image_id")
+@query(f"""WITH {GRAY_LAP}, {MEANS}, sq AS (SELECT image_id, px, py, (v - round(m)) * (v - round(m)) AS s FROM lm),
+no AS (SELECT p.image_id, least(avg(q.s) / 1000, 1) AS noise FROM sq p JOIN nb ON nb.px = p.px AND nb.py = p.py JOIN sq q ON q.image_id = p.image_id AND q.px = qx AND q.py = qy GROUP BY p.image_id),
+bc AS (SELECT image_id, 1 - least(var_pop(q) / 500, 1) AS blur, least(stddev_pop(v) / 60, 1) AS contrast FROM la GROUP BY image_id)
+SELECT image_id, CAST(round(blur * 2048000) AS BIGINT) AS blur, CAST(round(noise * 1600000) AS BIGINT) AS noise, round(contrast, 6) AS contrast, round(0.35 * (1 - blur) + 0.35 * (1 - noise) + 0.30 * contrast, 6) AS overall FROM bc JOIN no USING (image_id)""")
 def image_quality(spark, sf_dir):
-    return _laplacian(_pixels(spark, sf_dir)).groupBy("image_id").agg(F.round(1 - F.least(F.var_pop("q") / 500, F.lit(1.0)), 6).alias("blur"), F.round(F.least(F.stddev_pop("v") / 60, F.lit(1.0)), 6).alias("contrast"))
+    """Blur and noise in units in which variances of 64 and means of 25 whole numbers are whole."""
+    return images.quality(gray_images(spark, sf_dir)).select("image_id", F.round(F.col("blur") * 2048000).cast("long").alias("blur"), F.round(F.col("noise") * 1600000).cast("long").alias("noise"), *r6("contrast", "overall"))
 
 
-@query(f"WITH {LAP} SELECT image_id, round(least(var_pop(q) / 1000000, 1) + 1e-9, 6) AS noise FROM la GROUP BY image_id")
+@query(f"WITH {GRAY_LAP} SELECT image_id, CAST(round(least(var_pop(q) / 1000, 1) * 4096000) AS BIGINT) AS noise FROM la GROUP BY image_id")
 def noise_estimate(spark, sf_dir):
-    """Variances of whole numbers are often exact halves of the last place shown; a little is added on both sides."""
-    return _laplacian(_pixels(spark, sf_dir)).groupBy("image_id").agg(F.round(F.least(F.var_pop("q") / 1_000_000, F.lit(1.0)) + 1e-9, 6).alias("noise"))
+    """In units in which the variances of 64 whole numbers are whole."""
+    return images.noise(gray_images(spark, sf_dir)).select("image_id", F.round(F.col("noise") * 4096000).cast("long").alias("noise"))
+
+
+@query("""WITH e AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, round(CAST(x AS DOUBLE) * 400 + 128))) AS INTEGER)) AS a FROM embeddings)
+SELECT image_id, CAST(k % 7 AS INTEGER) AS px, CAST(k // 7 AS INTEGER) AS py, CAST((114 * a[3 * k + 1] + 587 * a[3 * k + 2] + 299 * a[3 * k + 3] + 500) // 1000 AS DOUBLE) AS v FROM e, range(21) t(k)""")
+def gray_levels(spark, sf_dir):
+    """Blue-green-red images of 7 x 3."""
+    v = F.transform(F.slice("embedding", 1, 63), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x.cast("double") * 400 + 128))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    rgb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(3).alias("height"), F.lit(7).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
+    return images.gray_pixels(rgb)
+
+
+BARS = "CAST(greatest(0, least(7, floor(CAST(embedding[x + 1] AS DOUBLE) * 14 + 4))) AS INTEGER)"
+
+
+def bar_masks(spark, sf_dir) -> DataFrame:
+    """8 x 8 masks that are on from some height down to the bottom in every column."""
+    top = lambda x: F.greatest(F.lit(0), F.least(F.lit(7), F.floor(F.get("embedding", x).cast("double") * 14 + 4))).cast("int")
+    on = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(F.floor(k / 8) >= top(k % 8), "FF").otherwise("00"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(on, "")).alias("data"))
+
+
+@query(f"WITH t AS (SELECT vec_id AS image_id, CAST(x AS INTEGER) AS px, {BARS} AS t FROM embeddings, range(8) r(x)) SELECT image_id, px AS idx, px, CAST((t + 7) // 2 AS INTEGER) AS py FROM t")
+def traced_masks(spark, sf_dir):
+    return images.trace(bar_masks(spark, sf_dir))
+
+
+POINTS_AT = "at AS (SELECT DISTINCT image_id, CAST(image_id % 8 AS INTEGER) AS px FROM px)"
+
+
+def _image_points(spark, sf_dir) -> DataFrame:
+    """A point per row of each 8 x 8 image, in one column."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("idx"))
+    return e.select("image_id", "idx", (F.col("image_id") % 8).cast("int").alias("px"), F.col("idx").alias("py"))
+
+
+@query(f"""WITH {PIX}, p AS (SELECT image_id, px, py, py AS idx FROM px WHERE px = image_id % 8),
+d AS (SELECT p.image_id, p.idx, p.px, p.py, arg_min(q.py, (q.v, q.py)) FILTER (WHERE q.v < 255) AS near FROM p JOIN px q ON q.image_id = p.image_id AND q.px = p.px AND q.py BETWEEN p.py - 5 AND p.py + 5 GROUP BY ALL)
+SELECT image_id, idx, px, coalesce(near, py) AS py FROM d""")
+def darkest_pixels(spark, sf_dir):
+    return contours.darkest_near(_pixels(spark, sf_dir), _image_points(spark, sf_dir))
+
+
+@query(f"WITH {PIX} SELECT image_id, round(avg(v / 255.0), 6) AS probability FROM px WHERE px = image_id % 8 GROUP BY image_id")
+def curve_probability(spark, sf_dir):
+    maps = _pixels(spark, sf_dir).select("image_id", "px", "py", (F.col("v") / 255.0).alias("p"))
+    return merge.mean_probability(maps, _image_points(spark, sf_dir)).select("image_id", *r6("probability"))
+
+
+@query(f"WITH {PIX} SELECT image_id, px, py, 'union' AS op FROM px WHERE v > 128 OR px >= py UNION ALL SELECT image_id, px, py, 'minus' FROM px WHERE v > 128 AND px < py")
+def mask_sets(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    a, b = p.where("v > 128"), p.where("px >= py")
+    return merge.mask_union(a, b).withColumn("op", F.lit("union")).unionAll(merge.mask_minus(a, b).withColumn("op", F.lit("minus")))
+
+
+@query(f"WITH {PIX} SELECT image_id, round((2 * count_if(v > 128 AND px >= py) + 1) / (count_if(v > 128) + count_if(px >= py) + 1), 6) AS dice FROM px GROUP BY image_id")
+def mask_overlap(spark, sf_dir):
+    p = _pixels(spark, sf_dir).withColumn("a", (F.col("v") > 128).cast("int")).withColumn("b", (F.col("px") >= F.col("py")).cast("int"))
+    return p.groupBy("image_id").agg(F.round(merge.dice(F.sum(F.col("a") * F.col("b")), F.sum("a"), F.sum("b")), 6).alias("dice"))
 
 
 @query(f"WITH {PIX}, b AS (SELECT image_id, greatest(min(px) - 1, 0) AS x, greatest(min(py) - 1, 0) AS y, max(px) AS x1, max(py) AS y1 FROM px WHERE v > 170 GROUP BY image_id) SELECT image_id, x, y, least(x1 + 2, 8) - x AS w, least(y1 + 2, 8) - y AS h FROM b")
@@ -522,10 +620,10 @@ def jobs_deleted(spark, sf_dir):
     return jobs.without(_states(spark, sf_dir), gone).select("job_id").distinct()
 
 
-@query("SELECT o_orderkey AS job_id, date_diff('millisecond', o_orderdate, o_orderdate + INTERVAL 90 SECOND) AS elapsed_ms, left(CAST(o_orderkey AS VARCHAR), 8) AS short_id, round(o_totalprice / 1048576, 6) AS mb FROM orders")
+@query("SELECT o_orderkey AS job_id, date_diff('millisecond', o_orderdate, o_orderdate + to_milliseconds(o_custkey * 37)) AS elapsed_ms, left(CAST(o_orderkey AS VARCHAR), 8) AS short_id, round(o_totalprice / 1048576, 6) AS mb FROM orders")
 def job_summaries(spark, sf_dir):
     j = order_jobs(spark, sf_dir)
-    return j.select("job_id", jobs.elapsed_ms(F.col("created_at"), F.expr("created_at + INTERVAL 90 SECOND")).alias("elapsed_ms"), T.short_id(F.col("job_id").cast("string")).alias("short_id"), F.round(T.megabytes(F.col("file_size")), 6).alias("mb"))
+    return j.select("job_id", jobs.elapsed_ms(F.col("created_at"), F.expr("timestampadd(MILLISECOND, cast(owner * 37 as int), created_at)")).alias("elapsed_ms"), T.short_id(F.col("job_id").cast("string")).alias("short_id"), F.round(T.megabytes(F.col("file_size")), 6).alias("mb"))
 
 
 @query(f"WITH {O.PTS} SELECT curve_id, printf('%.3f', x) AS \"Strain (%)\", printf('%.3f', y) AS \"Stress (kN/m²)\", CASE WHEN idx % 7 = 0 THEN '' ELSE CAST(idx % 7 AS VARCHAR) END AS \"Pixel_X\", CAST(idx % 5 + 1 AS VARCHAR) AS \"Pixel_Y\" FROM pts")
@@ -542,10 +640,101 @@ def result_page(spark, sf_dir):
     return p.select("curve_id", F.col("row_no").cast("long").alias("row_no"), T.fixed(F.col("x"), 3).alias("strain"), T.fixed(F.col("y"), 2).alias("stress"))
 
 
-@query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, max(value) AS peak, min(value) AS low FROM events GROUP BY ALL")
+@query(f"""WITH {O.FEATURES}, p AS (SELECT curve_id, x, y, row_number() OVER (PARTITION BY curve_id ORDER BY x) AS r FROM fp), h AS (SELECT curve_id, count(*) AS total_points, least(count(*), 10) AS shown, round(sum(round_even(x, 4)) FILTER (WHERE r <= 10), 3) AS strains, round(sum(round_even(y, 2)) FILTER (WHERE r <= 10), 2) AS stresses FROM p GROUP BY curve_id)
+SELECT curve_id, total_points, shown, strains, stresses, round(peak_stress, 6) AS peak_stress, round(failure_strain, 6) AS failure_strain FROM h JOIN ft USING (curve_id)""")
+def result_records(spark, sf_dir):
+    """The JSON records of the curves, read back."""
+    w = Window.partitionBy("curve_id").orderBy("x")
+    p = C.dedup_first(points(spark, sf_dir)).select("curve_id", F.row_number().over(w).alias("idx"), F.col("x").alias("strain"), F.col("y").alias("stress"))
+    f = features.analyze(event_curves(spark, sf_dir)).select("curve_id", "peak_stress", "failure_strain")
+    j = F.from_json("json", "data_points array<struct<strain:double,stress:double>>, total_points long, features struct<peak_stress:double,failure_strain:double>")
+    r = sinks.result_json(p, f).select("curve_id", j.alias("j"))
+    shown = F.col("j.data_points")
+    return r.select("curve_id", F.col("j.total_points").alias("total_points"), F.size(shown).cast("long").alias("shown"), F.round(A.total(shown["strain"]), 3).alias("strains"), F.round(A.total(shown["stress"]), 2).alias("stresses"), F.round("j.features.peak_stress", 6).alias("peak_stress"), F.round("j.features.failure_strain", 6).alias("failure_strain"))
+
+
+@query("SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, max(value) AS peak, min(value) AS low, arg_min(ts, (-value, ts)) AS peak_at FROM events GROUP BY ALL")
 def window_curves(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.window(F.col("ts"), "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"), F.min("value").alias("low")).select("user_id", F.col("w.start").alias("start"), "n", "peak", "low")
+    """The streaming operator on a table: what all micro-batches together give."""
+    from curvelab.streaming import arrivals
+
+    return arrivals.window_features(table(spark, sf_dir, "events"))
+
+
+@query(f"WITH {O.PTS} SELECT curve_id, CAST(round(x * 1000) AS BIGINT) AS strain, printf('%.2f', y) AS stress FROM pts")
+def csv_files(spark, sf_dir):
+    """CSV files with another separator, read back."""
+    p = points(spark, sf_dir).select("curve_id", "idx", F.col("x").alias("strain"), F.col("y").alias("stress"))
+    path = f"{sinks.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(p.select("idx", F.format_string("%d:%d", F.col("curve_id"), F.round(F.col("strain") * 1000).cast("long")).alias("id"), "strain", "stress"), path, decimals=10, separator=";", key=["id"])
+    back = spark.read.option("header", True).option("sep", ";").csv(path)
+    part = F.split("id", ":")
+    return back.select(F.get(part, F.lit(0)).cast("long").alias("curve_id"), F.get(part, F.lit(1)).cast("long").alias("strain"), T.fixed(F.col(sinks.STRESS).cast("double"), 2).alias("stress"))
+
+
+@query(f"WITH {O.PTS} SELECT CAST(curve_id AS VARCHAR) AS curve_id, count(*) AS n, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(sum(y), 4) AS y_sum FROM pts GROUP BY curve_id")
+def json_points(spark, sf_dir):
+    """Point lists written as JSON lines, read back by the source for them."""
+    path = f"{sinks.shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    lists = points(spark, sf_dir).groupBy(F.col("curve_id").cast("string").alias("curve_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("x").alias("strain"), F.col("y").alias("stress")))).alias("points"))
+    lists.write.json(path)
+    return readers.points_json(spark, path).groupBy("curve_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 6).alias("x_min"), F.round(F.max("x"), 6).alias("x_max"), F.round(F.sum("y"), 4).alias("y_sum"))
+
+
+@query("SELECT o_orderkey AS job_id, replace('contour_tracing_' || lower(o_orderstatus), '_', ' ') AS method, strftime(o_orderdate, '%b %-d, %I:%M %p') AS shown, printf('%.6f%%', o_totalprice / 10000.0) AS share FROM orders")
+def job_labels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("job_id"), T.shown_method(F.concat(F.lit("contour_tracing_"), F.lower("o_orderstatus"))).alias("method"), T.shown_time(F.col("o_orderdate")).alias("shown"), T.percent(F.col("o_totalprice") / 1_000_000, 6).alias("share"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ','), lambda v: trim(v, ' ')), lambda v: v <> '') AS l FROM conversations) SELECT conv_id, turn, CAST(len(l) AS INTEGER) AS n, l[1] AS first_item, l[len(l)] AS last_item FROM c")
+def comma_lists(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.comma_list(F.col("text")).alias("l"))
+    return c.select("conv_id", "turn", F.size("l").alias("n"), F.get("l", F.lit(0)).alias("first_item"), F.get("l", F.size("l") - 1).alias("last_item"))
+
+
+@query(f"WITH {O.TOKENS}, d AS (SELECT DISTINCT tok FROM toks) SELECT tok, regexp_matches(tok, '^-?[0-9]+\\.?[0-9]*$') AS plain FROM d")
+def plain_numbers(spark, sf_dir):
+    return document_tokens(spark, sf_dir).select("tok").distinct().select("tok", T.is_plain_number(F.col("tok")).alias("plain"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, 400 + p_size * 10 AS w, 300 + p_size * 7 AS h, 110 + p_partkey % 500 AS x, 60 + p_partkey % 300 AS y FROM part)
+SELECT k, CAST(floor(w * 0.15) AS INTEGER) AS left_margin, CAST(h - floor(h * 0.15) AS INTEGER) AS origin_y, CAST(w - floor(w * 0.15) AS INTEGER) AS plot_width, round((x - 100) / 650.0 * 6, 6) AS strain, round((520 - y) / 470.0 * 5000, 6) AS stress FROM c""")
+def plot_regions(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    x, y = scale.box_mapping(110 + F.col("p_partkey") % 500, 60 + F.col("p_partkey") % 300, (100, 50, 750, 520), (0.0, 6.0), (0.0, 5000.0))
+    r = scale.plot_region((400 + F.col("p_size") * 10).cast("int"), (300 + F.col("p_size") * 7).cast("int"))
+    return p.select(F.col("p_partkey").alias("k"), r.alias("r"), F.round(x, 6).alias("strain"), F.round(y, 6).alias("stress")).select("k", F.col("r.x").alias("left_margin"), F.col("r.origin_y").cast("int").alias("origin_y"), F.col("r.width").cast("int").alias("plot_width"), "strain", "stress")
+
+
+@query("WITH r AS (SELECT c, CAST(k AS INTEGER) AS idx, k * (5.5 / 199) AS x FROM range(3) a(c), range(200) b(k)) SELECT c AS curve_id, idx, round(x, 6) AS x, round(CASE WHEN x <= 2.5 THEN 4200 * pow(x / 2.5, 0.8) ELSE 4200 * (1 - 0.4 * pow((x - 2.5) / 3, 1.5)) END, 6) AS y FROM r")
+def synthetic_curves(spark, sf_dir):
+    return readers.synthetic_curves(spark, 3, noise=0.0).select("curve_id", "idx", *r6("x", "y"))
+
+
+# --- the main query -------------------------------------------------------------
+
+CHART_H, CHART_W, TICK = 200, 260, 30
+
+
+@query(f"""WITH c AS (SELECT vec_id AS image_id, vec_id % 6 AS a, vec_id % 5 AS b, 2 + vec_id % 4 AS n FROM embeddings)
+SELECT image_id, 'completed' AS status, 'contour_tracing' AS method, CASE WHEN n > 1 THEN 'calibrated' ELSE 'pixel' END AS units, CAST(n AS INTEGER) AS x_count, 3 AS y_count, round((1 + a) / 10.0 / {TICK}, 6) AS x_scale, round(100.0 * (1 + b) / {TICK}, 6) AS y_scale,
+  round((n - 1) * (1 + a) / 10.0, 6) AS x_max, 'Strain' AS x_label, CASE WHEN a < 3 THEN '%' ELSE 'mm' END AS x_unit, 'kN/m²' AS y_unit, true AS peak_found, true AS many_points FROM c""")
+def extract_charts(spark, sf_dir):
+    """Charts drawn, and read back to records: one curve each, with two to five ticks below and three at the left."""
+    i = F.col("vec_id")
+    left, bottom = int(CHART_W * scale.MARGIN), CHART_H - int(CHART_H * scale.MARGIN)
+    e = table(spark, sf_dir, "embeddings").select(i.alias("image_id"), (i % 6).cast("int").alias("a"), (i % 5).cast("int").alias("b"), (2 + i % 4).cast("int").alias("n")).repartition(spark.sparkContext.defaultParallelism)
+    ys = F.transform(F.sequence(F.lit(0), F.lit(CHART_W - left - 21)), lambda x: bottom - 15 - F.round((60 + 10 * F.col("b")) * (1 - F.pow((x / (CHART_W - left - 21) - 0.5 - F.col("a") * 0.05) / 0.75, F.lit(2.0)))).cast("int"))
+    drawn = images.drawn(e.select("image_id", ys.alias("ys")), CHART_H, CHART_W, left)
+    token = lambda axis, text, at: F.struct(F.lit(axis).alias("axis"), text.alias("text"), F.lit(90.0).alias("conf"), (at if axis == "x" else F.lit(0)).cast("int").alias("left"), (at if axis == "y" else F.lit(0)).cast("int").alias("top"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(1.0).alias("scale"), F.lit(0).alias("offset_x"), F.lit(0).alias("offset_y"))
+    xs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: token("x", F.format_string("%.1f", k * (1 + F.col("a")) / 10.0), left + TICK * k))
+    yt = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: token("y", (100 * k * (1 + F.col("b"))).cast("string"), bottom - TICK * k))
+    labels = F.struct(F.when(F.col("a") < 3, "Strain (%)").otherwise("Strain [mm]").alias("x_text"), F.lit("Stress").alias("y_text"))
+    r = extraction.extract(drawn, method="contour", rectify=False, tokens=e.select("image_id", F.concat(xs, yt).alias("tokens"), labels.alias("labels")))
+    r = r.join(e.select(F.col("image_id").cast("string").alias("k"), "b"), F.col("image_id") == F.col("k"))
+    top = (15 + 60 + 10 * F.col("b")) * F.col("scale.y_scale")
+    return r.select(F.col("image_id").cast("long").alias("image_id"), "status", F.col("extraction_method").alias("method"), "units", F.col("x_axis.tick_count").alias("x_count"), F.col("y_axis.tick_count").alias("y_count"), F.round("scale.x_scale", 6).alias("x_scale"), F.round("scale.y_scale", 6).alias("y_scale"), F.round("x_axis.max_value", 6).alias("x_max"), F.col("x_axis.label").alias("x_label"), F.col("x_axis.unit").alias("x_unit"), F.col("y_axis.unit").alias("y_unit"), (F.abs(F.col("features.peak_stress") / top - 1) < 0.07).alias("peak_found"), (F.size("data_points") > 150).alias("many_points"))
 
 
 # --- streaming ----------------------------------------------------------------
@@ -554,13 +743,9 @@ def window_curves(spark, sf_dir):
 @query(ORACLE_SQL["peak_features"])
 def stream_curves(spark, sf_dir):
     """The features of events that arrive as files, taken in by one run over all that is available."""
-    import tempfile
-    import uuid
-
     from curvelab.streaming import arrivals
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="curvelab-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     arrivals.run_available(stream, lambda batch, _: batch.write.mode("append").parquet(f"{base}/events"), f"{base}/state")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelab.functions.text import fixed
@@ -22,9 +24,9 @@ def csv_rows(points: DataFrame, pixels: bool = False, decimals: int = 4, key: li
     return points.select(*(key or []), fixed(F.col("strain"), decimals).alias(STRAIN), fixed(F.col("stress"), decimals).alias(STRESS), *more)
 
 
-def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int = 4, separator: str = ",", mode: str = "error", smoothed: bool = False, blank: str = '""') -> None:
+def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int = 4, separator: str = ",", mode: str = "error", smoothed: bool = False, blank: str = '""', key: list[str] | None = None) -> None:
     """Lines end with carriage return and line feed; ``blank`` is how an empty cell is written, "" for a bare one."""
-    out = csv_rows(points.orderBy("strain") if "idx" not in points.columns else points.orderBy("idx"), pixels, decimals, smoothed=smoothed)
+    out = csv_rows(points.orderBy("strain") if "idx" not in points.columns else points.orderBy("idx"), pixels, decimals, key, smoothed)
     out.write.mode(mode).option("header", True).option("sep", separator).option("lineSep", "\r\n").option("emptyValue", blank).csv(path)
 
 
@@ -39,3 +41,13 @@ def result_json(points: DataFrame, features: DataFrame, first: int = 10) -> Data
     head = F.transform(F.slice("all", 1, first), lambda v: F.struct(v["strain"].alias("strain"), v["stress"].alias("stress")))
     rest = [c for c in features.columns if c != "curve_id"]
     return p.join(features, "curve_id").select("curve_id", F.to_json(F.struct(head.alias("data_points"), F.size("all").alias("total_points"), F.struct(*rest).alias("features"))).alias("json"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without that, and with a local master only, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="curvelab-")
+    return folder.rstrip("/")

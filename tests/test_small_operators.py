@@ -56,3 +56,48 @@ def test_windows_drop_late_events(spark, tmp_path):
 
 def test_doctor():
     assert config.doctor()["numpy"] and isinstance(config.settings().smoothing_window, int)
+
+
+def test_the_table_function_agrees_with_the_operator(spark, sf_dir):
+    from curvelab.functions.register import register
+    from curvelab.operators import curves, features
+    from curvelab.sources import readers
+
+    c = curves.from_points(readers.event_points(spark.read.parquet(f"{sf_dir}/events.parquet")).unionByName(readers.synthetic_curves(spark, 3).withColumn("curve_id", F.col("curve_id") - 10)))
+    register(spark)
+    c.createOrReplaceTempView("some_curves")
+    got = spark.sql("SELECT curve_id, p.* FROM some_curves, LATERAL critical_points(xs, ys) p")
+    key = lambda rows: sorted((r.curve_id, r.point, round(r.strain, 6), round(r.stress, 6)) for r in rows)
+    assert key(got.collect()) == key(features.critical_points(c).collect()) and {r.point for r in got.collect()} == {"Peak", "50% Peak", "Yield"}
+
+
+def test_bare_cells(spark, tmp_path):
+    from curvelab.sources import sinks
+
+    p = spark.createDataFrame([(0, 0.5, 1.25, 0, 7)], "idx int, strain double, stress double, pixel_x int, pixel_y int")
+    sinks.write_csv(p.coalesce(1), f"file://{tmp_path}/csv", pixels=True, decimals=2, blank="")
+    (out,) = (tmp_path / "csv").glob("*.csv")
+    assert out.read_bytes().decode().splitlines()[1] == "0.50,1.25,,7"
+
+
+def test_robust_lines(spark):
+    t = spark.createDataFrame([("a", float(x), 2.0 * x + 1) for x in range(6)] + [("a", 2.5, 90.0), ("b", 1.0, 1.0), ("b", 1.0, 5.0), ("c", 0.0, 3.0), ("c", 4.0, None)], "g string, x double, y double")
+    (r,) = scale.fit_robust(t, ["g"]).collect()
+    assert (r.g, r.inliers, r.slope, r.intercept, r.r2) == ("a", 6, pytest.approx(2), pytest.approx(1), pytest.approx(1))
+
+
+def test_splines_go_through_their_points():
+    import numpy as np
+
+    from curvelab.functions import pixels as P
+
+    rng = np.random.default_rng(0)
+    knots = [(int(x), int(y)) for x, y in zip(np.cumsum(rng.integers(3, 9, 30)), rng.integers(0, 60, 30))]
+    out = np.array(P.spline(knots, 3000))
+    assert len(out) == 3000 and all(np.hypot(*(out - k).T).min() <= 1.5 for k in knots)
+    level = P.spline([(x, 50) for x, _ in knots], 400)
+    assert {y for _, y in level} == {50} and level[0][0] == knots[0][0] and level[-1][0] == knots[-1][0]
+    assert len(P.spline([(i, i % 7) for i in range(4000)], 50)) == 50
+    trace = [(x, int(100 + 20 * np.sin(x / 15) + rng.integers(-3, 4))) for x in range(200)]
+    smooth = P.smoothed_curve(trace)
+    assert len(smooth) == 200 and np.abs(np.diff([y for _, y in smooth])).mean() < np.abs(np.diff([y for _, y in trace])).mean() and P.smoothed_curve(trace[:3]) == trace[:3]
