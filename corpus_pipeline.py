@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; its rows are written as Parquet and read again by the next one.
+
+Defined results of every stage: an empty table stays empty; further columns, whatever their names, are kept up to the packing;
+texts of any length are taken whole. What nulls, repeated rows and ties give is said at each stage.
 """
 
 from __future__ import annotations
@@ -14,27 +17,27 @@ from curvelab.llm.queries import MIX_WEIGHTS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go, null, empty and blank texts with them; repeated rows are judged alike."""
     return repetition.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, of the smallest doc_id (one without a doc_id where none has any); repeated rows are copies."""
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by its kind."""
+    """Every span of personal data is replaced by its kind; overlapping ones become one, named after the first; null texts stay null."""
     return pii.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target rate makes it, in a global random order."""
+    """Every document as often as its source's target rate makes it, in a global random order; sources without a weight, null too, stay as they are; repeated doc_ids share one count."""
     return mixing.mix(docs, MIX_WEIGHTS).select(*docs.columns)
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every document lies in the sequences."""
+    """Where every piece of every document lies in the sequences; a null text is its closing id alone; repeated rows are packed each for itself."""
     return packing.pack(docs)
 
 
