@@ -187,20 +187,44 @@ def edges(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
     return np.where(strong[labels], 255, 0).astype(np.uint8)
 
 
-def skew_angle(image: np.ndarray, votes: int = 100) -> float:
-    """The median deviation from level or upright of the strongest straight edges, in degrees, from a Hough transform in steps of one degree."""
+def _longest(at: np.ndarray, gap: float) -> tuple[int, int]:
+    """First and last place, in the order of ``at``, of its longest stretch without a gap over ``gap``."""
+    cuts = np.flatnonzero(np.diff(at) > gap)
+    first, last = np.concatenate(([0], cuts + 1)), np.append(cuts, len(at) - 1)
+    k = int((at[last] - at[first]).argmax())
+    return int(first[k]), int(last[k])
+
+
+def skew_angle(image: np.ndarray, votes: int = 100, length: float = 100, gap: float = 10) -> float:
+    """The median deviation from level or upright of straight edges, in degrees: lines of a Hough transform in steps of one degree, the
+    strongest first; on each the longest stretch without a gap over ``gap`` counts from ``length`` pixels on, by the slope fitted
+    to it, and its pixels count no more for weaker lines."""
     ys, xs = np.nonzero(edges(gray(image)))
     if not len(ys):
         return 0.0
     theta = np.deg2rad(np.arange(180))
-    rho = np.rint(xs[:, None] * np.cos(theta) + ys[:, None] * np.sin(theta)).astype(int)
+    rho = np.rint(np.cos(theta)[:, None] * xs + np.sin(theta)[:, None] * ys).astype(int)
     span = int(np.hypot(*image.shape[:2])) + 1
-    table = np.zeros((2 * span + 1, 180), int)
-    np.add.at(table, (rho + span, np.broadcast_to(np.arange(180), rho.shape)), 1)
-    found = np.nonzero(table >= votes)[1]
-    dev = np.where(found > 135, found - 180, np.where(found > 45, found - 90, found))
-    dev = dev[np.abs(dev) < 45]
-    return float(np.median(dev)) if len(dev) else 0.0
+    table = np.zeros((180, 2 * span + 1), int)
+    np.add.at(table, (np.arange(180)[:, None], rho + span), 1)
+    lines = np.argwhere(table >= votes)
+    ranks, ends = np.argsort(rho, axis=1, kind="stable"), np.cumsum(table, axis=1)  # a bin's pixels are successive in its angle's order
+    free, dev = np.ones(len(xs), bool), []
+    for t, r in lines[np.argsort(-table[tuple(lines.T)], kind="stable")].tolist():
+        on = ranks[t, ends[t, r - 1] - table[t, r - 1] : ends[t, min(r + 1, 2 * span)]]  # with the bins beside it, over which stairs spread
+        on = on[free[on]]
+        if len(on) < votes:
+            continue
+        c, s = np.cos(theta[t]), np.sin(theta[t])
+        along = ys[on] * c - xs[on] * s
+        order = np.argsort(along, kind="stable")
+        i, j = _longest(along[order], gap)
+        if along[order[j]] - along[order[i]] >= length - 1:
+            part = order[i : j + 1]
+            free[on[part]] = False
+            m = np.polyfit(along[part], xs[on[part]] * c + ys[on[part]] * s, 1)[0]
+            dev.append((np.rad2deg(np.arctan2(c + m * s, m * c - s)) + 45) % 90 - 45)
+    return float(np.median(dev)) if dev else 0.0
 
 
 def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
@@ -234,11 +258,13 @@ def rectified(image: np.ndarray, least: float = 0.5) -> tuple[np.ndarray, float]
 
 
 def thinned(mask: np.ndarray) -> np.ndarray:
-    """The morphological skeleton: what openings take away from ever smaller erosions."""
+    """The morphological skeleton: what openings take away from ever smaller erosions. A mask without any background has none."""
     a, out = mask.copy(), np.zeros_like(mask)
     cross = lambda x, pick, fill: pick(_extreme(x, 3, 1, pick, fill), _extreme(x, 1, 3, pick, fill))
     while a.any():
         small = cross(a, np.minimum, 255)
+        if (small == a).all():
+            break
         out |= a & ~cross(small, np.maximum, 0)
         a = small
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curvelab.functions import arrays as A
+from curvelab.functions import register
 from curvelab.functions import text as T
 from curvelab.operators import contours, extraction, features, images, jobs, merge, scale, scoring, validation
 from curvelab.operators import curves as C
@@ -358,6 +359,21 @@ def pixel_fallback(spark, sf_dir):
     return scale.map_units(_embedding_points(spark, sf_dir), _chart_scales(spark, sf_dir)).where("units = 'pixel'").select("chart_id", "idx", "strain", "stress")
 
 
+@query(f"WITH {O.CLEAN} SELECT tok, cleaned, CASE WHEN length(tok) >= 18 THEN 'A' WHEN length(tok) >= 16 THEN 'B' WHEN length(tok) >= 14 THEN 'C' WHEN length(tok) >= 12 THEN 'D' ELSE 'F' END AS grade FROM cleaned")
+def sql_functions(spark, sf_dir):
+    """The functions registered for SQL, over the distinct tokens."""
+    register.register(spark)
+    return document_tokens(spark, sf_dir).select("tok").distinct().selectExpr("tok", "clean_number(tok) AS cleaned", "grade(length(tok) / 20.0D) AS grade")
+
+
+@query(ORACLE_SQL["critical_points"])
+def sql_critical_points(spark, sf_dir):
+    """The table function registered for SQL, over the curves."""
+    register.register(spark)
+    event_curves(spark, sf_dir).createOrReplaceTempView("registered_curves")
+    return spark.sql("SELECT curve_id, point, round(strain, 6) AS strain, round(stress, 6) AS stress FROM registered_curves, LATERAL critical_points(xs, ys)")
+
+
 @query("""WITH c AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 > 0 THEN (p_size % 7 - 1) / 100.0 END AS xm, CASE WHEN p_size % 4 > 0 THEN -(p_partkey % 9) / 50.0 END AS ym, p_size * 1.0 AS x0, p_partkey % 11 * 1.0 AS y0 FROM part),
 d AS (SELECT *, x0 - 20 * xm AS xo, y0 + 20 * ym AS yo FROM c)
 SELECT k, round(CASE WHEN xm IS NULL OR xm = 0 THEN 1.0 ELSE xm END, 6) AS x_scale, round(coalesce(xo, 0.0), 6) AS x_offset, round(CASE WHEN ym IS NULL OR ym = 0 THEN 1.0 ELSE -ym END, 6) AS y_scale, round(coalesce(yo, 0.0), 6) AS y_offset,
@@ -479,6 +495,37 @@ def traced_masks(spark, sf_dir):
     return images.trace(bar_masks(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE b AS (SELECT vec_id AS image_id, list_transform(range(64), lambda k: k // 8 >= {BARS.replace('x + 1', 'k % 8 + 1')}) AS a FROM embeddings),
+s(image_id, n, a) AS (SELECT image_id, 0, a FROM b
+  UNION ALL SELECT image_id, n + 1, list_transform(range(64), lambda k: a[k + 1] AND (k % 8 = 0 OR a[k]) AND (k % 8 = 7 OR a[k + 2]) AND (k < 8 OR a[k - 7]) AND (k > 55 OR a[k + 9])) FROM s WHERE list_contains(a, true) AND n < 64)
+SELECT DISTINCT s.image_id, CAST(k % 8 AS INTEGER) AS px, CAST(k // 8 AS INTEGER) AS py FROM s JOIN s t ON t.image_id = s.image_id AND t.n = s.n + 1, range(64) r(k)
+WHERE s.a[k + 1] AND NOT (t.a[k + 1] OR (k % 8 > 0 AND t.a[k]) OR (k % 8 < 7 AND t.a[k + 2]) OR (k > 7 AND t.a[k - 7]) OR (k < 56 AND t.a[k + 9]))""")
+def skeletons(spark, sf_dir):
+    return images.skeleton(bar_masks(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {GRAY}, {NEAR},
+gr AS (SELECT p.image_id, p.px, p.py, sum(q.v * dx * (2 - abs(dy))) AS gx, sum(q.v * dy * (2 - abs(dx))) AS gy FROM px p JOIN nb ON nb.px = p.px AND nb.py = p.py JOIN px q ON q.image_id = p.image_id AND q.px = qx AND q.py = qy WHERE abs(dx) < 2 AND abs(dy) < 2 GROUP BY p.image_id, p.px, p.py),
+sz AS (SELECT image_id, px, py, abs(gx) + abs(gy) AS size, (CAST(round_even(atan2(gy, gx) / (pi() / 4), 0) AS INTEGER) + 8) % 4 AS turn FROM gr),
+st AS (SELECT *, CASE turn WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE 1 END AS sx, CASE turn WHEN 0 THEN 0 ELSE 1 END AS sy FROM sz),
+wk AS (SELECT s.image_id, s.px, s.py, s.size FROM st s LEFT JOIN sz a ON a.image_id = s.image_id AND a.px = s.px + sx AND a.py = s.py + sy LEFT JOIN sz b ON b.image_id = s.image_id AND b.px = s.px - sx AND b.py = s.py - sy
+  WHERE s.size > 50 AND s.size >= coalesce(a.size, 0) AND s.size > coalesce(b.size, 0)),
+ed(image_id, px, py) AS (SELECT image_id, px, py FROM wk WHERE size > 150 UNION SELECT w.image_id, w.px, w.py FROM ed JOIN wk w ON w.image_id = ed.image_id AND abs(w.px - ed.px) < 2 AND abs(w.py - ed.py) < 2),
+wd AS (SELECT DISTINCT image_id, px + i AS px, py + j AS py FROM ed, range(2) r(i), range(2) c(j))
+SELECT p.image_id, string_agg(CASE WHEN wd.px IS NULL THEN '00' ELSE 'FF' END, '' ORDER BY p.py, p.px) AS mask FROM px p LEFT JOIN wd ON wd.image_id = p.image_id AND wd.px = p.px AND wd.py = p.py GROUP BY p.image_id""")
+def edge_masks(spark, sf_dir):
+    return images.edge_mask(gray_images(spark, sf_dir)).select("image_id", F.hex("data").alias("mask"))
+
+
+@query("SELECT s_suppkey AS image_id, CAST(s_suppkey % 11 - 5 AS DOUBLE) AS angle FROM supplier")
+def tilted_sheets(spark, sf_dir):
+    """Strokes drawn askew by whole degrees, and what they are found to be askew by."""
+    degrees = F.col("image_id") % 11 - 5
+    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")).repartition(spark.sparkContext.defaultParallelism)
+    ys = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.round(100 + (k - 200) * F.tan(F.radians(degrees))).cast("int"))
+    return images.rectify(images.drawn(e.select("image_id", ys.alias("ys")), 200, 440, 20)).select("image_id", F.round("angle").alias("angle"))
+
+
 POINTS_AT = "at AS (SELECT DISTINCT image_id, CAST(image_id % 8 AS INTEGER) AS px FROM px)"
 
 
@@ -614,6 +661,14 @@ def jobs_latest(spark, sf_dir):
     return jobs.latest(_states(spark, sf_dir)).select("job_id", "status")
 
 
+@query(f"WITH s AS (SELECT o_custkey AS job_id, {STATUS_SQL} AS status, o_orderdate AS updated_at FROM orders) SELECT job_id, CASE WHEN job_id = (SELECT min(job_id) FROM s) THEN 'failed' ELSE arg_max(status, (updated_at, status)) END AS status, count(*) + CAST(job_id = (SELECT min(job_id) FROM s) AS BIGINT) AS states FROM s GROUP BY job_id")
+def jobs_advanced(spark, sf_dir):
+    """The states after the first job has failed."""
+    s = _states(spark, sf_dir)
+    moved = jobs.advance(s, s.agg(F.min("job_id")).scalar(), "failed")
+    return jobs.latest(moved).join(moved.groupBy("job_id").agg(F.count(F.lit(1)).alias("states")), "job_id").select("job_id", "status", "states")
+
+
 @query("SELECT DISTINCT o_custkey AS job_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
 def jobs_deleted(spark, sf_dir):
     gone = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("job_id"))
@@ -698,6 +753,21 @@ def plain_numbers(spark, sf_dir):
     return document_tokens(spark, sf_dir).select("tok").distinct().select("tok", T.is_plain_number(F.col("tok")).alias("plain"))
 
 
+@query(f"WITH {O.CLEAN} SELECT tok, cleaned, CASE WHEN length(tok) >= 18 THEN 'A' WHEN length(tok) >= 16 THEN 'B' WHEN length(tok) >= 14 THEN 'C' WHEN length(tok) >= 12 THEN 'D' ELSE 'F' END AS grade FROM cleaned")
+def sql_functions(spark, sf_dir):
+    """The functions registered for SQL, over the distinct tokens."""
+    register.register(spark)
+    return document_tokens(spark, sf_dir).select("tok").distinct().selectExpr("tok", "clean_number(tok) AS cleaned", "grade(length(tok) / 20.0D) AS grade")
+
+
+@query(ORACLE_SQL["critical_points"])
+def sql_critical_points(spark, sf_dir):
+    """The table function registered for SQL, over the curves."""
+    register.register(spark)
+    event_curves(spark, sf_dir).createOrReplaceTempView("registered_curves")
+    return spark.sql("SELECT curve_id, point, round(strain, 6) AS strain, round(stress, 6) AS stress FROM registered_curves, LATERAL critical_points(xs, ys)")
+
+
 @query("""WITH c AS (SELECT p_partkey AS k, 400 + p_size * 10 AS w, 300 + p_size * 7 AS h, 110 + p_partkey % 500 AS x, 60 + p_partkey % 300 AS y FROM part)
 SELECT k, CAST(floor(w * 0.15) AS INTEGER) AS left_margin, CAST(h - floor(h * 0.15) AS INTEGER) AS origin_y, CAST(w - floor(w * 0.15) AS INTEGER) AS plot_width, round((x - 100) / 650.0 * 6, 6) AS strain, round((520 - y) / 470.0 * 5000, 6) AS stress FROM c""")
 def plot_regions(spark, sf_dir):

@@ -37,6 +37,15 @@ def shown(rows):
 
 @pytest.mark.parametrize("name", ["peak_features", "critical_points", "validate_curves", "confidence_report", "ocr_clean_numbers", "fit_robust", "merge_curves_weighted", "small_components", "contour_score", "csv_export", "stream_curves"])
 def test_queries_against_sql(spark, duck, name):
+    compare(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["skeletons", "edge_masks", "tilted_sheets", "jobs_advanced", "sql_functions", "sql_critical_points"])
+def test_further_queries_against_sql(spark, duck, name):
+    compare(spark, duck, name)
+
+
+def compare(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SF)
     want = duck.sql(catalogue.ORACLE_SQL[name])
     columns = sorted(got.columns)

@@ -57,6 +57,20 @@ def test_skew_and_rotation():
     assert abs(P.skew_angle(level)) < 1.5
 
 
+def test_skew_of_shallow_and_dotted_lines():
+    for degrees in (-4, -1, 0, 2, 7):
+        ys = np.round(100 + (np.arange(400) - 200) * np.tan(np.deg2rad(degrees))).astype(int)
+        assert abs(P.skew_angle(P.drawn(ys, 200, 440, 20)) - degrees) < 0.1
+    dashes = np.full((200, 440), 255, np.uint8)
+    for x in range(20, 400, 60):  # short strokes far apart are no line, whatever their votes
+        dashes[100:103, x : x + 25] = 0
+    assert P.skew_angle(dashes) == 0.0 and P.skew_angle(np.rot90(dashes)) == 0.0
+
+
+def test_a_mask_without_background_has_no_skeleton():
+    assert not P.thinned(np.full((6, 9), 255, np.uint8)).any()
+
+
 def test_trace_finds_the_curve(spark):
     a = np.full((300, 400), 255, np.uint8)
     xs = np.arange(40, 360)
