@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curvelab.llm import langid, linecrf, media, mixing, packing, passages, pii, repetition, sharding, simhash
 from curvelab.llm.common import documents_of
@@ -54,6 +55,31 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.coverage(documents_of(spark, sf_dir))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operator reports of the four base kinds."""
+    return op8_weak_supervision_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads as they are read back from the archives."""
+    return op5_media_archive(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and slots of each shard."""
+    return op6_label_propagation_shards(spark, sf_dir).groupBy("shard", "law").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("slots"))
+
+
+def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of each row and of its group of equal texts."""
+    return op6_label_propagation_shards(spark, sf_dir).select("doc_id", "size", "group_rows")
+
+
+def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts among the repeats that the operator finds."""
+    return op7_paragraph_minhash(spark, sf_dir).where("kind = 'text'").select("doc_id", F.col("words").cast("long").alias("words"), "kept_in", "removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -65,8 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_ffd_packing": op9_ffd_packing,
     "op10_repetition_rules": op10_repetition_rules,
+    "pii_base_spans": pii_base_spans,
+    "media_payloads": media_payloads,
+    "shard_rows": shard_rows,
+    "shard_groups": shard_groups,
+    "repeated_texts": repeated_texts,
 }
 
+
 def _repetition_sql() -> str:
     """The measures by windows over words: an n-gram is its words joined by a space, which no word contains."""
     word, parts = r"[^ \t-\r]+", []
@@ -98,7 +130,49 @@ SELECT *, {failed} AS base_failed, NOT ({failed}) AND dup_line_chars <= CAST({re
 """
 
 
+def _base_spans_sql() -> str:
+    """Matches and the pieces between them, by kind; a match starts where the pieces and matches before it end."""
+    # fixed values: the base patterns
+    base = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    found = " UNION ALL ".join(f"SELECT r, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')" for k, (kind, p) in enumerate(base.items()))
+    doubled = "CAST(reverse(digits)[i + 1] AS INTEGER) * (1 + i % 2)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+n AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f),
+u AS (SELECT r, k, kind, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s FROM n),
+v AS (SELECT r, k, kind, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM u WHERE CASE k
+  WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+  WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: {doubled} - CASE WHEN {doubled} > 9 THEN 9 ELSE 0 END)) % 10 = 0
+  WHEN 3 THEN length(digits) BETWEEN 9 AND 15 ELSE true END),
+g AS (SELECT r, count_if(k = 0) AS n_email, count_if(k = 1) AS n_ip, count_if(k = 2) AS n_card, count_if(k = 3) AS n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM v GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in base)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g ON g.r = d.r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "pii_base_spans": _base_spans_sql(),
+    "media_payloads": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, octet_length(b) AS n, greatest(64, (octet_length(b) + 63) // 64 * 64) AS padded FROM d)
+SELECT doc_id, n AS n_bytes, padded AS payload_bytes, sha256(b || repeat('\\x00'::BLOB, padded - n)) AS payload_sha256 FROM p
+""",
+    "repeated_texts": rf"""
+WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t-\r]+')) AS BIGINT) AS words, min(doc_id) OVER w AS kept_in, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY text))
+SELECT doc_id, words, kept_in, doc_id <> kept_in AS removed FROM t WHERE n > 1 AND words >= {passages.PARAGRAPH}
+""",
+    "shard_rows": """
+WITH c AS (SELECT count(*) AS total FROM documents), s AS (SELECT CAST(shard AS INTEGER) AS shard, total // 24 + CAST(shard < total % 24 AS BIGINT) AS n FROM c, range(24) r(shard))
+SELECT shard, 'rows' AS law, n, CAST(0 AS BIGINT) AS first_slot, n - 1 AS last_slot, n AS slots FROM s WHERE n > 0
+""",
+    "shard_groups": """
+SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_rows FROM documents
+""",
     "op10_repetition_rules": _repetition_sql(),
     "op1_poisson_mixing": f"""
 WITH RECURSIVE weights(source, weight) AS (VALUES {", ".join(f"('{s}', {w})" for s, w in MIX_WEIGHTS.items())}),
