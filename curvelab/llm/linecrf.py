@@ -13,7 +13,8 @@ from, at a place that a hash of doc_id names; with both bounds the driver gets
 600,000 lines at the most. Every text is scored whole.
 
 Defined results: an empty table gives no rows; further columns are not read; texts are measured
-in chunks of ``CHUNK`` bytes, a longer one alone, so a text and its lines must fit a task; null and empty texts are one empty line and get a score;
+in chunks of ``CHUNK`` bytes, of a longer one whole lines at a time, of which some forty bytes a line are kept, so a text must fit a
+task and its longest line eightfold; its chain is passed through in pieces of ``PIECE`` lines at once; null and empty texts are one empty line and get a score;
 without labels to learn from, of both kinds, every score is 0.5; rows with a null
 doc_id count as held out; a document with several labels is learned from with
 each; repeated rows are scored alike; labels, lang, source and doc_id do not
@@ -36,8 +37,8 @@ from curvelab.llm.langid import held_out
 SAMPLE, SAMPLE_LINES = 3000, 200
 #: A document is predicted good from this score.
 THRESHOLD = 0.3
-#: Bytes of text that are measured at once (a longer text is measured alone).
-CHUNK = 1 << 20
+#: Bytes of text that are measured at once (a longer line is measured alone), and lines of a chain that are passed through in turn.
+CHUNK, PIECE = 1 << 20, 4096
 STEPS, RATE, DECAY = 120, 0.08, 1e-3
 
 _UPPER, _LOWER, _DIGIT, _BLANK, _SYMBOL, _PIPE, _BANG, _PUNCT, _TAIL, _HIGH = range(10)
@@ -62,19 +63,18 @@ _SALT = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.uint64) * n
 _PLACE = np.random.default_rng(12).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(b" \t\n\r\x0b\x0c")] = True
-OWN = 24
+OWN, AGAIN = 24, 19  # a line's own measures; which of them tells whether it is equal to an earlier one
 FEATURES = 3 * OWN + 1
 
 
-def measure(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line, bytes of every line, lines of each text)."""
+def _own(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """(measures of every line but AGAIN, bytes of every line, lines of each text, hash of every line, 0 for a blank one)."""
     flat = np.frombuffer(b"".join([(t or b"") + b"\n" for t in texts]), np.uint8)
     ends = np.flatnonzero(flat == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
     sizes = ends - starts
     doc_ends = np.cumsum([len(t or b"") + 1 for t in texts])
     lines = np.diff(np.concatenate(([0], np.searchsorted(ends, doc_ends - 1) + 1)))
-    doc = np.repeat(np.arange(len(texts)), lines)
 
     counts = np.zeros((10, len(ends)), np.float64)
     pieces = np.unique(np.concatenate((starts, np.arange(0, len(flat), 1 << 20))))
@@ -103,10 +103,7 @@ def measure(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         same1 += np.bincount(at[one], minlength=len(ends))
         same2 += np.bincount(at[two], minlength=len(ends))
         np.add.at(line_hash, at, h * (np.arange(len(h), dtype=np.uint64) - np.searchsorted(at, at).astype(np.uint64) + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((np.arange(len(ends)), line_hash, doc))
-    again = np.zeros(len(ends), bool)
-    if len(order) > 1:
-        again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (line_hash[order][1:] == line_hash[order][:-1]) & (words[order][1:] > 0)
+        line_hash[(line_hash == 0) & (words > 0)] = 1
 
     n = np.maximum(sizes, 1)
     c, w = counts / n, np.maximum(words, 1)
@@ -116,14 +113,75 @@ def measure(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     own = np.stack([
         np.log1p(sizes) / 8, np.log1p(words) / 6, sizes / w / 10, letters_share, upper, upper > 0.3, c[_DIGIT] * 5, c[_DIGIT] > 0.1,
         c[_SYMBOL] * 10, c[_SYMBOL] > 0.02, c[_SYMBOL] > 0.08, c[_PIPE] * 20, counts[_PIPE] / w > 0.3, c[_BANG] * 20, counts[_BANG] / w > 0.3, c[_PUNCT] * 10,
-        same1 / w, same1 / w > 0.2, same2 / w, again, words == 0, (sizes > 0) & ((closing == 46) | (closing == 33) | (closing == 63)), c[_BLANK] * 3, words < 4,
+        same1 / w, same1 / w > 0.2, same2 / w, np.zeros(len(ends)), words == 0, (sizes > 0) & ((closing == 46) | (closing == 33) | (closing == 63)), c[_BLANK] * 3, words < 4,
     ], axis=1).astype(np.float32)
+    return own, sizes, lines, line_hash
+
+
+def _again(doc: np.ndarray, line_hash: np.ndarray) -> np.ndarray:
+    """Whether a line that is not blank is equal to an earlier one of its text."""
+    order = np.lexsort((line_hash, doc))
+    out = np.zeros(len(order), bool)
+    out[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (line_hash[order[1:]] == line_hash[order[:-1]]) & (line_hash[order[1:]] != 0)
+    return out
+
+
+def measure(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line, bytes of every line, lines of each text)."""
+    own, sizes, lines, line_hash = _own(texts)
+    doc = np.repeat(np.arange(len(texts)), lines)
+    own[:, AGAIN] = _again(doc, line_hash)
     before, after = np.zeros_like(own), np.zeros_like(own)
     inside = doc[1:] == doc[:-1]
     before[1:][inside], after[:-1][inside] = own[:-1][inside], own[1:][inside]
     return np.concatenate((own, before, after, np.ones((len(own), 1), np.float32)), axis=1), sizes, lines
 
 
+def windows(text: bytes) -> Iterator[bytes]:
+    """A text in whole lines of CHUNK bytes or the line that is longer; joined by line feeds they are the text."""
+    at = 0
+    while at <= len(text):
+        end = text.find(b"\n", min(at + CHUNK, len(text)))
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end + 1
+
+
+def evidence_of(text: bytes, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(evidence, bytes) of every line of a long text: what measure and w give, without its lines' features at once."""
+    sums, sizes, hashes = [], [], []
+    parts = np.stack((w[:OWN], w[OWN : 2 * OWN], w[2 * OWN : 3 * OWN]), axis=1)
+    for window in windows(text):
+        own, n, _, h = _own([window])
+        sums.append(own @ parts)
+        sizes.append(n)
+        hashes.append(h)
+    e, h = np.concatenate(sums), np.concatenate(hashes)
+    e += _again(np.zeros(len(h), np.int8), h)[:, None] * parts[AGAIN]
+    out = e[:, 0] + w[-1]
+    out[1:] += e[:-1, 1]
+    out[:-1] += e[1:, 2]
+    return out, np.concatenate(sizes)
+
+
+def stretch(text: bytes | None, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, bytes) of SAMPLE_LINES successive lines of a text, as measure gives them, at a place that h names."""
+    text = text or b""
+    hashes = np.concatenate([_own([window])[3] for window in windows(text)])
+    at = h % max(1, len(hashes) - SAMPLE_LINES + 1)
+    first, last = max(0, at - 1), min(len(hashes), at + SAMPLE_LINES + 1)  # with the lines beside them
+    again = _again(np.zeros(len(hashes), np.int8), hashes)[first:last]
+    kept, seen = [], 0
+    for window in windows(text):
+        n = window.count(b"\n") + 1
+        if seen < last and seen + n > first:
+            kept += window.split(b"\n")[max(0, first - seen) : last - seen]
+        seen += n
+    x, sizes, _ = measure([b"\n".join(kept)])
+    x[:, AGAIN], x[1:, OWN + AGAIN], x[:-1, 2 * OWN + AGAIN] = again, again[:-1], again[1:]
+    return x[at - first :][:SAMPLE_LINES], sizes[at - first :][:SAMPLE_LINES]
+
+
 @dataclass
 class Field:
     """w: a line's evidence for good over bad; trans[a, b]: log weight of label b after a (0 bad, 1 good); first: log odds of the first line; slope, shift: calibration."""
@@ -139,8 +197,49 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(m / (1 - m)) + self.shift, -60, 60)))
 
 
-def marginals(evidence: np.ndarray, lines: np.ndarray, field: Field, pairs: bool = False) -> tuple:
-    """The probability of good for every line, by forward-backward over all chains at once; with ``pairs``, also the expected transitions."""
+def pieces_of(evidence: np.ndarray, lines: np.ndarray, field: Field, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, enter, leave) of the pieces of ``piece`` lines that chains are cut into: the probability of good before a piece's first
+    line (none for a chain's first piece) and the message of good over bad that comes back to its last one. Every piece is a matrix,
+    the product of its lines' steps, through which the messages pass."""
+    n = -(-lines // piece)
+    sizes = np.full(n.sum(), piece)
+    ends = np.cumsum(n) - 1
+    sizes[ends] = lines - (n - 1) * piece
+    begins = np.zeros(len(sizes), bool)
+    begins[ends - n + 1] = True
+    starts = np.cumsum(sizes) - sizes
+    a, good = np.exp(field.trans), np.exp(np.clip(evidence, -30, 30))
+    order = np.argsort(-sizes, kind="stable")
+    active = np.searchsorted(-sizes[order], -np.arange(piece), side="left")
+    m = np.tile(np.eye(2), (len(sizes), 1, 1))  # rows and columns: good, bad
+    for t in range(piece):
+        at = order[: active[t]]
+        old = m[at]
+        new = np.stack((a[1, 1] * old[:, 0] + a[0, 1] * old[:, 1], a[1, 0] * old[:, 0] + a[0, 0] * old[:, 1]), axis=1)
+        if t == 0:
+            new[begins[at]] = np.eye(2)
+        new[:, 0] *= good[starts[at] + t, None]
+        m[at] = new / new.max(axis=(1, 2), keepdims=True)
+    enter, leave = np.full(len(sizes), np.nan), np.ones(len(sizes))
+    for e, k in zip(ends[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+        v, b = np.array([np.exp(field.first), 1.0]), np.ones(2)
+        for i in range(e - k + 1, e):
+            v = m[i] @ v
+            v /= v.sum()
+            enter[i + 1] = v[0]
+        for i in range(e, e - k + 1, -1):
+            b = m[i].T @ b
+            b /= b.sum()
+            leave[i - 1] = b[0] / b[1]
+    return sizes, enter, leave
+
+
+def marginals(evidence: np.ndarray, lines: np.ndarray, field: Field, pairs: bool = False, piece: int = PIECE) -> tuple:
+    """The probability of good for every line, by forward-backward over all chains at once, longer ones in pieces; with ``pairs``, also
+    the expected transitions, of chains that are not cut."""
+    enter = leave = None
+    if not pairs and lines.max(initial=0) > piece:
+        lines, enter, leave = pieces_of(evidence, lines, field, piece)
     order = np.argsort(-lines, kind="stable")
     offset = np.concatenate(([0], np.cumsum(lines)[:-1]))[order]
     longest = int(lines.max(initial=0))
@@ -153,6 +252,9 @@ def marginals(evidence: np.ndarray, lines: np.ndarray, field: Field, pairs: bool
         at = offset[: active[t]] + t
         if t == 0:
             up, down = np.full(len(at), np.exp(field.first)), np.ones(len(at))
+            if enter is not None:
+                q = enter[order[: active[0]]]
+                up, down = np.where(np.isnan(q), up, q * a[1, 1] + (1 - q) * a[0, 1]), np.where(np.isnan(q), down, q * a[1, 0] + (1 - q) * a[0, 0])
         else:
             q = p[: active[t]]
             up, down = q * a[1, 1] + (1 - q) * a[0, 1], q * a[1, 0] + (1 - q) * a[0, 0]
@@ -160,6 +262,9 @@ def marginals(evidence: np.ndarray, lines: np.ndarray, field: Field, pairs: bool
         p = up / (up + down)
         fwd[at] = p
     ratio = np.ones(len(lines))  # backward message of good over bad
+    if leave is not None:
+        ratio = leave[order]
+        bwd[offset + lines[order] - 1] = ratio
     for t in range(longest - 2, -1, -1):
         k = active[t + 1]
         at = offset[:k] + t
@@ -228,9 +333,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
         for b in batches:
             out = []
             for h, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                x, sizes, _ = measure([t.as_py()])
-                at = h % max(1, len(x) - SAMPLE_LINES + 1)
-                out.append((x[at : at + SAMPLE_LINES].tobytes(), sizes[at : at + SAMPLE_LINES].astype(np.int64).tobytes(), q))
+                x, sizes = stretch(t.as_py(), h)
+                out.append((x.tobytes(), sizes.astype(np.int64).tobytes(), q))
             yield pa.record_batch([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int32())], names=["x", "sizes", "quality"])
 
     got = rows.mapInArrow(run, "x binary, sizes binary, quality int").collect()
@@ -253,15 +357,26 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         marg = marginals(x @ field.w.astype(np.float32), lines, field)[0]
         return field.score(by_length(marg, sizes, lines)), lines
 
+    def long_score(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if field is None:
+            return np.array([0.5]), np.array([text.count(b"\n") + 1])
+        e, sizes = evidence_of(text, field.w.astype(np.float32))
+        lines = np.array([len(e)])
+        return field.score(by_length(marginals(e, lines, field)[0], sizes, lines)), lines
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, held, parts = [], 0, []
             for t in b.column(2):
-                texts.append(t.as_py())
-                held += len(texts[-1] or b"")
-                if held >= CHUNK:
+                text = t.as_py()
+                if len(text or b"") <= CHUNK:
+                    texts.append(text)
+                    held += len(text or b"")
+                if texts and (held >= CHUNK or len(text or b"") > CHUNK):
                     parts.append(scores(texts))
                     texts, held = [], 0
+                if len(text or b"") > CHUNK:
+                    parts.append(long_score(text))
             if texts:
                 parts.append(scores(texts))
             s = np.concatenate([p[0] for p in parts] or [np.empty(0)])

@@ -166,3 +166,38 @@ def test_long_documents_are_learned_from(spark, make, monkeypatch):
     labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(10)], "doc_id long, quality int")
     got = {r.doc_id: r for r in linecrf.score(make(rows), labels).collect()}
     assert all(got[d].predicted == (d < 100) for d, _ in rows)
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_pieces_of_chains_give_the_same_marginals(piece):
+    rng = np.random.default_rng(3)
+    lines = np.array([1, 9, 3, 1, 20, 2, 7, 6])
+    e, field = rng.normal(size=lines.sum()) * 3, linecrf.Field(np.zeros(1), rng.normal(size=(2, 2)), 0.4)
+    assert np.allclose(linecrf.marginals(e, lines, field, piece=piece)[0], linecrf.marginals(e, lines, field, pairs=True)[0])
+
+
+LONG = [b"\n".join(b"line %d of text, and more!" % (k % 37) if k % 5 else b"" for k in range(400)), b"\n" * 70, b"x" * 500 + b"\n\nshort\n" + b"y " * 90, b"one line only " * 20]
+
+
+@pytest.mark.parametrize("text", LONG)
+@pytest.mark.parametrize("chunk", [1, 60, 1000])
+def test_long_texts_have_the_evidence_of_short_ones(monkeypatch, text, chunk):
+    w = np.random.default_rng(4).normal(size=linecrf.FEATURES)
+    x, sizes, _ = linecrf.measure([text])
+    monkeypatch.setattr(linecrf, "CHUNK", chunk)
+    monkeypatch.setattr(linecrf, "SAMPLE_LINES", 30)
+    assert b"\n".join(linecrf.windows(text)) == text
+    e, n = linecrf.evidence_of(text, w)
+    assert np.allclose(e, x @ w, atol=1e-4) and n.tolist() == sizes.tolist()
+    for h in (0, 1, 17, 12345):
+        at = h % max(1, len(x) - 29)
+        part, n = linecrf.stretch(text, h)
+        assert np.array_equal(part[:, linecrf.AGAIN], x[at : at + 30, linecrf.AGAIN]) and n.tolist() == sizes[at : at + 30].tolist()
+        assert np.allclose(part, x[at : at + 30])
+
+
+def test_a_million_lines(spark, make):
+    rows = [*QUALITY_ROWS, (500, "\n" * 1_200_000), (501, "A fine line of text.\n" * 600_000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in linecrf.score(make(rows), labels).collect()}
+    assert got[500].lines == 1_200_001 and got[501].lines == 600_001 and all(0 <= r.score <= 1 for r in got.values())
