@@ -324,20 +324,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     """The field from a bounded sample of the labelled rows that are not held out; None if it lacks good or bad ones."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)  # so many rows at most: it may be broadcast
-    rows = (
-        docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-        .select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text"), "quality").orderBy("h", "quality").limit(sample)
-    )
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text"), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for h, t, q in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 x, sizes = stretch(t.as_py(), h)
-                out.append((x.tobytes(), sizes.astype(np.int64).tobytes(), q))
-            yield pa.record_batch([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int32())], names=["x", "sizes", "quality"])
+                out.append((x.tobytes(), sizes.astype(np.int64).tobytes()))
+            yield pa.record_batch([b.column(0), pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), b.column(2)], names=["h", "x", "sizes", "quality"])
 
-    got = rows.mapInArrow(run, "x binary, sizes binary, quality int").collect()
+    # stretches, not texts, are put in order
+    got = rows.mapInArrow(run, "h long, x binary, sizes binary, quality int").orderBy("h", "quality", "sizes", "x").limit(sample).collect()
     y = np.array([r["quality"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
