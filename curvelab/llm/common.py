@@ -62,18 +62,18 @@ class Stored:
     """A table written to the shared folder, so that its lineage ends there
     and a lost executor costs no recomputation of what made it."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, codec: str | None = None):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         remove(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return Stored(df, name).df
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    return Stored(df, name, codec).df
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelab.llm import langid, linecrf, media, mixing, packing, passages, pii, repetition, sharding, simhash
+from curvelab.llm import bpe, collocations, fim, langid, linecrf, media, mixing, packing, passages, pii, repetition, sharding, simhash
 from curvelab.llm.common import documents_of
 
 #: Target shares of the mixture, in characters: one crawl is turned down, the others are kept at three levels.
@@ -55,6 +55,18 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.coverage(documents_of(spark, sf_dir))
 
 
+def op11_automaton_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents_of(spark, sf_dir))
+
+
+def op12_pcy_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents_of(spark, sf_dir))
+
+
+def op13_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents_of(spark, sf_dir))
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the operator reports of the four base kinds."""
     return op8_weak_supervision_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -91,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_ffd_packing": op9_ffd_packing,
     "op10_repetition_rules": op10_repetition_rules,
+    "op11_automaton_fim": op11_automaton_fim,
+    "op12_pcy_collocations": op12_pcy_collocations,
+    "op13_distinct_word_bpe": op13_distinct_word_bpe,
     "pii_base_spans": pii_base_spans,
     "media_payloads": media_payloads,
     "shard_rows": shard_rows,
@@ -156,6 +171,31 @@ SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" f
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_automaton_fim": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+""",
+    "op12_pcy_collocations": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, len(g) AS words, array_to_string(g, ' ') AS phrase FROM (SELECT lang, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS g FROM listed)),
+f AS (SELECT lang, words, phrase, count(*) AS a FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND a >= 10),
+cuts AS (SELECT lang, phrase, words, a, w, unnest(range(1, words)) AS k FROM c),
+scored AS (SELECT cuts.*, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * cuts.a * cuts.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM cuts
+  JOIN f l ON l.lang = cuts.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = cuts.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE words = 3) GROUP BY ALL),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM lowest LEFT JOIN covered USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""",
     "pii_base_spans": _base_spans_sql(),
     "media_payloads": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
