@@ -1,15 +1,18 @@
-"""Image kernels in numpy: grey, blur, morphology, edges, components, contours, thinning, rotation.
+"""Image kernels in numpy: grey, blur, morphology, edges, thinning, tracing, levelling.
 
 Images are uint8 arrays (h, w) or (h, w, 3) in blue-green-red order. Borders are
-mirrored without repeating the edge unless said otherwise. Where the usual
-imaging library has a more elaborate method (inpainting, contour polygons), a
-plain approximation stands in and says so.
+mirrored without repeating the edge unless said otherwise. Parts and outlines are
+in ``parts``, other grids and painting over in ``resampling``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from curvelab.functions.parts import area as enclosed
+from curvelab.functions.parts import components, corners, length, outlines, simplified
+from curvelab.functions.resampling import painted_over, resized, rotated, straightened
+
 
 def gray(image: np.ndarray) -> np.ndarray:
     if image.ndim == 2:
@@ -100,52 +103,35 @@ def closed(a: np.ndarray, ky: int = 3, kx: int = 3) -> np.ndarray:
     return erode(dilate(a, ky, kx), ky, kx)
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, areas) of 8-connected parts, 0 for the background; labels in reading order. Runs of pixels are joined, not pixels."""
-    h, w = mask.shape
-    on = np.zeros((h, w + 2), np.int8)
-    on[:, 1:-1] = mask > 0
-    step = np.diff(on, axis=1).ravel()
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # places in rows of w + 1; runs in reading order
-    n = len(starts)
-    if not n:
-        return np.zeros((h, w), np.int64), np.empty(0, np.int64)
-    # runs of the next row that touch a run, corners included, are successive
-    lo, hi = np.searchsorted(ends, starts + w + 1), np.searchsorted(starts, ends + w + 1, side="right")
-    count = np.maximum(hi - lo, 0)
-    a = np.repeat(np.arange(n), count)
-    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-    label = np.arange(n)
-    while True:  # minima over touching runs, then over labels' labels
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, new[a])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    _, number = np.unique(label, return_inverse=True)
-    out = np.zeros(h * w, np.int64)
-    row = starts // (w + 1)
-    size = ends - starts
-    places = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts - row, size)
-    out[places] = np.repeat(number + 1, size)
-    return out.reshape(h, w), np.bincount(number, weights=size).astype(np.int64)
-
-
 def without_small(mask: np.ndarray, least: int = 50) -> np.ndarray:
     labels, areas = components(mask)
     keep = np.concatenate(([False], areas >= least))
     return np.where(keep[labels], mask, 0).astype(np.uint8)
 
 
+def _run_lengths(on: np.ndarray) -> np.ndarray:
+    """For each pixel that is on, how many successive ones of its column are, itself included."""
+    h = on.shape[0]
+    row = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(on, -1, row), axis=0)
+    below = np.minimum.accumulate(np.where(on, h, row)[::-1], axis=0)[::-1]
+    return np.where(on, below - above - 1, 0)
+
+
 def without_grid(g: np.ndarray, length: int = 15, share: float = 0.01) -> np.ndarray:
-    """Long level and upright strokes painted over with the local background, an approximation of inpainting."""
+    """Long level and upright strokes, where there are many, painted over from their surroundings.
+
+    Where more than the stroke is dark across it, something crosses it, which stays.
+    """
     dark = 255 - g
-    for ky, kx in ((1, length), (length, 1)):
-        lines = opened(opened(dark, ky, kx), ky, kx) > 127
+    across, up = (opened(opened(dark, ky, kx), ky, kx) > 127 for ky, kx in ((1, length), (length, 1)))
+    for lines, others, turn in ((across, up, lambda a: a), (up, across, np.transpose)):
         if lines.mean() > share:
-            g = np.where(dilate(lines.astype(np.uint8) * 255) > 0, closed(g, 7, 7), g).astype(np.uint8)
+            lines, others = turn(lines), dilate(turn(others).astype(np.uint8), 3, 3) > 0
+            run = _run_lengths(turn(g < 128) & ~others)
+            crossing = run > np.median(run[lines]) + 1
+            over = (dilate((lines & ~crossing).astype(np.uint8), 7, 3) > 0) & ~crossing  # with what a blur has spread of them
+            g = painted_over(g, turn(over))
     return g
 
 
@@ -227,36 +213,26 @@ def skew_angle(image: np.ndarray, votes: int = 100, length: float = 100, gap: fl
     return float(np.median(dev)) if dev else 0.0
 
 
-def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about its middle on a canvas that holds all of it; the edge is repeated outwards; bilinear."""
-    h, w = image.shape[:2]
-    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
-    nw, nh = int(h * abs(s) + w * abs(c)), int(h * abs(c) + w * abs(s))
-    yy, xx = np.mgrid[0:nh, 0:nw]
-    x = c * (xx - nw / 2) - s * (yy - nh / 2) + w / 2
-    y = s * (xx - nw / 2) + c * (yy - nh / 2) + h / 2
-    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    fx, fy = x - x0, y - y0
-    if image.ndim == 3:
-        fx, fy = fx[..., None], fy[..., None]
-    f = image.astype(np.float64)
-    return np.rint((1 - fy) * ((1 - fx) * f[y0, x0] + fx * f[y0, x1]) + fy * ((1 - fx) * f[y1, x0] + fx * f[y1, x1])).astype(np.uint8)
-
-
 def rectified(image: np.ndarray, least: float = 0.5) -> tuple[np.ndarray, float]:
     """(image, angle): set level if it is askew by more than ``least`` degrees, a photographed sheet straightened, then cropped."""
     angle = skew_angle(image)
     out = rotated(image, angle) if abs(angle) > least else image
-    g = gray(out)
-    corners = quad(np.where(g > (int(g.min()) + int(g.max())) // 2, 255, 0).astype(np.uint8))
-    if corners is not None and np.abs(corners - [(0, 0), (g.shape[1] - 1, 0), (g.shape[1] - 1, g.shape[0] - 1), (0, g.shape[0] - 1)]).max() > 0.02 * min(g.shape):
-        out = straightened(out, corners)
+    sheet = quad(out)
+    if sheet is not None:
+        out = straightened(out, sheet)
     x, y, w, h = auto_crop(out)
     return out[y : y + h, x : x + w], angle
 
 
+def quad(image: np.ndarray, share: float = 0.25) -> np.ndarray | None:
+    """The corners (top left, top right, bottom right, bottom left) of a sheet or frame: the largest outline among the edges, where it has four vertices and encloses a share of the image."""
+    found = corners(dilate(edges(gray(image))))  # wider, so that gaps close
+    if found is None:
+        return None
+    x, y = found.T
+    return found if abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2 > share * image.shape[0] * image.shape[1] else None
+
+
 def thinned(mask: np.ndarray) -> np.ndarray:
     """The morphological skeleton: what openings take away from ever smaller erosions. A mask without any background has none."""
     a, out = mask.copy(), np.zeros_like(mask)
@@ -292,11 +268,31 @@ def traced(mask: np.ndarray) -> list[tuple[int, int]]:
     return chosen
 
 
-def _part_score(xs: np.ndarray, ys: np.ndarray, middle: np.ndarray, shape: tuple[int, int]) -> float:
+def traced_outline(mask: np.ndarray, epsilon: float = 1.0, least: float = 100) -> tuple[list[tuple[int, int]], float, float]:
+    """(points, enclosed area, length) of the outline that looks most like the curve, among those of at least some length: simplified to within ``epsilon``, the median y of every x, sorted by x."""
+    best, chosen = -1.0, None
+    for walk in outlines(mask):
+        arc = length(walk)
+        if arc < least:
+            continue
+        x, y = walk.T
+        score = _score(np.ptp(x) + 1, np.ptp(y) + 1, int(y.min()), arc, mask.shape)
+        if score > best:
+            best, chosen = score, walk
+    if chosen is None:
+        return [], 0.0, 0.0
+    p = simplified(chosen, epsilon)
+    xs = np.unique(p[:, 0])
+    return [(int(x), int(np.median(p[p[:, 0] == x, 1]))) for x in xs], enclosed(chosen), length(chosen)
+
+
+def _score(bw: int, bh: int, top: int, arc: float, shape: tuple[int, int]) -> float:
     h, w = shape
-    bw, bh = int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
-    arc = len(middle) + np.abs(np.diff(middle)).sum()
-    return 0.35 * bw / w + 0.25 * (1 - (ys.min() + bh / 2) / h) + 0.20 * min(bw / max(bh, 1), 5) / 5 + 0.20 * min(arc / max(np.hypot(bw, bh), 1), 2) / 2
+    return 0.35 * bw / w + 0.25 * (1 - (top + bh / 2) / h) + 0.20 * min(bw / max(bh, 1), 5) / 5 + 0.20 * min(arc / max(np.hypot(bw, bh), 1), 2) / 2
+
+
+def _part_score(xs: np.ndarray, ys: np.ndarray, middle: np.ndarray, shape: tuple[int, int]) -> float:
+    return _score(int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, int(ys.min()), len(middle) + np.abs(np.diff(middle)).sum(), shape)
 
 
 def spline(points: list[tuple[float, float]], n: int) -> list[tuple[int, int]]:
@@ -343,11 +339,25 @@ def smoothed_curve(points: list[tuple[int, int]], n: int | None = None, sigma: f
     return spline([(x, int(v)) for (x, _), v in zip(points, np.round(smooth, 9), strict=True)], n or len(points))
 
 
+def refined(g: np.ndarray, points: list[tuple[int, int]], reach: int = 5) -> list[tuple[int, int]]:
+    """Points moved to the darkest pixel above or below (the first of equals from the top); unmoved where all are white."""
+    if not points:
+        return []
+    x, y = np.array(points).T
+    near = y[:, None] + np.arange(-reach, reach + 1)
+    inside = (near >= 0) & (near < g.shape[0])
+    v = np.where(inside, g[np.clip(near, 0, g.shape[0] - 1), x[:, None]], 255)
+    k = v.argmin(axis=1)
+    rows = np.arange(len(x))
+    return list(zip(x.tolist(), np.where(v[rows, k] < 255, near[rows, k], y).tolist(), strict=True))
+
+
 def for_reading(image: np.ndarray) -> np.ndarray:
     """Enlarged, thresholded, dark on light: what text recognition likes."""
     g = gray(image)
     scale = max(1, 300 // max(1, min(g.shape)))
-    g = np.kron(g, np.ones((scale, scale), np.uint8))
+    if scale > 1:
+        g = resized(g, g.shape[0] * scale, g.shape[1] * scale, "cubic")
     mask = 255 - adaptive_mask(bilateral(g))
     return 255 - mask if mask.mean() < 127 else mask
 
@@ -373,16 +383,26 @@ def equalized(g: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
 
 
 def bilateral(g: np.ndarray, size: int = 9, color: float = 75, space: float = 75) -> np.ndarray:
-    """An average over near pixels of like brightness."""
-    r, f = size // 2, g.astype(np.float64)
-    p, top, bottom = _padded(f, r, r), np.zeros(g.shape), np.zeros(g.shape)
-    for i in range(size):
-        for j in range(size):
-            if (i - r) ** 2 + (j - r) ** 2 <= r * r:
-                v = p[i : i + g.shape[0], j : j + g.shape[1]]
-                k = np.exp(-((v - f) ** 2) / (2 * color**2) - ((i - r) ** 2 + (j - r) ** 2) / (2 * space**2))
-                top, bottom = top + k * v, bottom + k
-    return np.rint(top / bottom).astype(np.uint8)
+    """An average over near pixels of like brightness. Two pixels weigh the same for each other, so a weight is looked up once for both."""
+    r, (h, w) = size // 2, g.shape
+    like = np.exp(-(np.arange(256.0) ** 2) / (2 * color**2)).astype(np.float32)
+    p = _padded(g, r, r).astype(np.int16)
+    f = p.astype(np.float32)
+    top, bottom = f.copy(), np.ones(p.shape, np.float32)
+    for dy in range(r + 1):
+        for dx in range(-r, r + 1):
+            if (dy, dx) <= (0, 0) or dy * dy + dx * dx > r * r:
+                continue
+            here = (slice(0, p.shape[0] - dy), slice(max(0, -dx), p.shape[1] - max(0, dx)))
+            there = (slice(dy, p.shape[0]), slice(max(0, dx), p.shape[1] - max(0, -dx)))
+            k = like[np.abs(p[here] - p[there])]
+            k *= np.float32(np.exp(-(dy * dy + dx * dx) / (2 * space**2)))
+            top[here] += k * f[there]
+            bottom[here] += k
+            top[there] += k * f[here]
+            bottom[there] += k
+    inner = (slice(r, r + h), slice(r, r + w))
+    return np.rint(top[inner] / bottom[inner]).astype(np.uint8)
 
 
 def without_watermark(g: np.ndarray, size: int = 50, flat: float = 15, share: float = 0.05) -> np.ndarray:
@@ -393,36 +413,6 @@ def without_watermark(g: np.ndarray, size: int = 50, flat: float = 15, share: fl
     return bilateral(e) if off.sum() * 255 > share * g.size else e
 
 
-def quad(mask: np.ndarray) -> np.ndarray | None:
-    """The corners (top left, top right, bottom right, bottom left) of a mask's largest part, if it fills them like a sheet."""
-    labels, areas = components(mask)
-    if not len(areas):
-        return None
-    ys, xs = np.nonzero(labels == 1 + int(areas.argmax()))
-    s, d = xs + ys, ys - xs
-    c = np.array([(xs[k], ys[k]) for k in (s.argmin(), d.argmin(), s.argmax(), d.argmax())], float)
-    x, y = c[:, 0], c[:, 1]
-    area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
-    return c if area > 0.25 * mask.size and areas.max() > 0.8 * area else None
-
-
-def straightened(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """The quadrilateral of four corners as a rectangle, by the projective map between them; nearest pixels."""
-    tl, tr, br, bl = corners
-    w, h = int(max(np.hypot(*(br - bl)), np.hypot(*(tr - tl)))), int(max(np.hypot(*(tr - br)), np.hypot(*(tl - bl))))
-    target = np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], float)
-    rows, rhs = [], []
-    for (u, v), (x, y) in zip(target, corners, strict=True):
-        rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
-        rhs += [x, y]
-    m = np.append(np.linalg.solve(np.array(rows), np.array(rhs)), 1).reshape(3, 3)
-    vv, uu = np.mgrid[0:h, 0:w]
-    z = m[2, 0] * uu + m[2, 1] * vv + 1
-    x = np.clip(np.rint((m[0, 0] * uu + m[0, 1] * vv + m[0, 2]) / z).astype(int), 0, image.shape[1] - 1)
-    y = np.clip(np.rint((m[1, 0] * uu + m[1, 1] * vv + m[1, 2]) / z).astype(int), 0, image.shape[0] - 1)
-    return image[y, x]
-
-
 def drawn(ys: np.ndarray, height: int, width: int, left: int, thick: int = 3) -> np.ndarray:
     """A white image with a black stroke through (left + k, ys[k])."""
     a = np.full((height, width), 255, np.uint8)

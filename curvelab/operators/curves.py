@@ -6,10 +6,15 @@ row per curve, from the one shuffle by curve_id that all later steps share.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelab.functions import arrays as A
+from curvelab.functions.parts import simplified
 
 GRID, WINDOW, ORDER, MIN_POINTS = 200, 11, 3, 5
 
@@ -78,3 +83,15 @@ def exploded(curves: DataFrame, **columns: str) -> DataFrame:
 def region_crop(points: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
     """Pixels with x <= px < x+width and y <= py < y+height."""
     return points.where((F.col("px") >= x) & (F.col("px") < x + width) & (F.col("py") >= y) & (F.col("py") < y + height))
+
+
+def simplify(curves: DataFrame, epsilon: float, closed: bool = False) -> DataFrame:
+    """curves with the points only that a polyline needs to stay within ``epsilon`` of all of them; ``closed`` ones end where they begin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kept = [simplified(np.column_stack([x, y]), epsilon, closed) if x is not None and len(x) else np.zeros((0, 2)) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
+            yield pd.DataFrame({"curve_id": pdf["curve_id"], "xs": [k[:, 0].tolist() for k in kept], "ys": [k[:, 1].tolist() for k in kept]})
+
+    kind = curves.schema["curve_id"].dataType.simpleString()
+    return curves.select("curve_id", "xs", "ys").mapInPandas(run, f"curve_id {kind}, xs array<double>, ys array<double>")

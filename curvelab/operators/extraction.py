@@ -1,8 +1,9 @@
 """The main query: chart images to result records.
 
 One pass over the images makes what needs pixels (levelled image, mask, traced and
-smoothed curve, tokens that a recogniser reads beside the axes). All else is
-expressions over one row an image: ticks, scales, units, features, confidence, record.
+smoothed curve, tokens that a recogniser reads beside the axes); it is written, so that
+an image is processed and its regions are read once. All else is expressions over
+one row an image: ticks, scales, units, features, confidence, record.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from curvelab.functions import pixels as P
 from curvelab.functions import text as T
 from curvelab.operators import curves as C
 from curvelab.operators import features, images, merge, scale, scoring
+from curvelab.sources import sinks
 
 # fixed values
 X_UNIT, Y_UNIT = "%", "kN/m²"
@@ -71,8 +73,17 @@ def contour_confidence(points: list[tuple[int, int]], smoothed: list[tuple[int,
     return 0.25 * min(10 * len(x) / max(span, 1), 1) + 0.30 * close + 0.25 * min(2 * span / width, 1) + 0.20 * max(0.0, 1 - jumps / len(x))
 
 
-def digitised(df: DataFrame, reader: Reader | None = None, segment: Callable[[np.ndarray], np.ndarray] | None = None, rectify: bool = True) -> DataFrame:
-    """A row per image (image_id, height, width, channels, data) with all that needs its pixels; a failure is a row with its reason."""
+TRACES = ("columns", "outline")
+
+
+def digitised(df: DataFrame, reader: Reader | None = None, segment: Callable[[np.ndarray], np.ndarray] | None = None, rectify: bool = True, trace: str = "columns", refine: bool = False) -> DataFrame:
+    """A row per image (image_id, height, width, channels, data) with all that needs its pixels; a failure is a row with its reason.
+
+    trace: ``columns`` takes the middle of the curve in every column, ``outline`` the points that its simplified outline needs. With ``refine``
+    traced points move to the darkest pixel near them before they are smoothed.
+    """
+    if trace not in TRACES:
+        raise ValueError(f"trace is one of {', '.join(TRACES)}")
     names = [f.split()[0] for f in SEEN.split(", ")]
     as_points = lambda ps: [{"px": int(x), "py": int(y)} for x, y in ps]
 
@@ -83,7 +94,9 @@ def digitised(df: DataFrame, reader: Reader | None = None, segment: Callable[[np
         region = axis_regions(level)
         mx, top = region["x"][1:]
         mask = mask[:top, mx:]  # the plot region
-        points = [(x + mx, y) for x, y in P.traced(mask)]
+        points = [(x + mx, y) for x, y in (P.traced(mask) if trace == "columns" else P.traced_outline(mask)[0])]
+        if refine:
+            points = P.refined(P.gray(level), points)
         smoothed = P.smoothed_curve(points)
         network, network_conf = [], 0.0
         if segment is not None:
@@ -96,13 +109,12 @@ def digitised(df: DataFrame, reader: Reader | None = None, segment: Callable[[np
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 try:
-                    out.append(one(row))
+                    out = one(row)
                 except Exception as e:  # one bad image is a row, not a lost task
-                    out.append((str(row.image_id), *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=names, dtype=object)
+                    out = (str(row.image_id), *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([out], columns=names, dtype=object)
 
     return df.select("image_id", "height", "width", "channels", "data").mapInPandas(run, SEEN)
 
@@ -126,7 +138,7 @@ def _axis(ticks: Column, text: Column, unit: str) -> Column:
 
 def extract(
     df: DataFrame, reader: Reader | None = None, segment: Callable[[np.ndarray], np.ndarray] | None = None, method: str = "auto", apply_smoothing: bool = True,
-    smoothing_window: int | None = None, frame: str = "reference", min_confidence: float = scale.MIN_CONFIDENCE, rectify: bool = True, tokens: DataFrame | None = None, strict: bool = False,
+    smoothing_window: int | None = None, frame: str = "reference", min_confidence: float = scale.MIN_CONFIDENCE, rectify: bool = True, tokens: DataFrame | None = None, strict: bool = False, trace: str = "columns", refine: bool = False,
 ) -> DataFrame:
     """A result record per image: (image_id, status, data_points, features, critical_points, confidence, x_axis, y_axis,
     extraction_method, units, angle, error).
@@ -134,13 +146,14 @@ def extract(
     ``reader`` recognises text, or ``tokens`` (image_id, tokens[, labels (x_text, y_text)]) has it recognised already; ``segment`` maps an image to
     probabilities. Without either the axes stay uncalibrated (points are pixels), and no network is asked. frame ``image``
     sets tick places back into the image's frame; ``reference`` leaves them as they were recognised. An image that cannot be
-    processed has status failed, null results and its reason. The smoothed curve's places are whole pixels; of equal ones the
+    processed has status failed, null results and its reason. trace and refine are those of ``digitised``; refined contours are of the method
+    ``contour_tracing_refined``. The images are processed when this is called, once; what is returned reads what they gave. The smoothed curve's places are whole pixels; of equal ones the
     first is analysed and scored, where a slope between them would be undefined.
     """
     if frame not in ("reference", "image"):
         raise ValueError("frame is reference or image")
     window = features.window_for(apply_smoothing, smoothing_window or config.settings().smoothing_window)
-    seen = digitised(df, reader, segment, rectify)
+    seen = sinks.stored(digitised(df, reader, segment, rectify, trace, refine), "digitised")  # every image is processed here, once
     if tokens is not None:
         has = "labels" in tokens.columns
         labels = [F.col(f"labels.{c}").alias(c) if has else F.lit("").alias(c) for c in ("x_text", "y_text")]
@@ -160,7 +173,7 @@ def extract(
     made = A.settled(made, mapped=mapped)
     made = A.settled(made, d=F.when(F.size("mapped") > 0, C._keep_first(F.transform("mapped", lambda p: p["strain"]), F.transform("mapped", lambda p: p["stress"]))))
     none = F.array().cast("array<double>")
-    # one exchange feeds the analysis, of long and of short curves, and what is joined to it: the images are read once
+    # one exchange feeds the analysis, of long and of short curves, and what is joined to it
     made = made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")  # by number: rows are few and their analysis is long
     curves = made.select(F.col("image_id").alias("curve_id"), F.coalesce("d.xs", none).alias("xs"), F.coalesce("d.ys", none).alias("ys"))
     analysed = features.analyze(curves, window).select(F.col("curve_id").alias("key"), F.struct("peak_stress", "failure_strain", "initial_modulus", "secant_modulus_50", "energy_to_peak", "post_peak", "confidence").alias("features"), "critical_points")
@@ -175,7 +188,7 @@ def extract(
     out = scored.select(
         "image_id", F.when(F.col("status") == "ok", "completed").otherwise("failed").alias("status"), shown.alias("data_points"), F.when(F.size("mapped") > 0, F.col("features")).alias("features"), "critical_points",
         confidence.alias("confidence"), _axis(F.col("xt"), F.col("x_text"), X_UNIT).alias("x_axis"), _axis(F.col("yt"), F.col("y_text"), Y_UNIT).alias("y_axis"),
-        F.col("m.method").alias("extraction_method"), F.when(F.col("f.is_valid"), "calibrated").otherwise("pixel").alias("units"), F.struct("f.*").alias("scale"), "angle", F.lit(None).cast("string").alias("error"),
+        (F.when(F.col("m.method") == "contour_tracing", "contour_tracing_refined").otherwise(F.col("m.method")) if refine else F.col("m.method")).alias("extraction_method"), F.when(F.col("f.is_valid"), "calibrated").otherwise("pixel").alias("units"), F.struct("f.*").alias("scale"), "angle", F.lit(None).cast("string").alias("error"),
     )
     types = {x.name: x.dataType for x in out.schema}
     bad = seen.where("error is not null")

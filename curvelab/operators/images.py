@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curvelab.functions import parts
 from curvelab.functions import pixels as P
 
 Image = np.ndarray
@@ -20,19 +21,21 @@ def _array(row) -> Image:
     return a[..., :3] if a.ndim == 3 else a
 
 
-def _each(df: DataFrame, make: Callable[[Image], list[tuple]], schema: str) -> DataFrame:
-    """make's rows for every image, after its image_id; a failure is a row of nulls with its reason."""
+def _each(df: DataFrame, make: Callable[[Image], list[tuple] | dict], schema: str) -> DataFrame:
+    """make's rows for every image, after its image_id: tuples, or columns by name; a failure is a row of nulls with its reason. An image's rows go on before the next image is looked at."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 try:
-                    out += [(row.image_id, *r, None) for r in make(_array(row))]
+                    made, error = make(_array(row)), None
                 except Exception as e:  # one bad image is a row, not a lost task
-                    out.append((row.image_id, *[None] * len(names), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["image_id", *names, "error"], dtype=object)
+                    made, error = [(None,) * len(names)], f"{type(e).__name__}: {e}"
+                out = pd.DataFrame(made) if isinstance(made, dict) else pd.DataFrame(made, columns=names, dtype=object)
+                out.insert(0, "image_id", row.image_id)
+                out["error"] = error
+                yield out
 
     kind = df.schema["image_id"].dataType.simpleString()
     return df.select("image_id", "height", "width", "channels", "data").mapInPandas(run, f"image_id {kind}, {schema}, error string")
@@ -49,9 +52,10 @@ def noise(df: DataFrame) -> DataFrame:
 def gray_pixels(df: DataFrame, size: int | None = None) -> DataFrame:
     """(image_id, px, py, v) of every pixel's brightness, or with ``size`` of its mean over size x size pixels."""
 
-    def make(a: Image) -> list[tuple]:
+    def make(a: Image) -> dict:
         g = P.gray(a) if size is None else P.box_mean(P.gray(a), size)
-        return [(x, y, float(v)) for (y, x), v in np.ndenumerate(g)]
+        py, px = np.indices(g.shape, np.int32)
+        return {"px": px.ravel(), "py": py.ravel(), "v": g.ravel().astype(np.float64)}
 
     return _each(df, make, "px int, py int, v double").drop("error")
 
@@ -61,18 +65,31 @@ def skeleton(df: DataFrame) -> DataFrame:
     return _each(df, lambda a: [(int(x), int(y)) for y, x in np.argwhere(P.thinned(a) > 0)], "px int, py int").where("error is null").drop("error")
 
 
-def drawn(curves: DataFrame, height: int, width: int, left: int) -> DataFrame:
+def drawn(curves: DataFrame, height: int, width: int, left: int, thick: int = 3) -> DataFrame:
     """(image_id, height, width, channels, data): images of curves (image_id, ys), whose y are pixel rows from the column ``left`` on, black on white."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, height, width, 1, P.drawn(np.asarray(ys), height, width, left).tobytes()) for i, ys in zip(pdf["image_id"], pdf["ys"], strict=True)]
+            out = [(i, height, width, 1, P.drawn(np.asarray(ys), height, width, left, thick).tobytes()) for i, ys in zip(pdf["image_id"], pdf["ys"], strict=True)]
             yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
 
     kind = curves.schema["image_id"].dataType.simpleString()
     return curves.select("image_id", "ys").mapInPandas(run, f"image_id {kind}, height int, width int, channels int, data binary")
 
 
+def ruled(df: DataFrame, every: int, thick: int) -> DataFrame:
+    """Images in grey with black lines across and up at every so many pixels."""
+
+    def make(a: Image) -> list[tuple]:
+        g = P.gray(a).copy()
+        for k in range(thick):
+            g[every // 2 + k :: every] = 0
+            g[:, every // 2 + k :: every] = 0
+        return [(g.shape[0], g.shape[1], 1, g.tobytes())]
+
+    return _each(df, make, "height int, width int, channels int, data binary").where("error is null").drop("error")
+
+
 def rectify(df: DataFrame) -> DataFrame:
     def make(a: Image) -> list[tuple]:
         out, angle = P.rectified(a)
@@ -109,6 +126,44 @@ def cached_model(path: str, load: Callable[[str], object]) -> object:
     return _models[path]
 
 
+def outlines(df: DataFrame, outside: bool = True) -> DataFrame:
+    """(image_id, part, idx, px, py, area, arc): the outer outline of every part of each mask, in the order of a walk around it, with what it encloses and the length of the walk."""
+
+    def make(a: Image) -> dict:
+        walks = parts.outlines(a, outside)
+        of = lambda f, t: np.repeat(np.array([f(w) for w in walks], t), [len(w) for w in walks])
+        xy = np.concatenate([np.zeros((0, 2), int), *walks]).astype(np.int32)
+        idx = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(w), dtype=np.int32) for w in walks)])
+        return {"part": np.repeat(np.arange(1, len(walks) + 1, dtype=np.int32), [len(w) for w in walks]), "idx": idx, "px": xy[:, 0], "py": xy[:, 1], "area": of(parts.area, np.float64), "arc": of(parts.length, np.float64)}
+
+    return _each(df, make, "part int, idx int, px int, py int, area double, arc double").where("error is null").drop("error")
+
+
+def sheet_corners(df: DataFrame) -> DataFrame:
+    """(image_id, corner, x, y): the four vertices of the sheet or frame in each image, clockwise from the top left; none where there is no such outline."""
+    return _each(df, lambda a: [(k, float(x), float(y)) for k, (x, y) in enumerate(q)] if (q := P.quad(a)) is not None else [], "corner int, x double, y double").where("error is null").drop("error")
+
+
+def without_grid(df: DataFrame) -> DataFrame:
+    """Images in grey whose grid lines are painted over from their surroundings."""
+
+    def make(a: Image) -> list[tuple]:
+        g = P.without_grid(P.gray(a))
+        return [(g.shape[0], g.shape[1], 1, g.tobytes())]
+
+    return _each(df, make, "height int, width int, channels int, data binary")
+
+
+def resize(df: DataFrame, height: int, width: int, kind: str = "cubic") -> DataFrame:
+    """kind: cubic, linear, or area (each new pixel is the mean of what it covers)."""
+
+    def make(a: Image) -> list[tuple]:
+        out = P.resized(a, height, width, kind)
+        return [(height, width, 1 if out.ndim == 2 else out.shape[2], out.tobytes())]
+
+    return _each(df, make, "height int, width int, channels int, data binary")
+
+
 def trace(df: DataFrame) -> DataFrame:
     """(image_id, idx, px, py) of the curve in each mask."""
     return _each(df, lambda a: [(i, x, y) for i, (x, y) in enumerate(P.traced(a))], "idx int, px int, py int").where("error is null").drop("error")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from curvelab.functions import arrays as A
 from curvelab.functions.text import parse_number
@@ -114,14 +117,75 @@ def robust_line(points: Column, residual: float = RESIDUAL) -> Column:
     return A.let(F.array_sort(points), body)
 
 
-def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual: float = RESIDUAL) -> DataFrame:
+#: Points of a group whose pairs make the lines that are tried, and of all groups that a task counts together at most.
+SAMPLE, DEALT, SEED = 64, 50_000, "robust-1"
+
+
+def _same(keys: list[str], a: str, b: str) -> Column:
+    """Equal keys, null ones too."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
+def _hash(*columns: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(SEED), *[c.cast("string") for c in columns]))
+
+
+def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual: float = RESIDUAL, sample: int = SAMPLE, dealt: int = DEALT) -> DataFrame:
     """The robust line of each group's points; groups without two different x have none.
 
-    A group's points are one row, and its pairs are tried within it: ticks of an axis are few.
+    The lines tried go through all pairs of ``sample`` different points, chosen by hash: of a group of no more points that is every pair, the
+    exact search. All points of the group count for each line. They are dealt over tasks, equal ones as one with its number, and
+    each task adds up what its points say for every line, so no task gets a whole group; the line with most inliers (then the best fit on them,
+    then the first pair in the order of x, y) is refitted to its inliers.
     """
-    point = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w"))
-    grouped = t.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.collect_list(point).alias("points"))
-    return A.settled(grouped, f=robust_line(F.col("points"), residual)).where("f is not null").select(*by, "f.inliers", "f.slope", "f.intercept", "f.r2")
+    keys = [f"g{i}" for i in range(len(by))]
+    x0, y0 = F.col(x).cast("double"), F.col(y).cast("double")
+    points = t.where(x0.isNotNull() & y0.isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], x0.alias("x"), y0.alias("y"))
+    points = points.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("m"))
+    order = Window.partitionBy(*keys).orderBy(_hash(F.col("x"), F.col("y")), "x", "y")
+    chosen = points.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    groups = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "y")).alias("o"))
+    picked = chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("p"))  # ``sample`` points at most
+    groups = groups.alias("g").join(picked.alias("p"), _same(keys, "g", "p"))
+    parts = F.greatest(F.ceil(F.col("n") / dealt), F.lit(1)).cast("int")
+    groups = groups.select(*[F.col(f"g.{k}").alias(k) for k in keys], parts.alias("parts"), "o", "p.p")
+    tried = groups.select(*keys, "o", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    placed = points.alias("q").join(groups.select(*keys, "parts").alias("g"), _same(keys, "q", "g")).select(*[F.col(f"q.{k}").alias(k) for k in keys], "x", "y", "m", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int").alias("part"))
+    fields = {k: t.schema[c].dataType.simpleString() for c, k in zip(by, keys, strict=True)}
+    schema = ", ".join(f"{k} {v}" for k, v in fields.items()) + ", i int, j int, ox double, oy double, n long, sx double, sy double, sxx double, sxy double, syy double"
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What some points of a group say for each of its lines: how many are near, and their sums about the group's first point."""
+        if not right.num_rows or not left.num_rows:
+            return pa.table({f: [] for f in [*keys, "i", "j", "ox", "oy", "n", "sx", "sy", "sxx", "sxy", "syy"]}, schema=pa.schema([left.schema.field(k) for k in keys] + [("i", pa.int32()), ("j", pa.int32()), ("ox", pa.float64()), ("oy", pa.float64()), ("n", pa.int64())] + [(c, pa.float64()) for c in ("sx", "sy", "sxx", "sxy", "syy")]))
+        chosen, first = right.column("p")[0].as_py(), right.column("o")[0].as_py()
+        px, py = np.array([c["x"] for c in chosen]), np.array([c["y"] for c in chosen])
+        i, j = np.triu_indices(len(chosen), 1)
+        i, j = i[px[i] != px[j]], j[px[i] != px[j]]
+        slope = (py[j] - py[i]) / (px[j] - px[i])
+        cut = py[i] - slope * px[i]
+        x, y, m = (left.column(c).to_numpy() for c in ("x", "y", "m"))
+        dx, dy = x - first["x"], y - first["y"]
+        terms = np.stack([m, m * dx, m * dy, m * dx * dx, m * dx * dy, m * dy * dy], axis=1)
+        sums, step = np.zeros((len(i), 6)), max(1, 2_000_000 // max(len(x), 1))
+        for s in range(0, len(i), step):
+            near = np.abs(y[None, :] - (slope[s : s + step, None] * x[None, :] + cut[s : s + step, None])) <= residual
+            sums[s : s + step] = near @ terms
+        hit = sums[:, 0] > 0
+        key = [pa.array([left.column(k)[0].as_py()] * int(hit.sum()), left.schema.field(k).type) for k in keys]
+        n = int(hit.sum())
+        return pa.table([*key, pa.array(i[hit].astype(np.int32)), pa.array(j[hit].astype(np.int32)), pa.array([first["x"]] * n, pa.float64()), pa.array([first["y"]] * n, pa.float64()), pa.array(np.rint(sums[hit, 0]).astype(np.int64)), *[pa.array(sums[hit, c]) for c in range(1, 6)]], names=[*keys, "i", "j", "ox", "oy", "n", "sx", "sy", "sxx", "sxy", "syy"])
+
+    told = placed.groupBy(*keys, "part").cogroup(tried.groupBy(*keys, "part")).applyInArrow(counted, schema)
+    lines = told.groupBy(*keys, "i", "j", "ox", "oy").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy")])
+    sums = F.struct(F.col("n").cast("double").alias("w"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sxx").alias("xx"), F.col("sxy").alias("xy"), F.col("syy").alias("yy"))
+    lines = lines.select(*keys, "i", "j", "n", _line(sums, F.col("ox"), F.col("oy")).alias("f")).where("f.slope is not null")
+    r2 = F.round(r_squared(F.col("f.total"), F.col("f.residual")), 9)
+    best = lines.groupBy(*keys).agg(F.max(F.struct(F.col("n").cast("int").alias("inliers"), r2.alias("r2"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), F.col("f.slope").alias("slope"), F.col("f.intercept").alias("intercept"))).alias("b"))
+    return best.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "b.inliers", "b.slope", "b.intercept", "b.r2")
 
 
 def axis_line(ticks: Column, robust: bool = True) -> Column:

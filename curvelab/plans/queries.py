@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +74,18 @@ def curve_ranges(spark, sf_dir):
     return shipments(spark, sf_dir).groupBy("curve_id").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT l_suppkey AS curve_id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS x, arg_min(l_quantity, (l_orderkey, l_linenumber)) AS y FROM lineitem GROUP BY ALL),
+c AS (SELECT curve_id, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys FROM p GROUP BY curve_id),
+s(curve_id, a, b) AS (SELECT curve_id, CAST(1 AS BIGINT), len(xs) FROM c
+  UNION ALL SELECT curve_id, unnest([a, k]), unnest([k, b]) FROM (SELECT curve_id, a, b, a + list_position(dd, list_max(dd)) AS k, list_max(dd) > 400 * ((xs[b] - xs[a]) * (xs[b] - xs[a]) + (ys[b] - ys[a]) * (ys[b] - ys[a])) AS far
+    FROM (SELECT s.*, xs, ys, list_transform(range(a + 1, b), lambda i: ((xs[i] - xs[a]) * (ys[b] - ys[a]) - (ys[i] - ys[a]) * (xs[b] - xs[a])) * ((xs[i] - xs[a]) * (ys[b] - ys[a]) - (ys[i] - ys[a]) * (xs[b] - xs[a]))) AS dd FROM s JOIN c USING (curve_id) WHERE b - a > 1)) WHERE far)
+SELECT DISTINCT curve_id, CAST(xs[k] AS DOUBLE) AS x, CAST(ys[k] AS DOUBLE) AS y FROM (SELECT curve_id, a AS k FROM s UNION SELECT curve_id, b FROM s) JOIN c USING (curve_id)""")
+def curve_simplified(spark, sf_dir):
+    """The points of each supplier's curve that a polyline within 20 of it needs."""
+    kept = C.simplify(C.ordered(C.dedup_first(shipments(spark, sf_dir))), 20)
+    return kept.select("curve_id", F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("curve_id", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+
+
 @query(f"WITH {O.GRID} SELECT curve_id, CAST(k AS INTEGER) AS k, round(x, 6) AS x, round(y, 6) AS y FROM gr")
 def curve_resample_200(spark, sf_dir):
     return C.exploded(C.resample(event_curves(spark, sf_dir)), x="xs", y="ys").select("curve_id", "k", *r6("x", "y"))
@@ -330,6 +341,21 @@ def fit_robust(spark, sf_dir):
     return scale.fit_robust(supplier_ticks(spark, sf_dir), ["nation"]).select("nation", "inliers", *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2")])
 
 
+@query("""WITH t AS (SELECT o_orderpriority AS g, CAST(o_custkey % 4000 AS DOUBLE) AS x, 0.5 * (o_custkey % 4000) + o_orderkey % 3 + CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 977 ELSE 0 END AS y FROM orders),
+u AS (SELECT g, x, y, count(*) AS m FROM t GROUP BY g, x, y),
+sp AS (SELECT g, x, y, row_number() OVER (PARTITION BY g ORDER BY x, y) AS i FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY g ORDER BY md5('robust-1:' || x || ':' || y), x, y) <= 64)),
+ln AS (SELECT a.g, a.i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS s, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS c FROM sp a JOIN sp b ON a.g = b.g AND a.i < b.i AND a.x <> b.x),
+n AS (SELECT ln.g, i, j, CAST(sum(m) AS BIGINT) AS inliers FROM ln JOIN u ON u.g = ln.g WHERE abs(u.y - (s * u.x + c)) <= 5 GROUP BY ln.g, i, j),
+mo AS (SELECT n.*, s, c FROM n JOIN ln USING (g, i, j) QUALIFY inliers = max(inliers) OVER (PARTITION BY n.g)),
+f AS (SELECT mo.g, i, j, any_value(inliers) AS inliers, regr_slope(t.y, t.x) AS slope, regr_intercept(t.y, t.x) AS intercept, regr_r2(t.y, t.x) AS r2 FROM mo JOIN t ON t.g = mo.g WHERE abs(t.y - (s * t.x + c)) <= 5 GROUP BY mo.g, i, j)
+SELECT g, CAST(inliers AS INTEGER) AS inliers, round(slope, 4) AS slope, round(intercept, 2) AS intercept, round(r2, 4) AS r2 FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(r2, 9) DESC, i, j) = 1""")
+def fit_robust_large(spark, sf_dir):
+    """Groups of thousands of points, a quarter of them off the line."""
+    k, c = F.col("o_orderkey"), (F.col("o_custkey") % 4000).cast("double")
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), c.alias("x"), (0.5 * c + k % 3 + F.when(k % 4 == 0, k % 977).otherwise(0)).alias("y"))
+    return scale.fit_robust(t, ["g"]).select("g", "inliers", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 4).alias("r2"))
+
+
 def _embedding_points(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("chart_id"), F.posexplode("embedding").alias("idx", "v")).select("chart_id", "idx", (100 + F.col("idx") * 5).alias("px"), F.round(F.col("v").cast("double") * 100 + 250).cast("int").alias("py"))
@@ -359,21 +385,6 @@ def pixel_fallback(spark, sf_dir):
     return scale.map_units(_embedding_points(spark, sf_dir), _chart_scales(spark, sf_dir)).where("units = 'pixel'").select("chart_id", "idx", "strain", "stress")
 
 
-@query(f"WITH {O.CLEAN} SELECT tok, cleaned, CASE WHEN length(tok) >= 18 THEN 'A' WHEN length(tok) >= 16 THEN 'B' WHEN length(tok) >= 14 THEN 'C' WHEN length(tok) >= 12 THEN 'D' ELSE 'F' END AS grade FROM cleaned")
-def sql_functions(spark, sf_dir):
-    """The functions registered for SQL, over the distinct tokens."""
-    register.register(spark)
-    return document_tokens(spark, sf_dir).select("tok").distinct().selectExpr("tok", "clean_number(tok) AS cleaned", "grade(length(tok) / 20.0D) AS grade")
-
-
-@query(ORACLE_SQL["critical_points"])
-def sql_critical_points(spark, sf_dir):
-    """The table function registered for SQL, over the curves."""
-    register.register(spark)
-    event_curves(spark, sf_dir).createOrReplaceTempView("registered_curves")
-    return spark.sql("SELECT curve_id, point, round(strain, 6) AS strain, round(stress, 6) AS stress FROM registered_curves, LATERAL critical_points(xs, ys)")
-
-
 @query("""WITH c AS (SELECT p_partkey AS k, CASE WHEN p_size % 5 > 0 THEN (p_size % 7 - 1) / 100.0 END AS xm, CASE WHEN p_size % 4 > 0 THEN -(p_partkey % 9) / 50.0 END AS ym, p_size * 1.0 AS x0, p_partkey % 11 * 1.0 AS y0 FROM part),
 d AS (SELECT *, x0 - 20 * xm AS xo, y0 + 20 * ym AS yo FROM c)
 SELECT k, round(CASE WHEN xm IS NULL OR xm = 0 THEN 1.0 ELSE xm END, 6) AS x_scale, round(coalesce(xo, 0.0), 6) AS x_offset, round(CASE WHEN ym IS NULL OR ym = 0 THEN 1.0 ELSE -ym END, 6) AS y_scale, round(coalesce(yo, 0.0), 6) AS y_offset,
@@ -526,6 +537,83 @@ def tilted_sheets(spark, sf_dir):
     return images.rectify(images.drawn(e.select("image_id", ys.alias("ys")), 200, 440, 20)).select("image_id", F.round("angle").alias("angle"))
 
 
+SPOTS = "m AS (SELECT vec_id AS image_id, CAST(k % 8 AS INTEGER) AS px, CAST(k // 8 AS INTEGER) AS py FROM embeddings, range(64) r(k) WHERE embedding[k + 1] > 0.03)"
+
+
+def spot_masks(spark, sf_dir) -> DataFrame:
+    """8 x 8 masks of scattered spots, some within holes of others."""
+    on = F.transform("embedding", lambda v: F.when(v.cast("double") > 0.03, "FF").otherwise("00"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(on, "")).alias("data"))
+
+
+@query(f"""WITH RECURSIVE {SPOTS},
+ways(d, dx, dy) AS (VALUES (0, 1, 0), (1, 1, -1), (2, 0, -1), (3, -1, -1), (4, -1, 0), (5, -1, 1), (6, 0, 1), (7, 1, 1)),
+nb AS (SELECT a.image_id, a.px, a.py, d, b.px AS qx, b.py AS qy FROM m a, ways JOIN m b ON b.image_id = a.image_id AND b.px = a.px + dx AND b.py = a.py + dy),
+nx AS (SELECT image_id, px, py, back, min_by(d, (d - back + 15) % 8) AS d, min_by(qx, (d - back + 15) % 8) AS qx, min_by(qy, (d - back + 15) % 8) AS qy FROM nb, range(8) r(back) GROUP BY image_id, px, py, back),
+st AS (SELECT a.image_id, a.px, a.py, min_by(d, (12 - d) % 8) AS back, min_by(qx, (12 - d) % 8) AS lx, min_by(qy, (12 - d) % 8) AS ly FROM m a LEFT JOIN nb USING (image_id, px, py) WHERE NOT EXISTS (FROM m l WHERE l.image_id = a.image_id AND l.px = a.px - 1 AND l.py = a.py) GROUP BY a.image_id, a.px, a.py),
+wk(image_id, sx, sy, lx, ly, n, px, py, back) AS (SELECT image_id, px, py, lx, ly, 0, px, py, back FROM st
+  UNION ALL SELECT w.image_id, sx, sy, lx, ly, n + 1, nx.qx, nx.qy, (nx.d + 4) % 8 FROM wk w JOIN nx ON nx.image_id = w.image_id AND nx.px = w.px AND nx.py = w.py AND nx.back = w.back WHERE NOT (nx.qx = sx AND nx.qy = sy AND w.px = lx AND w.py = ly) AND n < 500),
+cells AS (SELECT image_id, x - 1 AS px, y - 1 AS py FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings), range(10) a(x), range(10) b(y) WHERE NOT EXISTS (FROM m WHERE m.image_id = vec_id AND m.px = x - 1 AND m.py = y - 1)),
+sea(image_id, px, py) AS (SELECT image_id, px, py FROM cells WHERE px = -1 AND py = -1 UNION SELECT c.image_id, c.px, c.py FROM sea s JOIN cells c ON c.image_id = s.image_id AND abs(c.px - s.px) + abs(c.py - s.py) = 1),
+ow AS (SELECT w.*, dense_rank() OVER (PARTITION BY w.image_id ORDER BY sy, sx) AS part FROM wk w JOIN sea ON sea.image_id = w.image_id AND sea.px = sx - 1 AND sea.py = sy WHERE (w.image_id, sx, sy) IN (SELECT image_id, sx, sy FROM wk GROUP BY image_id, sx, sy HAVING min(py * 8 + px) = sy * 8 + sx)),
+sh AS (SELECT *, lead(px) OVER o AS fx, lead(py) OVER o AS fy, first_value(px) OVER o AS cx, first_value(py) OVER o AS cy FROM ow WINDOW o AS (PARTITION BY image_id, part ORDER BY n))
+SELECT image_id, CAST(part AS INTEGER) AS part, n AS idx, px, py, abs(sum(px * coalesce(fy, cy) - coalesce(fx, cx) * py) OVER (PARTITION BY image_id, part)) / 2.0 AS area, round(coalesce(sum(sqrt((fx - px) * (fx - px) + (fy - py) * (fy - py))) OVER (PARTITION BY image_id, part), 0.0), 6) AS arc FROM sh""".replace("FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings), range(10)", "FROM (SELECT DISTINCT vec_id AS image_id, vec_id FROM embeddings), range(10)"))
+def mask_outlines(spark, sf_dir):
+    """The walks around the parts of scattered masks, with what they enclose."""
+    return images.outlines(spot_masks(spark, sf_dir)).select("image_id", "part", "idx", "px", "py", "area", *r6("arc"))
+
+
+SHEET_H, SHEET_W = 64, 80
+
+
+@query("""WITH k AS (SELECT s_suppkey AS image_id, s_suppkey % 2 AS a, s_suppkey // 2 % 2 AS b, s_suppkey // 4 % 2 AS c FROM supplier)
+SELECT image_id, corner, CAST(CASE corner WHEN 0 THEN 8 + 8 * a WHEN 1 THEN 72 - 8 * b WHEN 2 THEN 72 - 8 * c ELSE 8 + 8 * c END AS DOUBLE) AS x, CAST(CASE corner WHEN 0 THEN 8 + 8 * c WHEN 1 THEN 8 + 8 * a WHEN 2 THEN 56 - 8 * b ELSE 56 - 8 * a END AS DOUBLE) AS y, true AS near
+FROM k, (VALUES (0), (1), (2), (3)) v(corner)""")
+def sheet_corners(spark, sf_dir):
+    """Light sheets on a dark table, each with corners of its own, in whole eights; found within two pixels."""
+    i = F.col("s_suppkey")
+    a, b, c = i % 2, F.floor(i / 2) % 2, F.floor(i / 4) % 2
+    corners = [(8 + 8 * a, 8 + 8 * c), (72 - 8 * b, 8 + 8 * a), (72 - 8 * c, 56 - 8 * b), (8 + 8 * c, 56 - 8 * a)]
+    e = table(spark, sf_dir, "supplier").select(i.alias("image_id"), F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x, y in corners]).alias("q")).repartition(spark.sparkContext.defaultParallelism)
+    side = lambda p, q, k: (q["x"] - p["x"]) * (F.floor(k / SHEET_W) - p["y"]) - (q["y"] - p["y"]) * (k % SHEET_W - p["x"]) >= 0
+    at = [F.get("q", F.lit(j)) for j in range(4)]
+    inside = lambda k: side(at[0], at[1], k) & side(at[1], at[2], k) & side(at[2], at[3], k) & side(at[3], at[0], k)
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SHEET_H * SHEET_W - 1)), lambda k: F.when(inside(k), "DC").otherwise("1E")), ""))
+    found = images.sheet_corners(e.select("image_id", F.lit(SHEET_H).alias("height"), F.lit(SHEET_W).alias("width"), F.lit(1).alias("channels"), data.alias("data")))
+    eight = lambda c: F.round(F.col(c) / 8) * 8
+    return found.select("image_id", "corner", eight("x").alias("x"), eight("y").alias("y"), ((F.abs(F.col("x") - eight("x")) <= 2) & (F.abs(F.col("y") - eight("y")) <= 2)).alias("near"))
+
+
+@query("SELECT s_suppkey AS image_id, CAST(10 + 40 * k AS INTEGER) AS px, CAST(50 + abs((10 + 40 * k + 20 * s_suppkey) % 160 - 80) AS DOUBLE) AS py FROM supplier, range(8) r(k)")
+def grid_removed(spark, sf_dir):
+    """Zigzag curves under a grid of lines across and up: what is traced once the grid is painted over, in whole tens."""
+    ys = F.transform(F.sequence(F.lit(0), F.lit(319)), lambda x: (50 + F.abs((x + 20 * F.col("image_id")) % 160 - 80)).cast("int"))
+    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")).repartition(spark.sparkContext.defaultParallelism)
+    grid = images.ruled(images.drawn(e.select("image_id", ys.alias("ys")), 180, 320, 0, 5), 32, 2)
+    at = images.trace(images.curve_mask(grid).drop("error")).where("px % 40 = 10")
+    return at.select("image_id", "px", (F.round(F.col("py") / 10) * 10).alias("py"))
+
+
+def _kernel_sql(place: str, i: str) -> str:
+    """The weight of sample ``i`` at a place between samples, by the cubic kernel with slope -3/4."""
+    d = f"abs({place} - ({i}))"
+    return f"CASE WHEN {d} <= 1 THEN 1.25 * {d} * {d} * {d} - 2.25 * {d} * {d} + 1 WHEN {d} < 2 THEN -0.75 * {d} * {d} * {d} + 3.75 * {d} * {d} - 6 * {d} + 3 ELSE 0 END"
+
+
+_EDGE = "greatest(0, least(7, {0}))"
+
+
+@query(f"""WITH {GRAY}, w AS (SELECT o, i, {_EDGE.format('i')} AS at, {_kernel_sql('(o + 0.5) / 2 - 0.5', 'i')} AS w FROM range(16) a(o), range(-3, 11) b(i)),
+c AS (SELECT image_id, CAST(h.o AS INTEGER) AS px, CAST(v.o AS INTEGER) AS py, greatest(0, least(255, round_even(sum(v.w * h.w * p.v), 0))) AS v FROM w v, w h JOIN px p ON p.px = h.at AND p.py = v.at WHERE v.w <> 0 AND h.w <> 0 GROUP BY image_id, h.o, v.o),
+s AS (SELECT image_id, px // 2 AS px, py // 2 AS py, round_even(avg(v), 0) AS v FROM px GROUP BY ALL)
+SELECT image_id, 'cubic' AS kind, px, py, CAST(v AS DOUBLE) AS v FROM c UNION ALL SELECT image_id, 'area', CAST(px AS INTEGER), CAST(py AS INTEGER), CAST(v AS DOUBLE) FROM s""")
+def resized_images(spark, sf_dir):
+    """Grey images at twice the size by the cubic kernel, and at half by means."""
+    g = gray_images(spark, sf_dir)
+    shown = lambda n, kind: images.gray_pixels(images.resize(g, n, n, kind).where("error is null").drop("error")).select("image_id", F.lit(kind).alias("kind"), "px", "py", "v")
+    return shown(16, "cubic").unionByName(shown(4, "area"))
+
+
 POINTS_AT = "at AS (SELECT DISTINCT image_id, CAST(image_id % 8 AS INTEGER) AS px FROM px)"
 
 
@@ -652,6 +740,12 @@ def jobs_status_counts(spark, sf_dir):
     return jobs.status_counts(order_jobs(spark, sf_dir))
 
 
+def order_states(orders: DataFrame) -> DataFrame:
+    """Every order as a state of its customer's job."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("processing")
+    return orders.select(F.col("o_custkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+
+
 def _states(spark, sf_dir) -> DataFrame:
     return order_jobs(spark, sf_dir).select(F.col("owner").alias("job_id"), "status", F.col("created_at").alias("updated_at"), F.col("file_size"))
 
@@ -777,9 +871,12 @@ def plot_regions(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("k"), r.alias("r"), F.round(x, 6).alias("strain"), F.round(y, 6).alias("stress")).select("k", F.col("r.x").alias("left_margin"), F.col("r.origin_y").cast("int").alias("origin_y"), F.col("r.width").cast("int").alias("plot_width"), "strain", "stress")
 
 
-@query("WITH r AS (SELECT c, CAST(k AS INTEGER) AS idx, k * (5.5 / 199) AS x FROM range(3) a(c), range(200) b(k)) SELECT c AS curve_id, idx, round(x, 6) AS x, round(CASE WHEN x <= 2.5 THEN 4200 * pow(x / 2.5, 0.8) ELSE 4200 * (1 - 0.4 * pow((x - 2.5) / 3, 1.5)) END, 6) AS y FROM r")
+@query("""WITH r AS (SELECT p_partkey AS c, CAST(k AS INTEGER) AS idx, k * (5.5 / (19 + p_size)) AS x FROM part, range(70) b(k) WHERE k < 20 + p_size)
+SELECT c AS curve_id, idx, round(x, 6) AS x, round(CASE WHEN x <= 2.5 THEN 4200 * pow(x / 2.5, 0.8) ELSE 4200 * (1 - 0.4 * pow((x - 2.5) / 3, 1.5)) END, 6) AS y FROM r""")
 def synthetic_curves(spark, sf_dir):
-    return readers.synthetic_curves(spark, 3, noise=0.0).select("curve_id", "idx", *r6("x", "y"))
+    """A test curve for every part, of more points the larger the part is."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("curve_id"), (20 + F.col("p_size")).alias("points"))
+    return readers.synthetic_points(p, noise=0.0).select("curve_id", "idx", *r6("x", "y"))
 
 
 # --- the main query -------------------------------------------------------------
@@ -815,9 +912,34 @@ def stream_curves(spark, sf_dir):
     """The features of events that arrive as files, taken in by one run over all that is available."""
     from curvelab.streaming import arrivals
 
-    base = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = sinks.fresh(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    arrivals.run_available(stream, lambda batch, _: batch.write.mode("append").parquet(f"{base}/events"), f"{base}/state")
-    curves = C.from_points(readers.event_points(spark.read.schema(schema).parquet(f"{base}/events")))
+    arrivals.run_available(stream, arrivals.batch_sink(f"{base}/events"), f"{base}/state")
+    curves = C.from_points(readers.event_points(arrivals.committed(spark, f"{base}/events", schema)))
     return features.analyze(curves).select("curve_id", *r6(*FEATURES), "post_peak", "peak_index")
+
+
+def _job_changes(spark, sf_dir, limit: int) -> DataFrame:
+    """The newest states of jobs whose events arrive as files, with time-outs after so many seconds."""
+    from curvelab.streaming import arrivals, lifecycle
+
+    base = sinks.fresh(spark, "jobs")
+    stream = spark.readStream.schema(table(spark, sf_dir, "orders").schema).option("pathGlobFilter", "orders*.parquet").parquet(sf_dir)
+    changes = lifecycle.newest(order_states(stream), limit)
+    arrivals.run_available(changes, arrivals.batch_sink(f"{base}/changes"), f"{base}/state", "update")
+    return jobs.latest(arrivals.committed(spark, f"{base}/changes", changes.schema))
+
+
+@query(ORACLE_SQL["jobs_latest"])
+def stream_jobs(spark, sf_dir):
+    """The newest state of every job, kept by key while its events arrive."""
+    return _job_changes(spark, sf_dir, 10**9).select("job_id", "status")
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS job_id, {STATUS_SQL} AS status, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders), j AS (SELECT job_id, arg_max(status, (t, status)) AS status, max(t) AS t FROM s GROUP BY job_id),
+e AS (SELECT *, status IN ('pending', 'processing') AND t + INTERVAL 30 DAY < (SELECT max(t) FROM s) AS late FROM j)
+SELECT job_id, CASE WHEN late THEN 'failed' ELSE status END AS status, CAST(CASE WHEN late THEN t + INTERVAL 30 DAY ELSE t END AS DATE) AS since, CASE WHEN late THEN 'timed out' END AS error_message FROM e""")
+def stream_job_timeouts(spark, sf_dir):
+    """The same with jobs that fail thirty days after their last open state."""
+    return _job_changes(spark, sf_dir, 30 * 86400).select("job_id", "status", F.col("updated_at").cast("date").alias("since"), "error_message")

@@ -29,14 +29,23 @@ def points_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select("curve_id", F.posexplode("points").alias("idx", "p")).select("curve_id", "idx", F.col("p.strain").alias("x"), F.col("p.stress").alias("y"), F.col("p.pixel_x").alias("pixel_x"), F.col("p.pixel_y").alias("pixel_y"))
 
 
-def synthetic_curves(spark: SparkSession, curves: int = 1, points: int = 200, noise: float = 30.0, seed: int = 42) -> DataFrame:
-    """(curve_id, idx, x, y): test curves that rise to 4200 at 2.5 and fall after it, with normal noise, never below 0."""
+# fixed values of the test curve: its peak and where it lies, the exponents of rise and fall, the share that it falls by and how far
+PEAK, PEAK_AT, RISE, FALL, SHARE, BEYOND, END = 4200, 2.5, 0.8, 1.5, 0.4, 3, 5.5
+
+
+def synthetic_points(curves: DataFrame, noise: float = 30.0, seed: int = 42) -> DataFrame:
+    """(curve_id, idx, x, y): a test curve of so many points for each row of ``curves`` (curve_id, points): a rise to 4200 at 2.5 and a fall after it, with normal noise, never below 0."""
     s = F.col("x")
-    rise = 4200 * F.pow(s / 2.5, F.lit(0.8))
-    fall = 4200 * (1 - 0.4 * F.pow(F.greatest(s - 2.5, F.lit(0.0)) / 3, F.lit(1.5)))
-    base = spark.range(curves * points).select(F.floor(F.col("id") / points).alias("curve_id"), (F.col("id") % points).cast("int").alias("idx"))
-    at = base.withColumn("x", F.col("idx") * (5.5 / (points - 1)))
-    return at.withColumn("y", F.greatest(F.lit(0.0), F.when(s <= 2.5, rise).otherwise(fall) + noise * F.randn(seed)))
+    rise = PEAK * F.pow(s / PEAK_AT, F.lit(RISE))
+    fall = PEAK * (1 - SHARE * F.pow(F.greatest(s - PEAK_AT, F.lit(0.0)) / BEYOND, F.lit(FALL)))
+    at = curves.where("points > 0").select("curve_id", "points", F.explode(F.sequence(F.lit(0), (F.col("points") - 1).cast("int"))).alias("idx"))
+    at = at.select("curve_id", "idx", (F.col("idx") * (END / F.greatest(F.col("points") - 1, F.lit(1)))).alias("x"))
+    return at.withColumn("y", F.greatest(F.lit(0.0), F.when(s <= PEAK_AT, rise).otherwise(fall) + noise * F.randn(seed)))
+
+
+def synthetic_curves(spark: SparkSession, curves: int = 1, points: int = 200, noise: float = 30.0, seed: int = 42) -> DataFrame:
+    """(curve_id, idx, x, y): test curves numbered from 0."""
+    return synthetic_points(spark.range(curves).select(F.col("id").alias("curve_id"), F.lit(points).alias("points")), noise, seed)
 
 
 def event_points(events: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,5 +51,41 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="curvelab-")
+        folder = getattr(spark, "_curvelab_folder", None)
+        if not folder:
+            folder = spark._curvelab_folder = "file://" + tempfile.mkdtemp(prefix="curvelab-")
     return folder.rstrip("/")
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/curvelab/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) in Hadoop's terms, whatever store the path is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                fs, target = file_system(spark, path)
+                fs.delete(target, True)
+        except Exception:  # the session may be gone; the folder's owner then clears it
+            return
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder: what made it runs once, however often it is read, and a lost executor does not repeat it."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,3 +51,8 @@ def compare(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert shown(got.select(*columns).collect()) == shown(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+@pytest.mark.parametrize("name", ["mask_outlines", "curve_simplified", "sheet_corners", "grid_removed", "resized_images", "fit_robust_large", "synthetic_curves", "stream_jobs", "stream_job_timeouts", "extract_charts"])
+def test_queries_of_outlines_grids_and_streams(spark, duck, name):
+    compare(spark, duck, name)
