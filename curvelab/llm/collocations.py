@@ -33,6 +33,8 @@ BLOCK = 4_000_000
 #: Words that a part of a long text repeats of the part before; phrases may have one more.
 MAX_BACK = 7
 UNKNOWN = "und"
+#: Parts in which a language's phrases are ranked first.
+PARTS = 64
 SCALE = 1_000_000
 
 # fixed values: the bytes that end a piece, and those between words
@@ -250,6 +252,8 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     inside = inside.select("lang", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("words") - F.col("m") + 1), lambda s: F.array_join(F.slice("w", s, F.col("m")), " "))).alias("phrase"))
     covered = inside.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     kept = lowest.join(covered, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("most") < cover * F.col("a"), F.lit(True)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= top)
+    # the first of each of some parts of a language, then of all: no task ranks a language's phrases alone
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    best = kept.select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"), F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part"))
+    best = best.withColumn("rank", rank("lang", "part")).where(F.col("rank") <= top).withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
