@@ -76,6 +76,16 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return Stored(df, name, codec).df
 
 
+def bucketed(df: DataFrame, key: str, parts: int, name: str, codec: str | None = None) -> DataFrame:
+    """A table written to the shared folder in ``parts`` buckets by a key, so that what is grouped by the key later finds it dealt already."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "curvelab_" + path.rpartition("/")[2].replace("-", "_")
+    writer = df.write.format("parquet").option("path", path).bucketBy(parts, key)
+    (writer.option("compression", codec) if codec else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,7 +4,6 @@ import hashlib
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from curvelab.llm import bpe
 
@@ -96,12 +95,13 @@ def test_decode_any_ids(spark):
     assert all(bytes(found[i]) == b"".join(by[t] for t in ids) for i, ids in rows[:12])
 
 
-def test_plan_joins_tokens_by_broadcast_and_shuffles_only_words(spark, make):
-    plan = bpe.decode(bpe.encode(make([(1, "a b")])), bpe.token_table(spark))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 2 and "rightHint=(strategy=broadcast)" in plan
+def test_documents_are_not_shuffled(spark, make):
+    """Only distinct words and their ids go through exchanges; tokens are joined by broadcast."""
+    plan = bpe.decode(bpe.encode(make([(1, "a b")])), bpe.token_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("BroadcastHashJoin") == 1 and "Bucketed: true" in plan
 
 
 def test_text_of_many_words_streams(spark, make, library):
     text = "lorem ipsum dolor sit amet " * 60_000  # 1.6 MB, over a tenth of a chunk
-    got = bpe.digests(bpe.decode(bpe.encode(make([(1, text)]).select("doc_id", F.col("text"))), bpe.token_table(spark))).collect()
+    got = bpe.round_trip(make([(1, text)])).collect()
     assert [tuple(r) for r in got] == wanted(library, [(1, text)])
