@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from dataclasses import dataclass, fields
 from functools import lru_cache
 
@@ -20,11 +19,6 @@ class Settings:
     ocr_confidence_threshold: float = 0.6
     target_accuracy: float = 0.95
     smoothing_window: int = 11
-    allowed_origins: str = ""
-
-    @property
-    def origins(self) -> list[str]:
-        return re.findall(r"[^\s,](?:[^,]*[^\s,])?", self.allowed_origins)
 
 
 def _env_file(path: str) -> dict[str, str]:

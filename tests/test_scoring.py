@@ -139,8 +139,8 @@ def test_exports_and_sources(spark, tmp_path):
 
 def test_settings_and_sql_functions(spark, tmp_path):
     (tmp_path / ".env").write_text("DEBUG=true\n# no\nmodel_path='m.h5'\n")
-    s = config.load({"Smoothing_Window": "21", "ALLOWED_ORIGINS": "a, ,b"}, str(tmp_path / ".env"))
-    assert (s.debug, s.model_path, s.smoothing_window, s.origins) == (True, "m.h5", 21, ["a", "b"])
+    s = config.load({"Smoothing_Window": "21"}, str(tmp_path / ".env"))
+    assert (s.debug, s.model_path, s.smoothing_window) == (True, "m.h5", 21)
     register(spark)
     assert spark.sql("SELECT grade(0.85) AS g, clean_number('1,S.2') AS c, clean_number('--5') AS d").first() == ("B", "1.52", "-5")
     rows = spark.sql("SELECT * FROM critical_points(array(0D, 1D, 2D), array(0D, 5D, 10D))").collect()
