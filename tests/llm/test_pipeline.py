@@ -10,9 +10,9 @@ import corpus_pipeline
 from curvelab.llm import packing, repetition
 from curvelab.llm.queries import MIX_WEIGHTS
 from tests.llm.test_mixing import plain_count
+from tests.llm.test_neardup import plain_classes
 from tests.llm.test_pii import PLAIN, plain as plain_spans
 from tests.llm.test_repetition import plain as plain_measures
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 
 def corpus():
@@ -47,8 +47,9 @@ def brute(rows):
         failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
         if not failed and m[5] <= repetition.LINE_LIMIT * m[1] and all(c <= limit * m[1] for c, limit in zip(m[6:], repetition.NGRAM_LIMITS.values())):
             kept.append(r)
-    names = plain_components([r[0] for r in kept], [plain_fingerprint(r[1]) for r in kept])
-    kept = [r for r, c in zip(kept, names) if r[0] == c]
+    kept.sort(key=lambda r: r[0])
+    names = plain_classes([r[1] for r in kept])
+    kept = [r for i, (r, c) in enumerate(zip(kept, names)) if i == c]
     kept = [(r[0], redacted(r[1]), *r[2:]) for r in kept]
     chars = Counter()
     for r in kept:
