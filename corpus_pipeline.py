@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelab.llm import mixing, packing, pii, repetition, simhash
+from curvelab.llm import mixing, neardup, packing, pii, repetition
 from curvelab.llm.common import documents_of, stored
 from curvelab.llm.queries import MIX_WEIGHTS
 
@@ -22,8 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, of the smallest doc_id (one without a doc_id where none has any); repeated rows are copies."""
-    return simhash.keep_one(docs)
+    """One row of each group of near copies stays, of the smallest doc_id (one without a doc_id where none has any); repeated rows are copies.
+
+    Texts that SimHash links, and those that share a band of shingle minima, are compared; five-word Jaccard similarity of 0.8 or more makes a copy.
+    """
+    return neardup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
