@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from curvelab.functions import arrays as A
 from curvelab.functions import register
 from curvelab.functions import text as T
-from curvelab.operators import contours, extraction, features, images, jobs, merge, scale, scoring, validation
+from curvelab.operators import contours, extraction, features, images, jobs, long_curves, merge, scale, scoring, validation
 from curvelab.operators import curves as C
 from curvelab.plans import oracle as O
 from curvelab.sources import readers, sinks
@@ -118,6 +118,23 @@ def gaussian_smooth(spark, sf_dir):
     return C.exploded(C.gaussian(event_curves(spark, sf_dir)), y="ys").select("curve_id", "k", *r6("y"))
 
 
+@query(ORACLE_SQL["curve_resample_200"])
+def long_resample(spark, sf_dir):
+    """The same from curves as rows in ranges."""
+    return long_curves.resample(long_curves.placed(points(spark, sf_dir))).select("curve_id", "k", *r6("x", "y"))
+
+
+@query(f"""WITH {O.PTS}, fp AS (SELECT curve_id, x, arg_min(y, idx) AS y FROM pts GROUP BY curve_id, x), s AS (SELECT curve_id, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM fp WINDOW w AS (PARTITION BY curve_id ORDER BY x))
+SELECT curve_id, count(*) AS n, round(sum(coalesce((y + py) / 2 * (x - px), 0)), 4) AS area, round(sum(coalesce((y + py) / 2 * (x - px), 0)) FILTER (WHERE x < 100), 4) AS early, CAST(count_if(CASE WHEN px IS NULL THEN (ny - y) / (nx - x) WHEN nx IS NULL THEN (y - py) / (x - px)
+  ELSE ((x - px) * (x - px) * ny + ((nx - x) * (nx - x) - (x - px) * (x - px)) * y - (nx - x) * (nx - x) * py) / ((x - px) * (nx - x) * (nx - px)) END > 0) AS BIGINT) AS rising FROM s GROUP BY curve_id""")
+def long_energy(spark, sf_dir):
+    """The whole integral, that up to 100, and how many points rise, of curves as rows in ranges."""
+    p = long_curves.placed(points(spark, sf_dir))
+    run = long_curves.running_area(p).groupBy("curve_id").agg(F.round(F.max_by("area", F.when(F.col("x") < 100, F.col("x"))), 4).alias("early"))
+    rising = long_curves.gradient(p).groupBy("curve_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("rising"))
+    return long_curves.area(p).select("curve_id", F.round("area", 4).alias("area")).join(run, "curve_id").join(rising, "curve_id")
+
+
 # --- features ---------------------------------------------------------------
 
 FEATURES = ("peak_stress", "failure_strain", "initial_modulus", "secant_modulus_50", "energy_to_peak", "energy_to_peak_kj_m3", "confidence")
