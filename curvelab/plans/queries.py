@@ -838,6 +838,16 @@ def csv_files(spark, sf_dir):
     return back.select(F.get(part, F.lit(0)).cast("long").alias("curve_id"), F.get(part, F.lit(1)).cast("long").alias("strain"), T.fixed(F.col(sinks.STRESS).cast("double"), 2).alias("stress"))
 
 
+@query(f"""WITH {O.PTS} SELECT curve_id || '.csv' AS name, count(*) AS rows, md5('Strain (%);Stress (kN/m²)' || chr(13) || chr(10) || string_agg(printf('%.2f', x) || ';' || printf('%.2f', y) || chr(13) || chr(10), '' ORDER BY idx)) AS digest FROM pts GROUP BY curve_id""")
+def job_files(spark, sf_dir):
+    """A CSV file for every curve, read back: its name, its rows, and a digest of its bytes."""
+    path = sinks.fresh(spark, "job-files")
+    sinks.write_csv_files(points(spark, sf_dir).select("curve_id", "idx", F.col("x").alias("strain"), F.col("y").alias("stress")), path, "curve_id", decimals=2, separator=";")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    text = F.col("content").cast("string")
+    return files.select(F.substring_index("path", "/", -1).alias("name"), (F.size(F.split(text, "\n")) - 2).cast("long").alias("rows"), F.md5("content").alias("digest"))
+
+
 @query(f"WITH {O.PTS} SELECT CAST(curve_id AS VARCHAR) AS curve_id, count(*) AS n, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(sum(y), 4) AS y_sum FROM pts GROUP BY curve_id")
 def json_points(spark, sf_dir):
     """Point lists written as JSON lines, read back by the source for them."""

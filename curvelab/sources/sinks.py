@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from curvelab.functions.text import fixed
 
@@ -32,6 +35,86 @@ def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int
     out.write.mode(mode).option("header", True).option("sep", separator).option("lineSep", "\r\n").option("emptyValue", blank).csv(path)
 
 
+class _FilesWriter(DataSourceArrowWriter):
+    """Writes runs of rows (name, line) to a file a name. A task that runs again writes the same files again, so nothing is there twice or in part."""
+
+    def __init__(self, path: str, header: str, end: str):
+        self.path, self.header, self.end = path, header, end
+
+    def write(self, batches):
+        fs, folder = FileSystem.from_uri(self.path)
+        attempt, names, out, n = uuid.uuid4().hex, [], None, 0
+
+        def close() -> None:
+            nonlocal n
+            if out is not None:
+                n += out.tell()
+                out.close()
+                fs.move(f"{folder}/_writing/{attempt}-{len(names)}", f"{folder}/{names[-1]}")  # a file is there whole or not at all
+
+        fs.create_dir(f"{folder}/_writing")
+        for b in batches:
+            for name, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not names or names[-1] != name:
+                    close()
+                    names.append(name)
+                    out = fs.open_output_stream(f"{folder}/_writing/{attempt}-{len(names)}")
+                    out.write((self.header + self.end).encode())
+                out.write((line + self.end).encode())
+        close()
+        if names:  # what a task has written, as a list beside the files
+            fs.create_dir(f"{folder}/_lists")
+            with fs.open_output_stream(f"{folder}/_lists/{names[0]}") as listed:
+                listed.write("\n".join(names).encode())
+        return _Written(len(names), n)
+
+    def commit(self, messages):
+        fs, folder = FileSystem.from_uri(self.path)
+        fs.create_dir(folder)
+        done = [m for m in messages if m is not None]
+        with fs.open_output_stream(f"{folder}/_SUCCESS") as out:
+            out.write(f"{sum(m.files for m in done)} files, {sum(m.size for m in done)} bytes\n".encode())
+
+    def abort(self, messages):
+        fs, folder = FileSystem.from_uri(self.path)
+        if fs.get_file_info(f"{folder}/_writing").type.name == "Directory":
+            fs.delete_dir(f"{folder}/_writing")
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: int
+    size: int
+
+
+class FilePerName(DataSource):
+    """A data source that writes rows (name, line) to a file a name; rows of a name must be successive, and in one partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_per_name"
+
+    def schema(self) -> str:
+        return "name string, line string"
+
+    def writer(self, schema, overwrite: bool):
+        return _FilesWriter(self.options["path"], self.options.get("header", ""), self.options.get("end", "\r\n"))
+
+
+def write_csv_files(points: DataFrame, path: str, key: str, pixels: bool = False, decimals: int = 4, separator: str = ",", smoothed: bool = False, order: str = "idx") -> None:
+    """A CSV file for every value of ``key``, named after it (``<key>.csv``, other letters than plain ones percent-coded), its rows in order; files of keys that are written again are replaced.
+
+    A key's rows are sorted together and streamed to its file, so a long one needs no memory; a path that the tasks' file system library knows.
+    """
+    shown = csv_rows(points.withColumns({"_key": F.col(key), "_order": F.col(order)}), pixels, decimals, ["_key", "_order"], smoothed)
+    cells = [c for c in shown.columns if c not in ("_key", "_order")]
+    name = F.concat(F.replace(F.url_encode(F.col("_key").cast("string")), F.lit("+"), F.lit("%20")), F.lit(".csv"))
+    lines = shown.where("_key is not null").select(name.alias("name"), "_order", F.concat_ws(separator, *[F.col(f"`{c}`") for c in cells]).alias("line"))
+    points.sparkSession.dataSource.register(FilePerName)
+    dealt = lines.repartition("name").sortWithinPartitions("name", "_order").select("name", "line")
+    dealt.write.format("file_per_name").mode("append").option("path", path).option("header", separator.join(cells)).save()
+
+
 def completed(jobs: DataFrame) -> DataFrame:
     """The jobs that may be exported."""
     return jobs.where(F.col("status") == "completed")

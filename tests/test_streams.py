@@ -112,3 +112,21 @@ def test_a_robust_line_of_ten_thousand_points(spark):
     assert time.time() - began < 60
     assert abs(got[1].slope - 2) < 0.001 and abs(got[1].intercept - 7) < 1 and got[1].inliers > 6_900
     assert got[2].inliers == 9_002 and got[2].slope == pytest.approx(2)  # a point that is repeated thousands of times hides no other
+
+
+def test_a_file_for_every_key(spark, tmp_path):
+    from curvelab.sources import sinks
+
+    path = f"file://{tmp_path}/out"
+    rows = [("a/b ü", k, k / 3, float(k)) for k in range(3)] + [("long", k, float(k), 1.0) for k in range(30_000)] + [(None, 0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "job string, idx int, strain double, stress double").repartition(5)
+    for _ in range(2):  # once more replaces the files
+        sinks.write_csv_files(points, path, "job", decimals=2)
+    names = sorted(f.name for f in (tmp_path / "out").iterdir() if f.name.endswith(".csv"))
+    assert names == ["a%2Fb%20%C3%BC.csv", "long.csv"]
+    assert (tmp_path / "out" / names[0]).read_bytes().decode() == "Strain (%),Stress (kN/m²)\r\n0.00,0.00\r\n0.33,1.00\r\n0.67,2.00\r\n"
+    long = (tmp_path / "out" / "long.csv").read_bytes().decode().split("\r\n")
+    assert len(long) == 30_002 and long[1] == "0.00,1.00" and long[30_000] == "29999.00,1.00"
+    assert (tmp_path / "out" / "_SUCCESS").read_text().startswith("2 files") and not list((tmp_path / "out" / "_writing").iterdir())
+    sinks.write_csv_files(points.limit(0), f"{path}-none", "job")
+    assert (tmp_path / "out-none" / "_SUCCESS").read_text() == "0 files, 0 bytes\n"
