@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf, udtf
 
 from curvelab.functions.arrays import savgol_matrix
+from curvelab.functions.lines import robust_inliers
 
 
 def _prominent(y: np.ndarray) -> list[tuple[float, float, int]]:
@@ -52,7 +55,7 @@ def critical(xs: list[float], ys: list[float], n: int = 200, window: int = 11) -
     return [(name, float(grid[k]), float(s[k])) for name, k in places]
 
 
-@udtf(returnType="point string, strain double, stress double")
+@udtf(returnType="point string, strain double, stress double", useArrow=True)
 class CriticalPoints:
     """The critical points of two arrays, as rows."""
 
@@ -60,8 +63,43 @@ class CriticalPoints:
         yield from critical(xs or [], ys or [])
 
 
+LINE = T.ArrayType(T.DoubleType())
+
+
+def _line(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list:
+    """[points, slope, intercept] of the weighted least-squares line; null without two different x."""
+    total = c.sum()
+    if not len(a) or total <= 0:
+        return [float(len(a)), None, None]
+    mx, my = (c * a).sum() / total, (c * b).sum() / total
+    sxx = (c * (a - mx) ** 2).sum()
+    if sxx <= 0:
+        return [float(len(a)), None, None]
+    slope = float((c * (a - mx) * (b - my)).sum() / sxx)
+    return [float(len(a)), slope, float(my - slope * mx)]
+
+
+@pandas_udf(LINE)
+def _fit_weighted(x: pd.Series, y: pd.Series, w: pd.Series) -> list:
+    fine = (x.notna() & y.notna() & w.notna()).to_numpy()
+    return _line(*(v.to_numpy(float)[fine] for v in (x, y, w)))
+
+
+@pandas_udf(LINE)
+def _fit_robust(x: pd.Series, y: pd.Series, residual: pd.Series) -> list:
+    fine = (x.notna() & y.notna()).to_numpy()
+    a, b = x.to_numpy(float)[fine], y.to_numpy(float)[fine]
+    if not len(a):
+        return _line(a, b, a)
+    near = robust_inliers(a, b, float(residual.iloc[0]))
+    return _line(a[near], b[near], np.ones(int(near.sum())))
+
+
 def register(spark: SparkSession) -> None:
-    """clean_number(text) and grade(score) as SQL functions, critical_points(xs, ys) as a table function."""
+    """clean_number(text) and grade(score) as SQL functions; fit_weighted(x, y, w) and fit_robust(x, y, residual) as aggregates that give
+    an array of the number of points that count, slope and intercept; critical_points(xs, ys) as a table function. A group of the aggregates must fit a task; ``scale.fit_robust`` has no such bound."""
+    spark.udf.register("fit_weighted", _fit_weighted)
+    spark.udf.register("fit_robust", _fit_robust)
     spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION grade(s DOUBLE) RETURNS STRING
       RETURN CASE WHEN s IS NULL OR isnan(s) THEN NULL WHEN s >= 0.9 THEN 'A' WHEN s >= 0.8 THEN 'B' WHEN s >= 0.7 THEN 'C' WHEN s >= 0.6 THEN 'D' ELSE 'F' END""")
     spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION clean_number(t STRING) RETURNS STRING

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curvelab.functions import arrays as A
+from curvelab.functions.lines import SAMPLE, SEED, pairs, sums_near
 from curvelab.functions.text import parse_number
 
 MIN_CONFIDENCE, RESIDUAL, MIN_TICKS, MIN_R2 = 0.5, 5.0, 2, 0.9
@@ -117,8 +118,8 @@ def robust_line(points: Column, residual: float = RESIDUAL) -> Column:
     return A.let(F.array_sort(points), body)
 
 
-#: Points of a group whose pairs make the lines that are tried, and of all groups that a task counts together at most.
-SAMPLE, DEALT, SEED = 64, 50_000, "robust-1"
+#: Points that a task counts together.
+DEALT = 50_000
 
 
 def _same(keys: list[str], a: str, b: str) -> Column:
@@ -163,17 +164,11 @@ def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual
             return pa.table({f: [] for f in [*keys, "i", "j", "ox", "oy", "n", "sx", "sy", "sxx", "sxy", "syy"]}, schema=pa.schema([left.schema.field(k) for k in keys] + [("i", pa.int32()), ("j", pa.int32()), ("ox", pa.float64()), ("oy", pa.float64()), ("n", pa.int64())] + [(c, pa.float64()) for c in ("sx", "sy", "sxx", "sxy", "syy")]))
         chosen, first = right.column("p")[0].as_py(), right.column("o")[0].as_py()
         px, py = np.array([c["x"] for c in chosen]), np.array([c["y"] for c in chosen])
-        i, j = np.triu_indices(len(chosen), 1)
-        i, j = i[px[i] != px[j]], j[px[i] != px[j]]
-        slope = (py[j] - py[i]) / (px[j] - px[i])
-        cut = py[i] - slope * px[i]
+        i, j, slope, cut = pairs(px, py)
         x, y, m = (left.column(c).to_numpy() for c in ("x", "y", "m"))
         dx, dy = x - first["x"], y - first["y"]
         terms = np.stack([m, m * dx, m * dy, m * dx * dx, m * dx * dy, m * dy * dy], axis=1)
-        sums, step = np.zeros((len(i), 6)), max(1, 2_000_000 // max(len(x), 1))
-        for s in range(0, len(i), step):
-            near = np.abs(y[None, :] - (slope[s : s + step, None] * x[None, :] + cut[s : s + step, None])) <= residual
-            sums[s : s + step] = near @ terms
+        sums = np.concatenate([np.zeros((0, 6)), *sums_near(slope, cut, x, y, terms, residual)])
         hit = sums[:, 0] > 0
         key = [pa.array([left.column(k)[0].as_py()] * int(hit.sum()), left.schema.field(k).type) for k in keys]
         n = int(hit.sum())

@@ -881,6 +881,18 @@ def sql_functions(spark, sf_dir):
     return document_tokens(spark, sf_dir).select("tok").distinct().selectExpr("tok", "clean_number(tok) AS cleaned", "grade(length(tok) / 20.0D) AS grade")
 
 
+@query(f"""WITH {ROBUST} SELECT nation, 'robust' AS kind, CAST(inliers AS BIGINT) AS n, round(slope, 4) AS slope, round(intercept, 4) AS intercept FROM best WHERE rn = 1 UNION ALL
+SELECT nation, 'weighted', count(*), round((sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)), 4), round((sum(w * y) - (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) * sum(w * x)) / sum(w), 4)
+FROM (SELECT *, 1 + CAST(x AS BIGINT) % 3 AS w FROM t) GROUP BY nation HAVING count(DISTINCT x) > 1""")
+def sql_lines(spark, sf_dir):
+    """The aggregates registered for SQL, over the tick sets of nations."""
+    register.register(spark)
+    supplier_ticks(spark, sf_dir).createOrReplaceTempView("registered_ticks")
+    return spark.sql("""SELECT nation, kind, CAST(f[0] AS BIGINT) AS n, round(f[1], 4) AS slope, round(f[2], 4) AS intercept FROM (
+      SELECT nation, 'robust' AS kind, fit_robust(x, y, 5.0D) AS f FROM registered_ticks GROUP BY nation
+      UNION ALL SELECT nation, 'weighted', fit_weighted(x, y, 1.0D + CAST(x AS BIGINT) % 3) FROM registered_ticks GROUP BY nation) WHERE f[1] IS NOT NULL""")
+
+
 @query(ORACLE_SQL["critical_points"])
 def sql_critical_points(spark, sf_dir):
     """The table function registered for SQL, over the curves."""
