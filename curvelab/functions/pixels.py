@@ -7,6 +7,9 @@ in ``parts``, other grids and painting over in ``resampling``.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
 from curvelab.functions.parts import area as enclosed
@@ -425,3 +428,12 @@ def drawn(ys: np.ndarray, height: int, width: int, left: int, thick: int = 3) ->
 def edge_mask(image: np.ndarray) -> np.ndarray:
     """Edges made two pixels wide, for tracing without a threshold."""
     return dilate(edges(gray(image)), 2, 2)
+
+
+def png(image: np.ndarray) -> bytes:
+    """An image as a PNG file."""
+    a = image[..., ::-1] if image.ndim == 3 else image
+    h, w = a.shape[:2]
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), a.reshape(h, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if a.ndim == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")

@@ -16,7 +16,10 @@ Image = np.ndarray
 
 
 def _array(row) -> Image:
-    shape = (row.height, row.width) if row.channels == 1 else (row.height, row.width, row.channels)
+    if row.data is None:
+        raise ValueError("the image is not decoded")
+    h, w, channels = int(row.height), int(row.width), int(row.channels)  # beside rows without a size they come as floats
+    shape = (h, w) if channels == 1 else (h, w, channels)
     a = np.frombuffer(row.data, np.uint8).reshape(shape)
     return a[..., :3] if a.ndim == 3 else a
 
@@ -139,6 +142,11 @@ def outlines(df: DataFrame, outside: bool = True) -> DataFrame:
     return _each(df, make, "part int, idx int, px int, py int, area double, arc double").where("error is null").drop("error")
 
 
+def png(df: DataFrame) -> DataFrame:
+    """(image_id, content, error): images as PNG files."""
+    return _each(df, lambda a: [(P.png(a),)], "content binary")
+
+
 def sheet_corners(df: DataFrame) -> DataFrame:
     """(image_id, corner, x, y): the four vertices of the sheet or frame in each image, clockwise from the top left; none where there is no such outline."""
     return _each(df, lambda a: [(k, float(x), float(y)) for k, (x, y) in enumerate(q)] if (q := P.quad(a)) is not None else [], "corner int, x double, y double").where("error is null").drop("error")

@@ -918,29 +918,54 @@ def synthetic_curves(spark, sf_dir):
     return readers.synthetic_points(p, noise=0.0).select("curve_id", "idx", *r6("x", "y"))
 
 
+@query("""WITH f AS (SELECT s_suppkey AS k, CAST(4 + s_suppkey % 5 AS INTEGER) AS h, CAST(6 + s_suppkey % 3 AS INTEGER) AS w, s_suppkey % 10 = 3 AS broken, s_suppkey % 10 = 7 AS other FROM supplier)
+SELECT k || CASE WHEN other THEN '.txt' ELSE '.png' END AS name, CASE WHEN broken OR other THEN 'failed' ELSE 'completed' END AS status, CASE WHEN NOT broken AND NOT other THEN h END AS height, CASE WHEN NOT broken AND NOT other THEN w END AS width,
+  CASE WHEN NOT broken AND NOT other THEN round((SELECT avg((k * 7 + x) % 256) FROM range(w) r(x)), 6) END AS brightness, broken OR other AS has_error, NOT other AS accepted FROM f""")
+def image_files(spark, sf_dir):
+    """Image files written, and read back: some are broken, some of another type; what cannot be decoded is a row with its reason."""
+    k = F.col("s_suppkey")
+    h, w = (4 + k % 5).cast("int"), (6 + k % 3).cast("int")
+    value = lambda i: F.lpad(F.hex((k * 7 + F.floor(i / 3) % w) % 256), 2, "0")
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), h * w * 3 - 1), value), ""))
+    drawn = table(spark, sf_dir, "supplier").select(k.alias("image_id"), h.alias("height"), w.alias("width"), F.lit(3).alias("channels"), pixels.alias("data"))
+    name = F.concat(F.col("image_id").cast("string"), F.when(F.col("image_id") % 10 == 7, ".txt").otherwise(".png"))
+    path = sinks.fresh(spark, "image-files")
+    sinks.write_binary(images.png(drawn).select(name.alias("name"), F.when(F.col("image_id") % 10 == 3, F.lit(b"no image")).otherwise(F.col("content")).alias("content")), path)
+    seen = readers.images(spark, path)
+    levels = images.gray_pixels(seen.where("status = 'completed'")).groupBy(F.col("image_id").alias("i")).agg(F.round(F.avg("v"), 6).alias("brightness"))
+    errors = images.quality(seen).select(F.col("image_id").alias("e"), F.col("error").isNotNull().alias("has_error"))
+    short = lambda c: F.substring_index(c, "/", -1)
+    taken = readers.uploads(spark, path).where("length > 0").select(short(F.col("path")).alias("u"))
+    out = seen.join(levels, F.col("image_id") == F.col("i"), "left").join(errors, F.col("image_id") == F.col("e")).withColumn("name", short(F.col("image_id")))
+    return out.join(taken, F.col("name") == F.col("u"), "left").select("name", "status", "height", "width", "brightness", "has_error", F.col("u").isNotNull().alias("accepted"))
+
+
 # --- the main query -------------------------------------------------------------
 
 CHART_H, CHART_W, TICK = 200, 260, 30
 
 
-@query(f"""WITH c AS (SELECT vec_id AS image_id, vec_id % 6 AS a, vec_id % 5 AS b, 2 + vec_id % 4 AS n FROM embeddings)
-SELECT image_id, 'completed' AS status, 'contour_tracing' AS method, CASE WHEN n > 1 THEN 'calibrated' ELSE 'pixel' END AS units, CAST(n AS INTEGER) AS x_count, 3 AS y_count, round((1 + a) / 10.0 / {TICK}, 6) AS x_scale, round(100.0 * (1 + b) / {TICK}, 6) AS y_scale,
-  round((n - 1) * (1 + a) / 10.0, 6) AS x_max, 'Strain' AS x_label, CASE WHEN a < 3 THEN '%' ELSE 'mm' END AS x_unit, 'kN/m²' AS y_unit, true AS peak_found, true AS many_points FROM c""")
+@query(f"""WITH c AS (SELECT vec_id AS image_id, vec_id % 6 AS a, vec_id % 5 AS b, 2 + vec_id % 4 AS n, vec_id % 11 = 5 AS broken, vec_id % 7 = 3 AS blank FROM embeddings)
+SELECT image_id, CASE WHEN broken THEN 'failed' ELSE 'completed' END AS status, CASE WHEN broken THEN NULL WHEN blank THEN 'unet_primary' ELSE 'contour_tracing' END AS method, CASE WHEN NOT broken THEN 'calibrated' END AS units,
+  CASE WHEN NOT broken THEN CAST(n AS INTEGER) END AS x_count, CASE WHEN NOT broken THEN 3 END AS y_count, CASE WHEN NOT broken THEN round((1 + a) / 10.0 / {TICK}, 6) END AS x_scale, CASE WHEN NOT broken THEN round(100.0 * (1 + b) / {TICK}, 6) END AS y_scale,
+  CASE WHEN NOT broken THEN round((n - 1) * (1 + a) / 10.0, 6) END AS x_max, CASE WHEN NOT broken THEN 'Strain' END AS x_label, CASE WHEN broken THEN NULL WHEN a < 3 THEN '%' ELSE 'mm' END AS x_unit, CASE WHEN NOT broken THEN 'kN/m²' END AS y_unit,
+  CASE WHEN NOT broken AND NOT blank THEN CAST(95 - 10 * b AS DOUBLE) END AS top_row, CASE WHEN NOT broken AND NOT blank THEN true END AS peak_found, CASE WHEN NOT broken THEN CASE WHEN blank THEN 0 ELSE 200 END END AS points, broken AS has_error FROM c""")
 def extract_charts(spark, sf_dir):
-    """Charts drawn, and read back to records: one curve each, with two to five ticks below and three at the left."""
+    """Charts drawn, and read back to records: one curve each, with two to five ticks below and three at the left; some are blank and go to the network, some cannot be decoded."""
     i = F.col("vec_id")
     left, bottom = int(CHART_W * scale.MARGIN), CHART_H - int(CHART_H * scale.MARGIN)
-    e = table(spark, sf_dir, "embeddings").select(i.alias("image_id"), (i % 6).cast("int").alias("a"), (i % 5).cast("int").alias("b"), (2 + i % 4).cast("int").alias("n")).repartition(spark.sparkContext.defaultParallelism)
-    ys = F.transform(F.sequence(F.lit(0), F.lit(CHART_W - left - 21)), lambda x: bottom - 15 - F.round((60 + 10 * F.col("b")) * (1 - F.pow((x / (CHART_W - left - 21) - 0.5 - F.col("a") * 0.05) / 0.75, F.lit(2.0)))).cast("int"))
-    drawn = images.drawn(e.select("image_id", ys.alias("ys")), CHART_H, CHART_W, left)
+    e = table(spark, sf_dir, "embeddings").select(i.alias("image_id"), (i % 6).cast("int").alias("a"), (i % 5).cast("int").alias("b"), (2 + i % 4).cast("int").alias("n"), (i % 11 == 5).alias("broken"), (i % 7 == 3).alias("blank")).repartition(spark.sparkContext.defaultParallelism)
+    ys = F.transform(F.sequence(F.lit(0), F.lit(CHART_W - left - 21)), lambda x: bottom - 15 - F.round((60 + 10 * F.col("b")) * (1 - F.pow((x / (CHART_W - left - 21) - 0.5 - F.col("a") * 0.05) / 0.75, F.lit(2.0)))).cast("int") + F.when(F.col("blank"), 10_000).otherwise(0))
+    drawn = images.drawn(e.select("image_id", ys.alias("ys")), CHART_H, CHART_W, left).withColumn("data", F.when(F.col("image_id") % 11 == 5, F.substring("data", 1, 100)).otherwise(F.col("data")))
     token = lambda axis, text, at: F.struct(F.lit(axis).alias("axis"), text.alias("text"), F.lit(90.0).alias("conf"), (at if axis == "x" else F.lit(0)).cast("int").alias("left"), (at if axis == "y" else F.lit(0)).cast("int").alias("top"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(1.0).alias("scale"), F.lit(0).alias("offset_x"), F.lit(0).alias("offset_y"))
     xs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: token("x", F.format_string("%.1f", k * (1 + F.col("a")) / 10.0), left + TICK * k))
     yt = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: token("y", (100 * k * (1 + F.col("b"))).cast("string"), bottom - TICK * k))
     labels = F.struct(F.when(F.col("a") < 3, "Strain (%)").otherwise("Strain [mm]").alias("x_text"), F.lit("Stress").alias("y_text"))
-    r = extraction.extract(drawn, method="contour", rectify=False, tokens=e.select("image_id", F.concat(xs, yt).alias("tokens"), labels.alias("labels")))
-    r = r.join(e.select(F.col("image_id").cast("string").alias("k"), "b"), F.col("image_id") == F.col("k"))
-    top = (15 + 60 + 10 * F.col("b")) * F.col("scale.y_scale")
-    return r.select(F.col("image_id").cast("long").alias("image_id"), "status", F.col("extraction_method").alias("method"), "units", F.col("x_axis.tick_count").alias("x_count"), F.col("y_axis.tick_count").alias("y_count"), F.round("scale.x_scale", 6).alias("x_scale"), F.round("scale.y_scale", 6).alias("y_scale"), F.round("x_axis.max_value", 6).alias("x_max"), F.col("x_axis.label").alias("x_label"), F.col("x_axis.unit").alias("x_unit"), F.col("y_axis.unit").alias("y_unit"), (F.abs(F.col("features.peak_stress") / top - 1) < 0.07).alias("peak_found"), (F.size("data_points") > 150).alias("many_points"))
+    r = extraction.extract(drawn, rectify=False, tokens=e.select("image_id", F.concat(xs, yt).alias("tokens"), labels.alias("labels")))
+    at = lambda c: F.round(c, 6)
+    rows = F.transform("data_points", lambda p: p["pixel_y"])
+    return r.select(F.col("image_id").cast("long").alias("image_id"), "status", F.col("extraction_method").alias("method"), "units", F.col("x_axis.tick_count").alias("x_count"), F.col("y_axis.tick_count").alias("y_count"), at("scale.x_scale").alias("x_scale"), at("scale.y_scale").alias("y_scale"), at("x_axis.max_value").alias("x_max"), F.col("x_axis.label").alias("x_label"), F.col("x_axis.unit").alias("x_unit"), F.col("y_axis.unit").alias("y_unit"),
+                    (F.round((F.array_min(rows) + 5) / 10) * 10 - 5).alias("top_row"), (F.abs(F.col("features.peak_stress") / ((15 + 60 + 10 * (F.col("image_id").cast("long") % 5)) * F.col("scale.y_scale")) - 1) < 0.07).alias("peak_found"), (F.round(F.size("data_points") / 50) * 50).cast("int").alias("points"), F.col("error").isNotNull().alias("has_error"))
 
 
 # --- streaming ----------------------------------------------------------------

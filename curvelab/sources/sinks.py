@@ -35,6 +35,21 @@ def write_csv(points: DataFrame, path: str, pixels: bool = False, decimals: int
     out.write.mode(mode).option("header", True).option("sep", separator).option("lineSep", "\r\n").option("emptyValue", blank).csv(path)
 
 
+def write_binary(files: DataFrame, path: str) -> None:
+    """A file for every row (name, content), whatever is in it; a task that runs again writes the same files again."""
+
+    def run(batches):
+        fs, folder = FileSystem.from_uri(path)
+        fs.create_dir(folder)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content or b"")
+            yield b.select(["name"])
+
+    files.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 class _FilesWriter(DataSourceArrowWriter):
     """Writes runs of rows (name, line) to a file a name. A task that runs again writes the same files again, so nothing is there twice or in part."""
 
