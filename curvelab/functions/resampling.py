@@ -37,10 +37,15 @@ def _bytes(a: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(a), 0, 255).astype(np.uint8)
 
 
+def rescaled(values: np.ndarray, height: int, width: int, kind: str = "cubic") -> np.ndarray:
+    """Values on a grid of another size. kind: cubic, linear, or area (each new one is the mean of what it covers)."""
+    down, across = _matrix(values.shape[0], height, kind), _matrix(values.shape[1], width, kind)
+    return np.einsum("ih,hw...,jw->ij...", down, values.astype(np.float64), across, optimize=True)
+
+
 def resized(image: np.ndarray, height: int, width: int, kind: str = "cubic") -> np.ndarray:
-    """kind: cubic, linear, or area (each new pixel is the mean of what it covers)."""
-    down, across = _matrix(image.shape[0], height, kind), _matrix(image.shape[1], width, kind)
-    return _bytes(np.einsum("ih,hw...,jw->ij...", down, image.astype(np.float64), across, optimize=True))
+    """An image of another size, of whole brightnesses."""
+    return _bytes(rescaled(image, height, width, kind))
 
 
 def sampled(image: np.ndarray, x: np.ndarray, y: np.ndarray, kind: str = "linear", border: int | None = None) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from curvelab.functions import parts
 from curvelab.functions import pixels as P
+from curvelab.functions.resampling import rescaled
 
 Image = np.ndarray
 
@@ -194,13 +195,16 @@ def read_text(df: DataFrame, ocr_fn: Callable[[Image], list[tuple]] | None = Non
     return _each(df, lambda a: ocr_fn(P.for_reading(a)) if ocr_fn else [], "text string, conf double, left int, top int, width int, height int")
 
 
-def segment(df: DataFrame, segment_fn: Callable[[Image], Image] | None = None, threshold: float = 0.5) -> DataFrame:
-    """(image_id, idx, px, py, confidence) by a pluggable model that maps an image to probabilities; without one there are no points."""
+def segment(df: DataFrame, segment_fn: Callable[[Image], Image] | None = None, threshold: float = 0.5, size: int | None = None) -> DataFrame:
+    """(image_id, idx, px, py, confidence) by a pluggable model that maps an image to probabilities; without one there are no points.
+
+    With ``size`` the model sees means over a grid of size x size, and its probabilities are set back to the image's grid.
+    """
 
     def make(a: Image) -> list[tuple]:
         if segment_fn is None:
             return []
-        p = segment_fn(a)
+        p = segment_fn(a) if size is None else rescaled(segment_fn(P.resized(a, size, size, "area")), *a.shape[:2], "linear")
         points = P.traced(P.thinned(np.where(p > threshold, 255, 0).astype(np.uint8)))
         return [(i, x, y, float(p[y, x])) for i, (x, y) in enumerate(points)]
 

@@ -945,12 +945,7 @@ def image_files(spark, sf_dir):
 CHART_H, CHART_W, TICK = 200, 260, 30
 
 
-@query(f"""WITH c AS (SELECT vec_id AS image_id, vec_id % 6 AS a, vec_id % 5 AS b, 2 + vec_id % 4 AS n, vec_id % 11 = 5 AS broken, vec_id % 7 = 3 AS blank FROM embeddings)
-SELECT image_id, CASE WHEN broken THEN 'failed' ELSE 'completed' END AS status, CASE WHEN broken THEN NULL WHEN blank THEN 'unet_primary' ELSE 'contour_tracing' END AS method, CASE WHEN NOT broken THEN 'calibrated' END AS units,
-  CASE WHEN NOT broken THEN CAST(n AS INTEGER) END AS x_count, CASE WHEN NOT broken THEN 3 END AS y_count, CASE WHEN NOT broken THEN round((1 + a) / 10.0 / {TICK}, 6) END AS x_scale, CASE WHEN NOT broken THEN round(100.0 * (1 + b) / {TICK}, 6) END AS y_scale,
-  CASE WHEN NOT broken THEN round((n - 1) * (1 + a) / 10.0, 6) END AS x_max, CASE WHEN NOT broken THEN 'Strain' END AS x_label, CASE WHEN broken THEN NULL WHEN a < 3 THEN '%' ELSE 'mm' END AS x_unit, CASE WHEN NOT broken THEN 'kN/m²' END AS y_unit,
-  CASE WHEN NOT broken AND NOT blank THEN CAST(95 - 10 * b AS DOUBLE) END AS top_row, CASE WHEN NOT broken AND NOT blank THEN true END AS peak_found, CASE WHEN NOT broken THEN CASE WHEN blank THEN 0 ELSE 200 END END AS points, broken AS has_error FROM c""")
-def extract_charts(spark, sf_dir):
+def charts(spark, sf_dir) -> DataFrame:
     """Charts drawn, and read back to records: one curve each, with two to five ticks below and three at the left; some are blank and go to the network, some cannot be decoded."""
     i = F.col("vec_id")
     left, bottom = int(CHART_W * scale.MARGIN), CHART_H - int(CHART_H * scale.MARGIN)
@@ -961,13 +956,34 @@ def extract_charts(spark, sf_dir):
     xs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: token("x", F.format_string("%.1f", k * (1 + F.col("a")) / 10.0), left + TICK * k))
     yt = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: token("y", (100 * k * (1 + F.col("b"))).cast("string"), bottom - TICK * k))
     labels = F.struct(F.when(F.col("a") < 3, "Strain (%)").otherwise("Strain [mm]").alias("x_text"), F.lit("Stress").alias("y_text"))
-    r = extraction.extract(drawn, rectify=False, tokens=e.select("image_id", F.concat(xs, yt).alias("tokens"), labels.alias("labels")))
+    return extraction.extract(drawn, rectify=False, tokens=e.select("image_id", F.concat(xs, yt).alias("tokens"), labels.alias("labels")))
+
+
+@query(f"""WITH c AS (SELECT vec_id AS image_id, vec_id % 6 AS a, vec_id % 5 AS b, 2 + vec_id % 4 AS n, vec_id % 11 = 5 AS broken, vec_id % 7 = 3 AS blank FROM embeddings)
+SELECT image_id, CASE WHEN broken THEN 'failed' ELSE 'completed' END AS status, CASE WHEN broken THEN NULL WHEN blank THEN 'unet_primary' ELSE 'contour_tracing' END AS method, CASE WHEN NOT broken THEN 'calibrated' END AS units,
+  CASE WHEN NOT broken THEN CAST(n AS INTEGER) END AS x_count, CASE WHEN NOT broken THEN 3 END AS y_count, CASE WHEN NOT broken THEN round((1 + a) / 10.0 / {TICK}, 6) END AS x_scale, CASE WHEN NOT broken THEN round(100.0 * (1 + b) / {TICK}, 6) END AS y_scale,
+  CASE WHEN NOT broken THEN round((n - 1) * (1 + a) / 10.0, 6) END AS x_max, CASE WHEN NOT broken THEN 'Strain' END AS x_label, CASE WHEN broken THEN NULL WHEN a < 3 THEN '%' ELSE 'mm' END AS x_unit, CASE WHEN NOT broken THEN 'kN/m²' END AS y_unit,
+  CASE WHEN NOT broken AND NOT blank THEN CAST(95 - 10 * b AS DOUBLE) END AS top_row, CASE WHEN NOT broken AND NOT blank THEN true END AS peak_found, CASE WHEN NOT broken THEN CASE WHEN blank THEN 0 ELSE 200 END END AS points, broken AS has_error FROM c""")
+def extract_charts(spark, sf_dir):
+    """What the records of the charts say."""
+    r = charts(spark, sf_dir)
     at = lambda c: F.round(c, 6)
     rows = F.transform("data_points", lambda p: p["pixel_y"])
     return r.select(F.col("image_id").cast("long").alias("image_id"), "status", F.col("extraction_method").alias("method"), "units", F.col("x_axis.tick_count").alias("x_count"), F.col("y_axis.tick_count").alias("y_count"), at("scale.x_scale").alias("x_scale"), at("scale.y_scale").alias("y_scale"), at("x_axis.max_value").alias("x_max"), F.col("x_axis.label").alias("x_label"), F.col("x_axis.unit").alias("x_unit"), F.col("y_axis.unit").alias("y_unit"),
                     (F.round((F.array_min(rows) + 5) / 10) * 10 - 5).alias("top_row"), (F.abs(F.col("features.peak_stress") / ((15 + 60 + 10 * (F.col("image_id").cast("long") % 5)) * F.col("scale.y_scale")) - 1) < 0.07).alias("peak_found"), (F.round(F.size("data_points") / 50) * 50).cast("int").alias("points"), F.col("error").isNotNull().alias("has_error"))
 
 
+@query(f"""WITH c AS (SELECT vec_id AS image_id, vec_id % 6 AS a, vec_id % 5 AS b, 2 + vec_id % 4 AS n, vec_id % 11 = 5 AS broken, vec_id % 7 = 3 AS blank FROM embeddings)
+SELECT image_id, CASE WHEN broken THEN 'failed' ELSE 'completed' END AS status, CASE WHEN NOT broken THEN round((n - 1) * (1 + a) / 10.0, 6) END AS x_max, CASE WHEN NOT broken THEN 'Strain' END AS x_label, CASE WHEN NOT broken THEN CAST(200 * (1 + b) AS DOUBLE) END AS y_min,
+  NOT broken AND NOT blank AS has_features, NOT broken AS has_grade, CASE WHEN broken OR blank THEN 0 ELSE 3 END AS points_shown FROM c""")
+def chart_records(spark, sf_dir):
+    """The same records as JSON, with axes and confidence, read back."""
+    j = sinks.chart_json(charts(spark, sf_dir), 3)
+    of = lambda path: F.get_json_object("json", f"$.{path}")
+    return j.select(of("image_id").cast("long").alias("image_id"), of("status").alias("status"), F.round(of("x_axis.max_value").cast("double"), 6).alias("x_max"), of("x_axis.label").alias("x_label"), of("y_axis.min_value").cast("double").alias("y_min"),
+                    of("features.peak_stress").isNotNull().alias("has_features"), of("confidence.grade").isNotNull().alias("has_grade"), F.coalesce(F.json_array_length(of("data_points")), F.lit(0)).alias("points_shown"))
+
+
 # --- streaming ----------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.window import Window
 
 from curvelab.functions.text import fixed
 
@@ -136,11 +137,23 @@ def completed(jobs: DataFrame) -> DataFrame:
 
 
 def result_json(points: DataFrame, features: DataFrame, first: int = 10) -> DataFrame:
-    """(curve_id, json): the first points, how many there are, and the features of each curve."""
-    p = points.groupBy("curve_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.bround("strain", 4).alias("strain"), F.bround("stress", 2).alias("stress")))).alias("all"))
-    head = F.transform(F.slice("all", 1, first), lambda v: F.struct(v["strain"].alias("strain"), v["stress"].alias("stress")))
+    """(curve_id, json): the first points, how many there are, and the features of each curve. Only the points shown are put together."""
+    shown = F.struct("idx", F.bround("strain", 4).alias("strain"), F.bround("stress", 2).alias("stress"))
+    few = points.withColumn("_r", F.row_number().over(Window.partitionBy("curve_id").orderBy("idx"))).where(F.col("_r") <= first)
+    head = few.groupBy("curve_id").agg(F.sort_array(F.collect_list(shown)).alias("head"))
+    total = points.groupBy("curve_id").agg(F.count(F.lit(1)).cast("int").alias("total"))
     rest = [c for c in features.columns if c != "curve_id"]
-    return p.join(features, "curve_id").select("curve_id", F.to_json(F.struct(head.alias("data_points"), F.size("all").alias("total_points"), F.struct(*rest).alias("features"))).alias("json"))
+    bare = F.transform("head", lambda v: F.struct(v["strain"].alias("strain"), v["stress"].alias("stress")))
+    return head.join(total, "curve_id").join(features, "curve_id").select("curve_id", F.to_json(F.struct(bare.alias("data_points"), F.col("total").alias("total_points"), F.struct(*rest).alias("features"))).alias("json"))
+
+
+def chart_json(results: DataFrame, first: int | None = None) -> DataFrame:
+    """(image_id, json): the whole record of each chart that ``extraction.extract`` gives: points (the first ones only, if asked for) and their number, features,
+    critical points, axes, confidence, method, units, and the reason of a failure. Nulls are written as nulls."""
+    points = F.col("data_points") if first is None else F.slice("data_points", 1, first)
+    rest = [c for c in results.columns if c not in ("image_id", "data_points")]
+    record = F.struct("image_id", points.alias("data_points"), F.size(F.coalesce("data_points", F.array().cast(results.schema["data_points"].dataType))).alias("total_points"), *rest)
+    return results.select("image_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def shared_folder(spark: SparkSession) -> str:

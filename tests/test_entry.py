@@ -53,6 +53,6 @@ def compare(spark, duck, name):
     assert shown(got.select(*columns).collect()) == shown(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
-@pytest.mark.parametrize("name", ["mask_outlines", "curve_simplified", "sheet_corners", "grid_removed", "resized_images", "fit_robust_large", "synthetic_curves", "stream_jobs", "stream_job_timeouts", "extract_charts", "long_resample", "long_energy", "job_files", "sql_lines", "image_files"])
+@pytest.mark.parametrize("name", ["mask_outlines", "curve_simplified", "sheet_corners", "grid_removed", "resized_images", "fit_robust_large", "synthetic_curves", "stream_jobs", "stream_job_timeouts", "extract_charts", "long_resample", "long_energy", "job_files", "sql_lines", "image_files", "chart_records", "result_records"])
 def test_queries_of_outlines_grids_and_streams(spark, duck, name):
     compare(spark, duck, name)

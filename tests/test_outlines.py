@@ -222,3 +222,16 @@ def test_every_image_is_processed_once(spark, tmp_path):
     assert out.count() == 4 and len(out.collect()) == 4
     calls = [f.name.split("-")[0] for f in seen.iterdir()]
     assert {k: calls.count(k) for k in set(calls)} == dict.fromkeys(("x", "y", "x_label", "y_label"), 4)
+
+
+def test_a_model_on_a_grid_of_its_own(spark):
+    a = np.full((60, 80, 3), 255, np.uint8)
+    a[29:32] = 0
+
+    def model(small):
+        assert small.shape == (32, 32, 3)
+        return np.where(small[..., 0] < 200, 0.9, 0.1)
+
+    df = rows_of(spark, {"a": a})
+    got = images.segment(df, model, size=32).where("error is null").collect()
+    assert len(got) > 60 and all(abs(r.py - 30) <= 2 and 0.5 < r.confidence <= 0.9 for r in got)
