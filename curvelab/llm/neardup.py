@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelab.llm import passages, simhash
-from curvelab.llm.common import stored, unique_names
+from curvelab.llm.common import batches_of, maybe_in, stored, unique_names
 from curvelab.llm.components import components
 
 _BLANKS = "\t\n\x0b\x0c\r"
@@ -34,13 +34,30 @@ def _one_line(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), _BLANKS, " " * len(_BLANKS))
 
 
+#: Bytes of text that a task hashes at a time, and rows of an Arrow batch.
+PIECE, TEXTS = 1 << 18, 500
+
+
+def _pieces(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, list]]:
+    """Some texts of a batch at a time, with the number of the first."""
+    held, size, first = [], 0, 0
+    for i, t in enumerate(b.column(at)):
+        held.append(t.as_py() or b"")
+        size += len(held[-1])
+        if size >= PIECE:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
+
+
 def signatures(texts: DataFrame) -> DataFrame:
     """Of each text (row, doc_id, text): a digest, the hash of its words, its SimHash fingerprint, and, from five words on, its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SIGNATURES.split(", ")]
         for b in batches:
-            for first, held in passages._chunks(b, 2):
+            for first, held in _pieces(b, 2):
                 n, w = len(held), passages.Words(held)
                 h, keys, has = np.full(n, _BLANK, np.int64), np.zeros((n, passages.BANDS), np.int64), np.zeros(n, bool)
                 if w.n:
@@ -57,6 +74,25 @@ def signatures(texts: DataFrame) -> DataFrame:
     return texts.select("row", "doc_id", "text", F.md5("text").alias("tag")).mapInArrow(run, SIGNATURES)
 
 
+def shingles(texts: DataFrame) -> DataFrame:
+    """(h, w): the different shingles of each text (h, text) of five words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, held in _pieces(b, 1):
+                w = passages.Words(held)
+                if not w.n:
+                    continue
+                starts, sizes = w.lines()
+                starts, sizes = starts[sizes >= passages.SHINGLE], sizes[sizes >= passages.SHINGLE]
+                sets = [np.unique(w.shingle[s : s + n - passages.SHINGLE + 1]).view(np.int64) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                yield pa.record_batch([b.column(0).take(pa.array(first + w.doc[starts])), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["h", "w"])
+
+    return texts.select("h", "text").mapInArrow(run, "h long, w array<long>")
+
+
 def buckets(sig: DataFrame, lines: DataFrame, block: int) -> DataFrame:
     """(key, h, block): the different texts to be compared with each other, by band keys and by components of fingerprints."""
     fps = stored(sig.groupBy("fp", "h").agg(F.lit(1).alias("one")).select("fp", "h"), "neardup-fingerprints")
@@ -74,14 +110,17 @@ def links(docs: DataFrame, block: int = passages.BLOCK) -> tuple[DataFrame, Data
     sig = stored(signatures(texts), "neardup-signatures")
     lines = stored(passages.different_lines(sig), "neardup-texts")
     held = stored(buckets(sig, lines, block), "neardup-buckets")
-    asked = stored(passages._wanted(held, lines), "neardup-asked")
-    return sig, ids, passages.links(held, stored(passages.looked_up(texts, asked), "neardup-shingles"))
+    met = held.select(F.col("h").alias("met")).distinct()
+    asked = stored(lines.join(met, F.col("h") == F.col("met")).select(F.col("lo").alias("asked"), "h"), "neardup-asked")
+    of_asked = maybe_in(texts, "row", asked, "asked")[0].join(asked, F.col("row") == F.col("asked"))
+    return sig, ids, passages.links(held, stored(shingles(of_asked), "neardup-shingles"))
 
 
 def keep_one(docs: DataFrame, block: int = passages.BLOCK) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component of verified links one row of the smallest doc_id stays."""
-    sig, ids, edges = links(docs, block)
-    roots = components(edges, "neardup-components")
+    with batches_of(docs.sparkSession, TEXTS):
+        sig, ids, edges = links(docs, block)
+        roots = components(edges, "neardup-components")
     named = sig.join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "tag", F.coalesce("root", "h").alias("class"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("b")
     kept = stored(named.groupBy("class").agg(best).select(F.col("b.doc_id").alias("_kept_id"), F.col("b.tag").alias("_kept_tag")), "neardup-kept")
