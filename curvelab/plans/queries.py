@@ -831,7 +831,7 @@ def window_curves(spark, sf_dir):
 def csv_files(spark, sf_dir):
     """CSV files with another separator, read back."""
     p = points(spark, sf_dir).select("curve_id", "idx", F.col("x").alias("strain"), F.col("y").alias("stress"))
-    path = f"{sinks.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = sinks.fresh(spark, "csv")
     sinks.write_csv(p.select("idx", F.format_string("%d:%d", F.col("curve_id"), F.round(F.col("strain") * 1000).cast("long")).alias("id"), "strain", "stress"), path, decimals=10, separator=";", key=["id"])
     back = spark.read.option("header", True).option("sep", ";").csv(path)
     part = F.split("id", ":")
