@@ -851,7 +851,7 @@ def job_files(spark, sf_dir):
 @query(f"WITH {O.PTS} SELECT CAST(curve_id AS VARCHAR) AS curve_id, count(*) AS n, round(min(x), 6) AS x_min, round(max(x), 6) AS x_max, round(sum(y), 4) AS y_sum FROM pts GROUP BY curve_id")
 def json_points(spark, sf_dir):
     """Point lists written as JSON lines, read back by the source for them."""
-    path = f"{sinks.shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    path = sinks.fresh(spark, "points")
     lists = points(spark, sf_dir).groupBy(F.col("curve_id").cast("string").alias("curve_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("x").alias("strain"), F.col("y").alias("stress")))).alias("points"))
     lists.write.json(path)
     return readers.points_json(spark, path).groupBy("curve_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 6).alias("x_min"), F.round(F.max("x"), 6).alias("x_max"), F.round(F.sum("y"), 4).alias("y_sum"))

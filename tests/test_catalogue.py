@@ -16,3 +16,7 @@ def duck():
 
 def test_csv_files(spark, duck):
     compare(spark, duck, "csv_files")
+
+
+def test_json_points(spark, duck):
+    compare(spark, duck, "json_points")
