@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curvelab.functions import arrays as A
-from curvelab.functions.lines import SAMPLE, SEED, pairs, sums_near
+from curvelab.functions.lines import SAMPLE, SEED, best_line, pairs, sums_near
 from curvelab.functions.text import parse_number
 
 MIN_CONFIDENCE, RESIDUAL, MIN_TICKS, MIN_R2 = 0.5, 5.0, 2, 0.9
@@ -134,14 +136,16 @@ def _hash(*columns: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(SEED), *[c.cast("string") for c in columns]))
 
 
-def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual: float = RESIDUAL, sample: int = SAMPLE, dealt: int = DEALT) -> DataFrame:
+def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual: float = RESIDUAL, sample: int | None = SAMPLE, dealt: int = DEALT) -> DataFrame:
     """The robust line of each group's points; groups without two different x have none.
 
     The lines tried go through all pairs of ``sample`` different points, chosen by hash: of a group of no more points that is every pair, the
     exact search. All points of the group count for each line. They are dealt over tasks, equal ones as one with its number, and
     each task adds up what its points say for every line, so no task gets a whole group; the line with most inliers (then the best fit on them,
-    then the first pair in the order of x, y) is refitted to its inliers.
+    then the first pair in the order of x, y) is refitted to its inliers. Without a ``sample`` every pair of a group of any size is tried, by ``robust_of_all_pairs``.
     """
+    if sample is None:
+        return robust_of_all_pairs(t, by, x, y, residual)
     keys = [f"g{i}" for i in range(len(by))]
     x0, y0 = F.col(x).cast("double"), F.col(y).cast("double")
     points = t.where(x0.isNotNull() & y0.isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], x0.alias("x"), y0.alias("y"))
@@ -183,6 +187,43 @@ def fit_robust(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual
     return best.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "b.inliers", "b.slope", "b.intercept", "b.r2")
 
 
+#: Points times lines' first points that a task of ``robust_of_all_pairs`` is given at a time.
+LOOKED_UP = 5_000_000
+
+
+def robust_of_all_pairs(t: DataFrame, by: list[str], x: str = "x", y: str = "y", residual: float = RESIDUAL, looked_up: int = LOOKED_UP) -> DataFrame:
+    """The line of each group that ``fit_robust`` says, of those through all pairs of its points, however many it has.
+
+    The points that lines start from are dealt over tasks, so many that a task's work is bounded; each also gets the group's points, equal ones as one with its number
+    (24 bytes a point), for any of them may lie near a line. What a task does grows with a group's points and their logarithm for each point lines start from, in all with their square.
+    """
+    keys = [f"g{i}" for i in range(len(by))]
+    x0, y0 = F.col(x).cast("double"), F.col(y).cast("double")
+    points = t.where(x0.isNotNull() & y0.isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], x0.alias("x"), y0.alias("y"))
+    groups = points.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("m")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "y", "m"))).alias("p"))
+    step = F.greatest(F.floor(F.lit(looked_up) / F.size("p")), F.lit(1)).cast("int")
+    parts = groups.select(*keys, step.alias("step"), "p").select(*keys, "step", F.explode(F.sequence(F.lit(0), F.size("p") - 1, F.col("step"))).alias("start"), "p")
+    dealt = parts.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number: rows are few and their work is long
+    kinds = [f"{k} {t.schema[c].dataType.simpleString()}" for c, k in zip(by, keys, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                one = b.slice(r, 1)
+                p = one.column("p").flatten()
+                px, py, m = (p.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                start = one.column("start")[0].as_py()
+                best = best_line(px, py, m, residual, start, min(start + one.column("step")[0].as_py(), len(px)))
+                if best is not None:
+                    n, r2, i, j, slope, intercept = best[:6]
+                    made = [pa.array([v], k) for v, k in ((n, pa.int32()), (r2, pa.float64()), (-i, pa.int32()), (-j, pa.int32()), (slope, pa.float64()), (intercept, pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*[one.column(k) for k in keys], *made], [*keys, "inliers", "r2", "i", "j", "slope", "intercept"])
+
+    lines = dealt.mapInArrow(run, ", ".join([*kinds, "inliers int, r2 double, i int, j int, slope double, intercept double"]))
+    best = lines.groupBy(*keys).agg(F.max(F.struct("inliers", "r2", "i", "j", "slope", "intercept")).alias("b"))
+    return best.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "b.inliers", "b.slope", "b.intercept", "b.r2")
+
+
 def axis_line(ticks: Column, robust: bool = True) -> Column:
     """struct(slope, intercept, r2) of an axis' ticks (x place, y value, w confidence): robust from three on, weighted by confidence
     for two (or always, without ``robust``); null for fewer than two."""

@@ -355,7 +355,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY inliers DESC,
 
 @query(f"WITH {ROBUST} SELECT nation, inliers, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 4) AS r2 FROM best WHERE rn = 1")
 def fit_robust(spark, sf_dir):
-    return scale.fit_robust(supplier_ticks(spark, sf_dir), ["nation"]).select("nation", "inliers", *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2")])
+    """Through every pair of a nation's ticks."""
+    return scale.fit_robust(supplier_ticks(spark, sf_dir), ["nation"], sample=None).select("nation", "inliers", *[F.round(c, 4).alias(c) for c in ("slope", "intercept", "r2")])
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS g, CAST(o_custkey % 4000 AS DOUBLE) AS x, 0.5 * (o_custkey % 4000) + o_orderkey % 3 + CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 977 ELSE 0 END AS y FROM orders),

@@ -1,9 +1,18 @@
 """Catalogue queries against their SQL, on tables of other sizes and values too."""
 
+import random
+
 import duckdb
 import pytest
 
-from tests.test_entry import SF, compare
+from curvelab.plans import queries as catalogue
+from tests.test_entry import SF, shown
+
+
+def compare(spark, duck, name, folder=SF):
+    got, want = catalogue.QUERIES[name](spark, folder), duck.sql(catalogue.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert shown(got.select(*columns).collect()) == shown(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
 @pytest.fixture(scope="module")
@@ -20,3 +29,22 @@ def test_csv_files(spark, duck):
 
 def test_json_points(spark, duck):
     compare(spark, duck, "json_points")
+
+
+@pytest.fixture(scope="module")
+def ticks(tmp_path_factory):
+    """Nations of 200 ticks, where the line with most ticks is not through two of any 64."""
+    folder = str(tmp_path_factory.mktemp("ticks"))
+    pick = random.Random(5)
+    rows = [(k, f"S{k}", k % 6, round(pick.uniform(-1000, 10000), 2)) for k in range(1, 1201)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE s (s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?, ?)", rows)
+    con.sql(f"COPY s TO '{folder}/supplier.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{folder}/supplier.parquet'")
+    return folder, con
+
+
+def test_robust_lines_of_large_groups(spark, ticks):
+    folder, con = ticks
+    compare(spark, con, "fit_robust", folder)
