@@ -97,7 +97,7 @@ def _fit_robust(x: pd.Series, y: pd.Series, residual: pd.Series) -> list:
 
 def register(spark: SparkSession) -> None:
     """clean_number(text) and grade(score) as SQL functions; fit_weighted(x, y, w) and fit_robust(x, y, residual) as aggregates that give
-    an array of the number of points that count, slope and intercept; critical_points(xs, ys) as a table function. A group of the aggregates must fit a task; ``scale.fit_robust`` has no such bound."""
+    an array of the number of points that count, slope and intercept, fit_robust of all pairs of a group's points; critical_points(xs, ys) as a table function. A group of the aggregates must fit a task; ``scale.fit_weighted`` and ``scale.fit_robust`` have no such bound."""
     spark.udf.register("fit_weighted", _fit_weighted)
     spark.udf.register("fit_robust", _fit_robust)
     spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION grade(s DOUBLE) RETURNS STRING

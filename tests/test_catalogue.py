@@ -48,3 +48,8 @@ def ticks(tmp_path_factory):
 def test_robust_lines_of_large_groups(spark, ticks):
     folder, con = ticks
     compare(spark, con, "fit_robust", folder)
+
+
+def test_robust_lines_by_sql_of_large_groups(spark, ticks):
+    folder, con = ticks
+    compare(spark, con, "sql_lines", folder)
