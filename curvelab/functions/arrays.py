@@ -7,6 +7,8 @@ points are together. Indices are zero-based.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -125,12 +127,21 @@ def gradient(ys: Column, xs: Column) -> Column:
     return F.when(F.size(xs) >= 2, let(F.struct(xs.alias("x"), ys.alias("y")), body))
 
 
+@cache
 def savgol_matrix(window: int, order: int = 3) -> np.ndarray:
-    """Row h is the interior filter of half-width h; the other rows fit the ends."""
-    t = np.arange(window) - window // 2
-    a = np.vander(t.astype(float), order + 1, increasing=True)
-    h = a @ np.linalg.pinv(a)
-    return np.where(np.abs(h) < 1e-15, 0.0, h)
+    """Row h is the interior filter of half-width h; the other rows fit the ends.
+
+    In fractions, rounded once: where a curve is level, what is left of its derivative is the weights' own error, and decides its sign.
+    """
+    powers = [[Fraction(t - window // 2) ** d for t in range(window)] for d in range(order + 1)]
+    base: list[list[Fraction]] = []  # orthogonal columns of the same span
+    for v in powers:
+        for b in base:
+            c = sum(x * y for x, y in zip(v, b, strict=True)) / sum(y * y for y in b)
+            v = [x - c * y for x, y in zip(v, b, strict=True)]
+        base.append(v)
+    norms = [sum(y * y for y in b) for b in base]
+    return np.array([[float(sum(b[i] * b[j] / n for b, n in zip(base, norms, strict=True))) for j in range(window)] for i in range(window)])
 
 
 def smooth(ys: Column, window: int, order: int = 3) -> Column:

@@ -53,3 +53,11 @@ def test_robust_lines_of_large_groups(spark, ticks):
 def test_robust_lines_by_sql_of_large_groups(spark, ticks):
     folder, con = ticks
     compare(spark, con, "sql_lines", folder)
+
+
+def test_weights_of_smoothing_are_rounded_once():
+    from curvelab.functions.arrays import savgol_matrix
+    from curvelab.plans.oracle import _polynomial_weights
+
+    for window in (5, 11):
+        assert savgol_matrix(window).tolist() == _polynomial_weights(window)
