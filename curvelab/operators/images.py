@@ -69,13 +69,19 @@ def skeleton(df: DataFrame) -> DataFrame:
     return _each(df, lambda a: [(int(x), int(y)) for y, x in np.argwhere(P.thinned(a) > 0)], "px int, py int").where("error is null").drop("error")
 
 
+#: Images that are drawn before they go on.
+DRAWN = 16
+
+
 def drawn(curves: DataFrame, height: int, width: int, left: int, thick: int = 3) -> DataFrame:
     """(image_id, height, width, channels, data): images of curves (image_id, ys), whose y are pixel rows from the column ``left`` on, black on white."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, height, width, 1, P.drawn(np.asarray(ys), height, width, left, thick).tobytes()) for i, ys in zip(pdf["image_id"], pdf["ys"], strict=True)]
-            yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
+            for s in range(0, len(pdf), DRAWN):
+                part = pdf.iloc[s : s + DRAWN]
+                out = [(i, height, width, 1, P.drawn(np.asarray(ys), height, width, left, thick).tobytes()) for i, ys in zip(part["image_id"], part["ys"], strict=True)]
+                yield pd.DataFrame(out, columns=["image_id", "height", "width", "channels", "data"])
 
     kind = curves.schema["image_id"].dataType.simpleString()
     return curves.select("image_id", "ys").mapInPandas(run, f"image_id {kind}, height int, width int, channels int, data binary")

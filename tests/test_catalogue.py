@@ -61,3 +61,18 @@ def test_weights_of_smoothing_are_rounded_once():
 
     for window in (5, 11):
         assert savgol_matrix(window).tolist() == _polynomial_weights(window)
+
+
+def test_drawn_images_go_on_a_few_at_a_time():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from curvelab.operators import images
+
+    class Table:  # stands for a table, and gives what a task runs
+        schema = T.StructType([T.StructField("image_id", T.LongType())])
+        select = lambda self, *_: self
+        mapInPandas = lambda self, run, _: run
+
+    out = list(images.drawn(Table(), 20, 30, 2)([pd.DataFrame({"image_id": range(40), "ys": [[5] * 28] * 40})]))
+    assert [len(b) for b in out] == [16, 16, 8] and pd.concat(out)["image_id"].tolist() == list(range(40))
