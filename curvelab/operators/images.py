@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,33 +17,78 @@ from curvelab.functions.resampling import rescaled
 Image = np.ndarray
 
 
+def _shaped(height: int, width: int, channels: int, data) -> Image:
+    if data is None:
+        raise ValueError("the image is not decoded")
+    shape = (height, width) if channels == 1 else (height, width, channels)
+    a = np.frombuffer(data, np.uint8).reshape(shape)
+    return a[..., :3] if a.ndim == 3 else a
+
+
 def _array(row) -> Image:
     if row.data is None:
         raise ValueError("the image is not decoded")
-    h, w, channels = int(row.height), int(row.width), int(row.channels)  # beside rows without a size they come as floats
-    shape = (h, w) if channels == 1 else (h, w, channels)
-    a = np.frombuffer(row.data, np.uint8).reshape(shape)
-    return a[..., :3] if a.ndim == 3 else a
+    return _shaped(int(row.height), int(row.width), int(row.channels), row.data)  # beside rows without a size they come as floats
+
+
+def _images(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(height, width, channels, data) of each row of a batch; an image's bytes stay where they lie."""
+    data = b.column(4)
+    for i, size in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+        yield *size, data[i].as_buffer() if data[i].is_valid else None
+
+
+#: Arrow's types by their names in schemas.
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+#: Rows, and bytes of images, that are held before they go on.
+ROWS, BYTES = 4096, 1 << 20
+
+
+#: Bytes taken and given back once by a task, after which the C library keeps arrays up to that size for the next image instead of returning each to the system.
+ARENA = 1 << 24
+
+
+def made(b: pa.RecordBatch, make: Callable[[Image], list[tuple] | dict], fields: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """make's rows for the images of a batch. Rows of small images go on together, a few thousand or a megabyte and those of one image at most."""
+    binary = [k for k, t in enumerate(fields.values()) if t == _KINDS["binary"]]
+    held, at, errors, size = [[] for _ in fields], [], [], 0  # columns, the image of each row, reasons, bytes
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.chunked_array(c, t).combine_chunks() for c, t in zip(held, fields.values(), strict=True)]
+        return pa.record_batch([b.column(0).take(pa.array(at, pa.int64())), *columns, pa.array(errors, pa.string())], names=["image_id", *fields, "error"])
+
+    for i, image in enumerate(_images(b)):
+        try:
+            rows, error = make(_shaped(*image)), None
+            columns = [rows[n] for n in fields] if isinstance(rows, dict) else [list(c) for c in zip(*rows, strict=True)] or [[]] * len(fields)
+            arrays = [pa.array(c, t, from_pandas=True) for c, t in zip(columns, fields.values(), strict=True)]
+        except Exception as e:  # one bad image is a row, not a lost task
+            columns, error = [[None]] * len(fields), f"{type(e).__name__}: {e}"
+            arrays = [pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)]
+        for c, x in zip(held, arrays, strict=True):
+            c.append(x)
+        n = len(arrays[0])
+        at += [i] * n
+        errors += [error] * n
+        size += sum(len(v) for k in binary for v in columns[k] if v is not None)
+        if len(at) >= ROWS or size >= BYTES:
+            yield out()
+            held, at, errors, size = [[] for _ in fields], [], [], 0
+    if at:
+        yield out()
 
 
 def _each(df: DataFrame, make: Callable[[Image], list[tuple] | dict], schema: str) -> DataFrame:
-    """make's rows for every image, after its image_id: tuples, or columns by name; a failure is a row of nulls with its reason. An image's rows go on before the next image is looked at."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    """make's rows for every image, after its image_id: tuples, or columns by name; a failure is a row of nulls with its reason."""
+    fields = {n: _KINDS[k] for n, k in (f.split() for f in schema.split(", "))}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                try:
-                    made, error = make(_array(row)), None
-                except Exception as e:  # one bad image is a row, not a lost task
-                    made, error = [(None,) * len(names)], f"{type(e).__name__}: {e}"
-                out = pd.DataFrame(made) if isinstance(made, dict) else pd.DataFrame(made, columns=names, dtype=object)
-                out.insert(0, "image_id", row.image_id)
-                out["error"] = error
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.empty(ARENA, np.uint8)
+        for b in batches:
+            yield from made(b, make, fields)
 
     kind = df.schema["image_id"].dataType.simpleString()
-    return df.select("image_id", "height", "width", "channels", "data").mapInPandas(run, f"image_id {kind}, {schema}, error string")
+    return df.select("image_id", "height", "width", "channels", "data").mapInArrow(run, f"image_id {kind}, {schema}, error string")
 
 
 def quality(df: DataFrame) -> DataFrame:
