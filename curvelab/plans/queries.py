@@ -928,11 +928,12 @@ def image_files(spark, sf_dir):
     h, w = (4 + k % 5).cast("int"), (6 + k % 3).cast("int")
     value = lambda i: F.lpad(F.hex((k * 7 + F.floor(i / 3) % w) % 256), 2, "0")
     pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), h * w * 3 - 1), value), ""))
-    drawn = table(spark, sf_dir, "supplier").select(k.alias("image_id"), h.alias("height"), w.alias("width"), F.lit(3).alias("channels"), pixels.alias("data"))
+    suppliers = table(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, and each row a file to write
+    drawn = suppliers.select(k.alias("image_id"), h.alias("height"), w.alias("width"), F.lit(3).alias("channels"), pixels.alias("data"))
     name = F.concat(F.col("image_id").cast("string"), F.when(F.col("image_id") % 10 == 7, ".txt").otherwise(".png"))
     path = sinks.fresh(spark, "image-files")
     sinks.write_binary(images.png(drawn).select(name.alias("name"), F.when(F.col("image_id") % 10 == 3, F.lit(b"no image")).otherwise(F.col("content")).alias("content")), path)
-    seen = readers.images(spark, path)
+    seen = sinks.stored(readers.images(spark, path), "images-read")  # files are opened once
     levels = images.gray_pixels(seen.where("status = 'completed'")).groupBy(F.col("image_id").alias("i")).agg(F.round(F.avg("v"), 6).alias("brightness"))
     errors = images.quality(seen).select(F.col("image_id").alias("e"), F.col("error").isNotNull().alias("has_error"))
     short = lambda c: F.substring_index(c, "/", -1)
