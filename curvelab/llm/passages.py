@@ -229,8 +229,8 @@ def one_of_each(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return out, ids.select("row", "doc_id"), several
 
 
-def paragraphs(texts: DataFrame, least: int = SHINGLE) -> DataFrame:
-    """Every line of ``least`` words or more (kind LINE), seed (SEED) and whole text (WHOLE) of every identified row.
+def paragraphs(texts: DataFrame, least: int = SHINGLE, kinds: tuple = (LINE, SEED, WHOLE)) -> DataFrame:
+    """Every line of ``least`` words or more (kind LINE), seed (SEED) and whole text (WHOLE) of every identified row, or some of these kinds.
 
     ``at`` counts the words before it. The band keys of a line come with its first occurrence in a chunk.
     """
@@ -246,13 +246,14 @@ def paragraphs(texts: DataFrame, least: int = SHINGLE) -> DataFrame:
                     continue
                 starts, sizes = w.lines()
                 long = sizes >= least
+                none = (np.empty(0, np.int64),) * 4
                 lines = starts[long], w.line_hash(starts, sizes)[long], sizes[long], np.zeros(int(long.sum()), np.int64)
                 of_doc = np.flatnonzero(np.concatenate(([True], w.doc[1:] != w.doc[:-1])))
                 n = np.diff(np.append(of_doc, w.n))
                 whole = of_doc[n >= least], np.zeros(int((n >= least).sum()), np.int64), n[n >= least], np.zeros(int((n >= least).sum()), np.int64)
-                for kind, (starts, h, sizes, g) in enumerate((lines, w.seeds(), whole)):
+                for kind, (starts, h, sizes, g) in enumerate((lines, w.seeds() if SEED in kinds else none, whole)):
                     m = len(starts)
-                    if not m:
+                    if not m or kind not in kinds:
                         continue
                     rows = pa.array(first + w.doc[starts])
                     s, e = (np.zeros(m),) * 2 if kind == SEED else (w.start[starts], w.end[starts + sizes - 1])
@@ -527,6 +528,25 @@ def matches(runs: DataFrame, near: DataFrame, least: int = PARAGRAPH) -> DataFra
     return out.where(F.col("q") - F.col("p") >= least)
 
 
+_SHOWN = "doc_id", "kind", "s", "e", "words", "cluster", "kept_in", "removed"
+
+
+def whole_texts(ids: DataFrame, several: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for every row of ``ids`` whose text lies in two rows or more, from where each text (row, s, e, words) begins and ends."""
+    places = places.select(F.col("row").alias("wrow"), "s", "e", "words")
+    copied = several.join(places, F.col("same") == F.col("wrow")).select("same", "kept_in", "s", "e", "words", F.col("same").alias("cluster"))
+    removed = (~F.col("doc_id").eqNullSafe(F.col("kept_in"))).alias("removed")
+    return ids.join(copied, F.col("row") == F.col("same")).withColumns({"kind": F.lit("text"), "removed": removed}).select(*_SHOWN)
+
+
+def repeated_texts(docs: DataFrame, least: int = SHINGLE) -> DataFrame:
+    """The rows of kind ``text`` that ``repeated`` gives, without looking for lines and passages."""
+    texts, ids, several = one_of_each(docs)
+    met = maybe_in(texts, "row", several, "same")[0].join(several, F.col("row") == F.col("same"), "left_semi")
+    places = stored(paragraphs(met, least, kinds=(WHOLE,)).select("row", "s", "e", "words"), "passages-places")
+    return whole_texts(ids, several, places)
+
+
 def repeated(docs: DataFrame, block: int = BLOCK, least: int = SHINGLE) -> DataFrame:
     """(doc_id, kind, s, e, words, cluster, kept_in, removed): every occurrence, in code points, of ``least`` words or more,
     of a line, a passage (of PARAGRAPH words or more) or a whole text that lies in two rows or more."""
@@ -561,9 +581,7 @@ def repeated(docs: DataFrame, block: int = BLOCK, least: int = SHINGLE) -> DataF
     name = placed.select(F.col("krow").alias("nrow"), F.col("kp").alias("np"), "cluster")
     copies = passages.withColumn("words", F.col("q") - F.col("p")).join(name, (F.col("krow") == F.col("nrow")) & (F.col("kp") == F.col("np"))).select(*shown("passage"))
     # equal texts: one of them was compared, the others are copies of it
-    places = occurrences.df.where(F.col("kind") == WHOLE).select(F.col("row").alias("wrow"), "s", "e", "words")
-    copied = several.join(places, F.col("same") == F.col("wrow")).select("same", "kept_in", "s", "e", "words", F.col("same").alias("cluster"))
-    wholes = stored(ids.join(copied, F.col("row") == F.col("same")).select(*shown("text")), "passages-whole-texts")
+    wholes = stored(whole_texts(ids, several, occurrences.df.where(F.col("kind") == WHOLE)), "passages-whole-texts")
     occurrences.drop()
     seen.drop()
     return out.unionByName(copies).unionByName(kept).unionByName(wholes)
