@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +32,20 @@ def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in parent}
 
 
-def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the edges of each batch, as edges to its roots."""
-    for pdf in batches:
-        roots = forest(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+    for b in batches:
+        roots = forest(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         out = [(x, r) for x, r in roots.items() if x != r]
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        yield pa.record_batch([pa.array([e[k] for e in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a and b, long); root
     is the least node that the node reaches.
 
-    Edges are first contracted batch by batch (linear memory, one batch at a
+    Edges are first written down, as a task that both made and contracted them
+    would keep two Python workers; they are contracted batch by batch (linear memory, one batch at a
     time), then alternating large-star and small-star rounds run as Spark
     joins until nothing changes. Minima are pre-aggregated before they are
     shuffled, and a node with very many edges is one skewed join key, which
@@ -52,7 +53,9 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     edge or label reaches the driver: it compares two numbers a round.
     """
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = Stored(clean.mapInPandas(_contract, "a long, b long").distinct(), name)
+    given = Stored(clean, f"{name}-edges")
+    now = Stored(given.df.mapInArrow(_contract, "a long, b long").distinct(), name)
+    given.drop()
     mark = _mark(now.df)
     for _ in range(max_rounds):
         if not mark[0]:
