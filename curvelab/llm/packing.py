@@ -100,7 +100,16 @@ class WordTokenizer:
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
     def _part(self, part: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(part)))
+        tokens = self.pattern.findall(part)
+        if len(tokens) == 1 and tokens[0] == part:  # kept as a part, so not as a token too
+            return self._token(part)
+        return b"".join(map(self.tokens.__getitem__, tokens))
+
+    def forget(self) -> None:
+        """Empty the caches, which a worker would else hold through the tasks of later queries."""
+        for cache in (self.tokens, self.parts):
+            cache.clear()
+            cache.old = {}
 
     def _plain(self, text: str) -> bool:
         blanks = self.BLANKS if text.isascii() else self.BLANKS + self.FAR_BLANKS
@@ -138,16 +147,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end, n = tokenizer(path), END_ID.to_bytes(4, "little"), TaskContext.get().partitionId() << 38
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = tok.ids(text.as_py() or "") + end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    part = memoryview(ids)[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, n, start, len(part) // 4, zlib.crc32(part), total))
-                    n += 1
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=[f.split()[0] for f in PIECES.split(", ")])
+        try:
+            for b in batches:
+                rows = []
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    ids = tok.ids(text.as_py() or "") + end
+                    total = len(ids) // 4
+                    for start in range(0, total, capacity):
+                        part = memoryview(ids)[4 * start : 4 * (start + capacity)]
+                        rows.append((doc_id, n, start, len(part) // 4, zlib.crc32(part), total))
+                        n += 1
+                yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=[f.split()[0] for f in PIECES.split(", ")])
+        finally:
+            tok.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
