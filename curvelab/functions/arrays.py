@@ -113,18 +113,21 @@ def gradient(ys: Column, xs: Column) -> Column:
     """The central difference of second order on uneven spacing, one-sided at the ends; zero spacing gives null."""
 
     def body(k: Column) -> Column:
-        x, y = k["x"], k["y"]
+        x, y, h = k["x"], k["y"], k["h"]
         n = F.size(x)
 
         def at(i: Column) -> Column:
-            hs, hd = F.get(x, i) - F.get(x, i - 1), F.get(x, i + 1) - F.get(x, i)
+            hs, hd = F.get(h, i - 1), F.get(h, i)
             inner = F.try_divide(hs * hs * F.get(y, i + 1) + (hd * hd - hs * hs) * F.get(y, i) - hd * hd * F.get(y, i - 1), hs * hd * (hs + hd))
-            edge = lambda a, b: F.try_divide(F.get(y, b) - F.get(y, a), F.get(x, b) - F.get(x, a))
+            edge = lambda a, b: F.try_divide(F.get(y, b) - F.get(y, a), F.get(h, a))
             return F.when(i == 0, edge(F.lit(0), F.lit(1))).when(i == n - 1, edge(n - 2, n - 1)).otherwise(inner)
 
         return F.transform(F.sequence(F.lit(0), n - 1), at)
 
-    return F.when(F.size(xs) >= 2, let(F.struct(xs.alias("x"), ys.alias("y")), body))
+    def spaced(k: Column) -> Column:
+        return F.struct(k["x"].alias("x"), k["y"].alias("y"), F.transform(F.sequence(F.lit(1), F.size(k["x"]) - 1), lambda i: F.get(k["x"], i) - F.get(k["x"], i - 1)).alias("h"))
+
+    return F.when(F.size(xs) >= 2, let(let(F.struct(xs.alias("x"), ys.alias("y")), spaced), body))
 
 
 @cache

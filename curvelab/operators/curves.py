@@ -38,8 +38,11 @@ def median_by_x(points: DataFrame) -> DataFrame:
 
 
 def _keep_first(xs: Column, ys: Column) -> Column:
-    keep = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) != F.get(xs, i - 1)))
-    return A.let(keep, lambda k: F.struct(F.transform(k, lambda i: F.get(xs, i)).alias("xs"), F.transform(k, lambda i: F.get(ys, i)).alias("ys")))
+    def body(c: Column) -> Column:
+        keep = F.filter(A.indices(c["x"]), lambda i: (i == 0) | (F.get(c["x"], i) != F.get(c["x"], i - 1)))
+        return A.let(keep, lambda k: F.struct(F.transform(k, lambda i: F.get(c["x"], i)).alias("xs"), F.transform(k, lambda i: F.get(c["y"], i)).alias("ys")))
+
+    return A.let(F.struct(xs.alias("x"), ys.alias("y")), body)  # the arrays once, not once for every point
 
 
 def from_points(points: DataFrame) -> DataFrame:
@@ -55,9 +58,15 @@ def window_of(wanted: int | None, n: int) -> int:
 
 def resample(curves: DataFrame, n: int = GRID) -> DataFrame:
     """Curves of MIN_POINTS or more on n evenly spaced x, by linear interpolation."""
+    return _resampled(curves.where(F.size("xs") >= MIN_POINTS).select("curve_id", "xs", "ys"), n)
+
+
+def _resampled(curves: DataFrame, n: int = GRID) -> DataFrame:
+    """The same of curves that are long enough, with all else that is in their rows; null ones stay null."""
     lo, hi = F.get("xs", F.lit(0)), F.get("xs", F.size("xs") - 1)
-    on = A.settled(curves.where(F.size("xs") >= MIN_POINTS), grid=A.linspace(lo, hi, n))
-    return A.settled(on, y=A.interpolate(F.col("xs"), F.col("ys"), F.col("grid"))).select("curve_id", F.col("grid").alias("xs"), F.col("y").alias("ys"))
+    on = A.settled(curves, grid=F.when(F.col("xs").isNotNull(), A.linspace(lo, hi, n)))
+    on = A.settled(on, y=F.when(F.col("grid").isNotNull(), A.interpolate(F.col("xs"), F.col("ys"), F.col("grid"))))
+    return on.select(*[c for c in curves.columns if c not in ("xs", "ys")], F.col("grid").alias("xs"), F.col("y").alias("ys"))
 
 
 def smooth(curves: DataFrame, window: int | None = None, n: int = GRID) -> DataFrame:

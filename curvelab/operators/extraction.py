@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,12 @@ TOKEN = "struct<axis:string,text:string,conf:double,left:int,top:int,width:int,h
 POINT = "struct<px:int,py:int>"
 SEEN = f"image_id string, width int, height int, angle double, quality double, noise double, points array<{POINT}>, smoothed array<{POINT}>, contour double, network array<{POINT}>, network_conf double, tokens array<{TOKEN}>, x_text string, y_text string, error string"
 
+_STRUCTS = {s: pa.struct([(n, images._KINDS[k]) for n, k in (f.split(":") for f in s[7:-1].split(","))]) for s in (TOKEN, POINT)}
+#: The columns' Arrow types.
+_SEEN = {n: pa.list_(_STRUCTS[k[6:-1]]) if k.startswith("array") else images._KINDS[k] for n, k in (f.split() for f in SEEN.split(", "))}
+#: Images whose rows leave a task together.
+SEEN_AT_ONCE = 256
+
 #: Reads (text, conf, left, top, width, height) tokens of an image; kind is x, y, x_label or y_label.
 Reader = Callable[[np.ndarray, str], list[tuple]]
 
@@ -73,6 +79,16 @@ def contour_confidence(points: list[tuple[int, int]], smoothed: list[tuple[int,
     return 0.25 * min(10 * len(x) / max(span, 1), 1) + 0.30 * close + 0.25 * min(2 * span / width, 1) + 0.20 * max(0.0, 1 - jumps / len(x))
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as an Arrow column; lists of (x, y) as one run of numbers."""
+    if kind != _SEEN["points"]:
+        return pa.array(values, kind, from_pandas=True)
+    ends = np.cumsum([0, *(len(v or ()) for v in values)]).astype(np.int32)
+    x, y = np.array([p for v in values for p in v or ()], np.int32).reshape(-1, 2).T
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (x, y)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends), flat, type=kind, mask=pa.array([v is None for v in values]))
+
+
 TRACES = ("columns", "outline")
 
 
@@ -84,11 +100,8 @@ def digitised(df: DataFrame, reader: Reader | None = None, segment: Callable[[np
     """
     if trace not in TRACES:
         raise ValueError(f"trace is one of {', '.join(TRACES)}")
-    names = [f.split()[0] for f in SEEN.split(", ")]
-    as_points = lambda ps: [{"px": int(x), "py": int(y)} for x, y in ps]
 
-    def one(row) -> tuple:
-        a = images._array(row)
+    def one(a: np.ndarray) -> tuple:
         level, angle = P.rectified(a) if rectify else (a, 0.0)
         mask, noise = P.filtered(level)
         region = axis_regions(level)
@@ -104,19 +117,24 @@ def digitised(df: DataFrame, reader: Reader | None = None, segment: Callable[[np
             network = P.traced(P.thinned(np.where(p > 0.5, 255, 0).astype(np.uint8)))
             network_conf = float(np.mean([p[y, x] for x, y in network])) if network else 0.0
         tokens, x_text, y_text = read_axes(level, reader)
-        return (str(row.image_id), level.shape[1], level.shape[0], float(angle), P.quality(level)["overall"], float(noise), as_points(points), as_points(smoothed),
-                contour_confidence(points, smoothed, level.shape[1]), as_points(network), network_conf, tokens, x_text, y_text, None)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
+        return (level.shape[1], level.shape[0], float(angle), float(P.quality(level)["overall"]), float(noise), points, smoothed,
+                float(contour_confidence(points, smoothed, level.shape[1])), network, network_conf, tokens, x_text, y_text, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.empty(images.ARENA, np.uint8)
+        for b in batches:
+            ids, found = [str(i) for i in b.column(0).to_pylist()], []
+            for n, image in enumerate(images._images(b), 1):
                 try:
-                    out = one(row)
+                    found.append(one(images._shaped(*image)))
                 except Exception as e:  # one bad image is a row, not a lost task
-                    out = (str(row.image_id), *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([out], columns=names, dtype=object)
+                    found.append((*[None] * (len(_SEEN) - 2), f"{type(e).__name__}: {e}"))
+                if len(found) == SEEN_AT_ONCE or n == len(ids):
+                    columns = [ids[n - len(found) : n], *map(list, zip(*found, strict=True))]
+                    yield pa.record_batch([_column(c, t) for c, t in zip(columns, _SEEN.values(), strict=True)], names=list(_SEEN))
+                    found = []
 
-    return df.select("image_id", "height", "width", "channels", "data").mapInPandas(run, SEEN)
+    return df.select("image_id", "height", "width", "channels", "data").mapInArrow(run, SEEN)
 
 
 def _ticks(tokens: Column, axis: str, frame: str, min_confidence: float) -> Column:
@@ -154,14 +172,15 @@ def extract(
         raise ValueError("frame is reference or image")
     window = features.window_for(apply_smoothing, smoothing_window or config.settings().smoothing_window)
     seen = sinks.stored(digitised(df, reader, segment, rectify, trace, refine), "digitised")  # every image is processed here, once
+    good = seen.where("error is null").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")  # by number: rows are few and their analysis is long
     if tokens is not None:
         has = "labels" in tokens.columns
         labels = [F.col(f"labels.{c}").alias(c) if has else F.lit("").alias(c) for c in ("x_text", "y_text")]
         given = tokens.select(F.col("image_id").cast("string").alias("image_id"), F.col("tokens").cast(f"array<{TOKEN}>").alias("tokens"), *labels)
-        seen = seen.drop("tokens", "x_text", "y_text").join(given, "image_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")))
+        good = good.drop("tokens", "x_text", "y_text").join(given, "image_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")))
     routed = merge.route(F.col("quality"), F.col("contour"), F.size("points"), F.col("network_conf"), F.size("network"), method=method)
     mx, my = F.floor(F.col("width") * scale.MARGIN), F.floor(F.col("height") * scale.MARGIN)
-    made = A.settled(seen.where("error is null"), m=routed, x_ticks=_ticks(F.col("tokens"), "x", frame, min_confidence), y_ticks=_ticks(F.col("tokens"), "y", frame, min_confidence), ox=mx.cast("int"), oy=(F.col("height") - my).cast("int"))
+    made = A.settled(good, m=routed, x_ticks=_ticks(F.col("tokens"), "x", frame, min_confidence), y_ticks=_ticks(F.col("tokens"), "y", frame, min_confidence), ox=mx.cast("int"), oy=(F.col("height") - my).cast("int"))
     traced = F.when(F.size("smoothed") > 0, F.col("smoothed")).otherwise(F.col("points"))
     used = F.when(F.col("m.method") == "contour_tracing", traced).otherwise(F.col("network"))
     made = A.settled(made, used=used, x_line=scale.axis_line(F.col("x_ticks")), y_line=scale.axis_line(F.col("y_ticks")))
@@ -169,17 +188,15 @@ def extract(
     f, valid = F.col("f"), F.col("f.is_valid")
     strain = lambda p: F.when(valid, f["x_offset"] + (p["px"] - F.col("ox")) * f["x_scale"]).otherwise(p["px"].cast("double"))
     stress = lambda p: F.when(valid, f["y_offset"] + (F.col("oy") - p["py"]) * f["y_scale"]).otherwise(p["py"].cast("double"))
-    mapped = F.array_sort(F.transform("used", lambda p, i: F.struct(strain(p).alias("strain"), i.alias("i"), stress(p).alias("stress"), p["px"].alias("pixel_x"), p["py"].alias("pixel_y"))))
+    mapped = F.sort_array(F.transform("used", lambda p, i: F.struct(strain(p).alias("strain"), i.alias("i"), stress(p).alias("stress"), p["px"].alias("pixel_x"), p["py"].alias("pixel_y"))))
     made = A.settled(made, mapped=mapped)
     made = A.settled(made, d=F.when(F.size("mapped") > 0, C._keep_first(F.transform("mapped", lambda p: p["strain"]), F.transform("mapped", lambda p: p["stress"]))))
     none = F.array().cast("array<double>")
-    # one exchange feeds the analysis, of long and of short curves, and what is joined to it
-    made = made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")  # by number: rows are few and their analysis is long
-    curves = made.select(F.col("image_id").alias("curve_id"), F.coalesce("d.xs", none).alias("xs"), F.coalesce("d.ys", none).alias("ys"))
-    analysed = features.analyze(curves, window).select(F.col("curve_id").alias("key"), F.struct("peak_stress", "failure_strain", "initial_modulus", "secant_modulus_50", "energy_to_peak", "post_peak", "confidence").alias("features"), "critical_points")
-    got = made.join(analysed, F.col("image_id") == F.col("key"))
-    report = got.drop("points").select(
-        "*", F.coalesce("d.xs", none).alias("xs"), F.coalesce("d.ys", none).alias("ys"), F.transform(F.concat("x_ticks", "y_ticks"), lambda t: t["w"]).alias("ocr"),
+    # an image's curve is analysed in its row
+    curves = made.select(F.col("image_id").alias("curve_id"), "quality", "angle", "x_text", "y_text", "x_ticks", "y_ticks", "m", "f", "mapped", "d", F.coalesce("d.xs", none).alias("xs"), F.coalesce("d.ys", none).alias("ys"))
+    got = features.analyze(curves, window).withColumnRenamed("curve_id", "image_id").withColumn("features", F.struct("peak_stress", "failure_strain", "initial_modulus", "secant_modulus_50", "energy_to_peak", "post_peak", "confidence"))
+    report = got.select(
+        "image_id", "quality", "angle", "x_text", "y_text", "x_ticks", "y_ticks", "m", "f", "mapped", "features", "critical_points", F.coalesce("d.xs", none).alias("xs"), F.coalesce("d.ys", none).alias("ys"), F.transform(F.concat("x_ticks", "y_ticks"), lambda t: t["w"]).alias("ocr"),
         F.col("m.method").alias("method"), F.lit(None).cast("double").alias("nmae"),
     ).withColumn("n_x", F.size("x_ticks")).withColumn("n_y", F.size("y_ticks"))
     scored = scoring.scored(report.withColumn("xt", F.col("x_ticks")).withColumn("yt", F.col("y_ticks")).withColumn("x_ticks", F.col("n_x")).withColumn("y_ticks", F.col("n_y")), strict)

@@ -34,7 +34,11 @@ def secant_index(ys: Column, p: Column) -> Column:
 
 def prepared(curves: DataFrame, window: int | None = None) -> DataFrame:
     """Resampled and smoothed, with derivative ds and peak p."""
-    return A.settled(C.derivative(C.smooth(C.resample(curves), window)), p=peak_index(F.col("ys"), F.col("ds")))
+    return _prepared(C.resample(curves), window)
+
+
+def _prepared(resampled: DataFrame, window: int | None) -> DataFrame:
+    return A.settled(C.derivative(C.smooth(resampled, window)), p=peak_index(F.col("ys"), F.col("ds")))
 
 
 def window_for(apply_smoothing: bool = True, smoothing_window: int = C.WINDOW) -> int:
@@ -45,7 +49,7 @@ def window_for(apply_smoothing: bool = True, smoothing_window: int = C.WINDOW) -
 
 
 def analyze(curves: DataFrame, window: int | None = None) -> DataFrame:
-    """One row of features per curve of at least one point.
+    """One row of features per curve of at least one point, after its curve_id and all else that is in its row.
 
     Curves of fewer than five points have their raw maximum and zeros.
     energy_to_peak is in units of y times x; energy_to_peak_kj_m3 is a hundredth
@@ -53,7 +57,9 @@ def analyze(curves: DataFrame, window: int | None = None) -> DataFrame:
     """
     x, y, d, p = F.col("xs"), F.col("ys"), F.col("ds"), F.col("p")
     n = F.size(y)
-    grown = prepared(curves, window)
+    zero, long, fx, fy = F.lit(0.0), F.size("xs") >= C.MIN_POINTS, F.col("few_xs"), F.col("few_ys")
+    held = curves.where(long.isNotNull()).withColumns({"few_xs": F.when(~long, F.col("xs")), "few_ys": F.when(~long, F.col("ys")), "xs": F.when(long, F.col("xs")), "ys": F.when(long, F.col("ys"))})
+    grown = _prepared(C._resampled(held), window)
     grown = A.settled(grown, initial_modulus=A.mean(A.prefix(d, F.greatest(F.lit(1), F.floor(p * 0.1).cast("int")))), h=secant_index(y, p), q=_yield_index(d, p))
     up, down = A.prefix(d, p), F.slice(d, p + 1, n - p)
     share = lambda a, test: A.count_if(a, test) / F.size(a)
@@ -61,19 +67,16 @@ def analyze(curves: DataFrame, window: int | None = None) -> DataFrame:
     behaviour = F.when((p > 5) & (p < n - 5), (share(up, lambda v: v > 0) + share(down, lambda v: v < 0)) / 2).otherwise(0.5)
     rising = A.count_if(F.sequence(F.lit(0), p), lambda i: (i > 0) & (F.get(x, i) > F.get(x, i - 1))) / F.greatest(p, F.lit(1))
     density = F.least(n / 100, F.lit(1.0))
-    full = grown.select(
-        "curve_id", F.get(y, p).alias("peak_stress"), F.get(x, p).alias("failure_strain"), "initial_modulus",
-        F.when(F.get(x, F.col("h")) > 0, F.get(y, F.col("h")) / F.get(x, F.col("h"))).otherwise(F.col("initial_modulus")).alias("secant_modulus_50"),
-        A.trapezoid(y, x, p).alias("energy_to_peak"), (p < n - 5).alias("post_peak"),
-        ((density + prominence + behaviour + rising) / 4).alias("confidence"), p.alias("peak_index"), _critical(F.col("h"), F.col("q")).alias("critical_points"),
-    )
-    zero = F.lit(0.0)
-    short = curves.where(F.size("xs") < C.MIN_POINTS).select(
-        "curve_id", F.coalesce(F.array_max("ys"), zero).alias("peak_stress"), F.coalesce(F.get("xs", A.argmax(F.col("ys"))), zero).alias("failure_strain"),
-        zero.alias("initial_modulus"), zero.alias("secant_modulus_50"), zero.alias("energy_to_peak"), F.lit(False).alias("post_peak"), zero.alias("confidence"), F.coalesce(A.argmax(F.col("ys")), F.lit(0)).alias("peak_index"),
-        F.array().cast("array<struct<point:string,strain:double,stress:double>>").alias("critical_points"),
-    )
-    return full.unionByName(short).withColumn("energy_to_peak_kj_m3", F.col("energy_to_peak") / 100)
+    top = F.coalesce(A.argmax(fy), F.lit(0))
+    # each for long curves and for those of few points
+    values = {
+        "peak_stress": (F.get(y, p), F.coalesce(F.array_max(fy), zero)), "failure_strain": (F.get(x, p), F.coalesce(F.get(fx, A.argmax(fy)), zero)), "initial_modulus": (F.col("initial_modulus"), zero),
+        "secant_modulus_50": (F.when(F.get(x, F.col("h")) > 0, F.get(y, F.col("h")) / F.get(x, F.col("h"))).otherwise(F.col("initial_modulus")), zero),
+        "energy_to_peak": (A.trapezoid(y, x, p), zero), "post_peak": (p < n - 5, F.lit(False)), "confidence": ((density + prominence + behaviour + rising) / 4, zero), "peak_index": (p, top),
+        "critical_points": (_critical(F.col("h"), F.col("q")), F.array().cast("array<struct<point:string,strain:double,stress:double>>")),
+    }
+    out = grown.select(*[c for c in curves.columns if c not in ("xs", "ys")], *[F.when(fx.isNull(), long).otherwise(few).alias(k) for k, (long, few) in values.items()])
+    return out.withColumn("energy_to_peak_kj_m3", F.col("energy_to_peak") / 100)
 
 
 def _yield_index(d: Column, p: Column) -> Column:
