@@ -91,41 +91,45 @@ def interpolate(xs: Column, ys: Column, grid: Column) -> Column:
     """
 
     def body(k: Column) -> Column:
-        x, y, q = k["x"], k["y"], k["q"]
-        n, m = F.size(x), F.size(q)
-        lo = F.get(q, F.lit(0))
-        step = (F.get(q, m - 1) - lo) / (m - 1)
-        guess = lambda v: F.least(F.greatest(F.floor((v - lo) / step), F.lit(0)), F.lit(2**31 - 9)).cast("int")
+        x, y, q, lo, m = k["x"], k["y"], k["q"], k["lo"], k["m"]
+        n = F.size(x) - 1
+        guess = lambda v: F.least(F.greatest(F.floor((v - lo) / k["step"]), F.lit(0)), F.lit(2**31 - 9)).cast("int")
 
-        def segment(i: Column) -> Column:
-            x0, x1, y0, y1 = F.get(x, i - 1), F.get(x, i), F.get(y, i - 1), F.get(y, i)
-            a = F.greatest(guess(x0) - 1, F.lit(0))
-            b = F.greatest(F.least(guess(x1) + 1, m - 1), a)
-            inside = F.filter(F.sequence(a, b), lambda j: (F.get(q, j) <= x1) & ((F.get(q, j) > x0) | ((i == 1) & (F.get(q, j) == x0))))
-            return F.transform(inside, lambda j: (y1 - y0) / (x1 - x0) * (F.get(q, j) - x0) + y0)
+        def segment(s: Column, i: Column) -> Column:
+            a = F.greatest(guess(s["x0"]) - 1, F.lit(0))
+            near = let(a, lambda a: F.slice(q, a + 1, F.greatest(F.least(guess(s["x1"]) + 1, m - 1) - a, F.lit(0)) + 1))
+            inside = F.filter(near, lambda v: (v <= s["x1"]) & ((v > s["x0"]) | ((i == 0) & (v == s["x0"]))))
+            return F.transform(inside, lambda v: (s["y1"] - s["y0"]) / (s["x1"] - s["x0"]) * (v - s["x0"]) + s["y0"])
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), n - 1), segment))
+        ends = F.arrays_zip(prefix(x, n).alias("x0"), F.slice(x, F.lit(2), n).alias("x1"), prefix(y, n).alias("y0"), F.slice(y, F.lit(2), n).alias("y1"))
+        return F.flatten(F.transform(ends, segment))
 
-    return let(F.struct(xs.alias("x"), ys.alias("y"), grid.alias("q")), body)
+    def stepped(k: Column) -> Column:
+        lo, m = F.get(k["q"], F.lit(0)), F.size(k["q"])
+        return F.struct(k["x"].alias("x"), k["y"].alias("y"), k["q"].alias("q"), lo.alias("lo"), m.alias("m"), ((F.get(k["q"], m - 1) - lo) / (m - 1)).alias("step"))
+
+    return let(let(F.struct(xs.alias("x"), ys.alias("y"), grid.alias("q")), stepped), body)
 
 
 def gradient(ys: Column, xs: Column) -> Column:
     """The central difference of second order on uneven spacing, one-sided at the ends; zero spacing gives null."""
 
     def body(k: Column) -> Column:
-        x, y, h = k["x"], k["y"], k["h"]
-        n = F.size(x)
+        y, h = k["y"], k["h"]
+        n = F.size(y)
+        cut = lambda a, first, name: F.slice(a, F.lit(first), n - 2).alias(name)
+        edge = lambda a, b: F.array(F.try_divide(F.get(y, b) - F.get(y, a), F.get(h, a)))
+        around = F.arrays_zip(cut(h, 1, "hs"), cut(h, 2, "hd"), cut(y, 1, "before"), cut(y, 2, "here"), cut(y, 3, "after"))
 
-        def at(i: Column) -> Column:
-            hs, hd = F.get(h, i - 1), F.get(h, i)
-            inner = F.try_divide(hs * hs * F.get(y, i + 1) + (hd * hd - hs * hs) * F.get(y, i) - hd * hd * F.get(y, i - 1), hs * hd * (hs + hd))
-            edge = lambda a, b: F.try_divide(F.get(y, b) - F.get(y, a), F.get(h, a))
-            return F.when(i == 0, edge(F.lit(0), F.lit(1))).when(i == n - 1, edge(n - 2, n - 1)).otherwise(inner)
+        def at(p: Column) -> Column:
+            hs, hd = p["hs"], p["hd"]
+            return F.try_divide(hs * hs * p["after"] + (hd * hd - hs * hs) * p["here"] - hd * hd * p["before"], hs * hd * (hs + hd))
 
-        return F.transform(F.sequence(F.lit(0), n - 1), at)
+        return F.concat(edge(F.lit(0), F.lit(1)), F.transform(around, at), edge(n - 2, n - 1))
 
     def spaced(k: Column) -> Column:
-        return F.struct(k["x"].alias("x"), k["y"].alias("y"), F.transform(F.sequence(F.lit(1), F.size(k["x"]) - 1), lambda i: F.get(k["x"], i) - F.get(k["x"], i - 1)).alias("h"))
+        x, n = k["x"], F.size(k["x"]) - 1
+        return F.struct(k["y"].alias("y"), F.zip_with(prefix(x, n), F.slice(x, F.lit(2), n), lambda a, b: b - a).alias("h"))
 
     return F.when(F.size(xs) >= 2, let(let(F.struct(xs.alias("x"), ys.alias("y")), spaced), body))
 

@@ -951,7 +951,7 @@ def charts(spark, sf_dir) -> DataFrame:
     """Charts drawn, and read back to records: one curve each, with two to five ticks below and three at the left; some are blank and go to the network, some cannot be decoded."""
     i = F.col("vec_id")
     left, bottom = int(CHART_W * scale.MARGIN), CHART_H - int(CHART_H * scale.MARGIN)
-    e = table(spark, sf_dir, "embeddings").select(i.alias("image_id"), (i % 6).cast("int").alias("a"), (i % 5).cast("int").alias("b"), (2 + i % 4).cast("int").alias("n"), (i % 11 == 5).alias("broken"), (i % 7 == 3).alias("blank")).repartition(spark.sparkContext.defaultParallelism)
+    e = table(spark, sf_dir, "embeddings").select(i.alias("image_id"), (i % 6).cast("int").alias("a"), (i % 5).cast("int").alias("b"), (2 + i % 4).cast("int").alias("n"), (i % 11 == 5).alias("broken"), (i % 7 == 3).alias("blank")).repartition(4 * spark.sparkContext.defaultParallelism)  # so that no core waits long for another
     ys = F.transform(F.sequence(F.lit(0), F.lit(CHART_W - left - 21)), lambda x: bottom - 15 - F.round((60 + 10 * F.col("b")) * (1 - F.pow((x / (CHART_W - left - 21) - 0.5 - F.col("a") * 0.05) / 0.75, F.lit(2.0)))).cast("int") + F.when(F.col("blank"), 10_000).otherwise(0))
     drawn = images.drawn(e.select("image_id", ys.alias("ys")), CHART_H, CHART_W, left).withColumn("data", F.when(F.col("image_id") % 11 == 5, F.substring("data", 1, 100)).otherwise(F.col("data")))
     token = lambda axis, text, at: F.struct(F.lit(axis).alias("axis"), text.alias("text"), F.lit(90.0).alias("conf"), (at if axis == "x" else F.lit(0)).cast("int").alias("left"), (at if axis == "y" else F.lit(0)).cast("int").alias("top"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(1.0).alias("scale"), F.lit(0).alias("offset_x"), F.lit(0).alias("offset_y"))
